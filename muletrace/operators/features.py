@@ -42,8 +42,8 @@ def opened_us(accounts: DataFrame) -> DataFrame:
     return accounts.withColumn("opened_us", F.unix_micros(F.col(src).cast("timestamp")))
 
 
-def median_hold(events: DataFrame, rows_per_block: int = timeline.ROWS_PER_BLOCK) -> DataFrame:
-    pairs = timeline.hold_pairs(events, rows_per_block)
+def median_hold(events: DataFrame, hot: timeline.HotAccounts | None = None) -> DataFrame:
+    pairs = timeline.hold_pairs(events, hot)
     return grouped_median(pairs, ["account"], "hold_us", F.floor(F.col("hold_us") / F.lit(10 * MICROS_PER_MINUTE)), "hold_us")
 
 
@@ -51,8 +51,9 @@ def transaction_features(accounts: DataFrame, ledger: DataFrame, rows_per_block:
     """The 13 money features, one row per account, also for accounts without transfers."""
     e = ev.account_events(ev.with_us(drop_labels(ledger)))
     act = ev.activity(e)
-    hold = median_hold(e, rows_per_block)
-    bst = timeline.burst(e, rows_per_block)
+    hot = timeline.hot_accounts(e, rows_per_block)
+    hold = median_hold(e, hot)
+    bst = timeline.burst(e, hot)
     zero_long = ["amount_in", "amount_out", "txn_in", "txn_out", "atm_out", "in_degree", "out_degree", "counterparties"]
     j = (
         opened_us(accounts)

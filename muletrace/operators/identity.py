@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import MICROS_PER_DAY
+from muletrace.session import cut_lineage
 
 SCOPES = ("device", "phone", "ip", "any")
 NEW_ACCOUNT_DAYS = 14
@@ -34,6 +35,10 @@ def _kind(key: Column) -> Column:
     return F.substring_index(key, "|", 1)
 
 
+def _any_of(keys: str, kind: str) -> Column:
+    return F.exists(keys, lambda k: _kind(k) == kind)
+
+
 def shared_profile(
     links: DataFrame,
     attributes: DataFrame,
@@ -50,37 +55,42 @@ def shared_profile(
     links = links.select("account", key.alias("key")).distinct()
     attrs = attributes.select("account", "opened_us", F.col("score").cast("bigint").alias("score"))
     users = links.groupBy("key").agg(F.count(F.lit(1)).alias("users"))
-    sized = links.join(users, "key").where(F.col("users") > 1)
-    busy = sized.where(F.col("users") > busy_over).groupBy("account").agg(F.sort_array(F.collect_set("key")).alias("busy"))
-    # identifiers per account are few; the set above is per account, not per identifier
-    people = links.select("account").distinct().join(busy, "account", "left").join(attrs, "account", "left")
-    people = people.withColumn("busy", F.coalesce("busy", F.array().cast("array<string>")))
-
-    parts = [_through_busy(people, max_subset, new_days), _through_rare(sized, people, busy_over, new_days)]
-    parts.append(_through_many_busy(sized, people, busy_over, max_subset, new_days))
-    total = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return total.groupBy("account").agg(*[F.sum(c).alias(c) for c in _MEASURES])
+    # read by every part below: written once
+    sized = cut_lineage(links.join(users, "key").where(F.col("users") > 1))
+    per_account = sized.groupBy("account").agg(F.sort_array(F.collect_list(F.when(F.col("users") > busy_over, F.col("key")))).alias("busy"))
+    # an account has few identifiers; the list is per account, never per identifier
+    people = cut_lineage(per_account.join(attrs, "account", "left"))
+    most_busy = people.agg(F.max(F.size("busy"))).first()[0] or 0
+
+    parts = [_through_rare(sized, people, busy_over, most_busy > 0, new_days)]
+    if most_busy > 0:
+        parts.append(_through_busy(people, max_subset, new_days, most_busy > max_subset))
+    if most_busy > max_subset:
+        parts.append(_through_many_busy(sized, people, busy_over, max_subset, new_days))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    return (
+        total.groupBy("account")
+        .agg(*[F.sum(c).alias(c) for c in _MEASURES])
+    )
 
 
 _MEASURES = ["device_n", "phone_n", "ip_n", "any_n", "new_n", "score_n", "score_sum"]
 
 
-def _through_busy(people: DataFrame, max_subset: int, new_days: int) -> DataFrame:
+def _through_busy(people: DataFrame, max_subset: int, new_days: int, any_wide: bool) -> DataFrame:
     holders = people.where(F.size("busy") > 0)
     # every holder is counted in the subsets, also those with many; they only get their own answer elsewhere
     narrow = holders.where(F.size("busy") <= max_subset)
     sets = narrow.select("account", "opened_us", F.explode(F.expr(_SUBSETS)).alias("subset"))
-    wide = holders.where(F.size("busy") > max_subset).select(
-        "opened_us", "score", F.explode("busy").alias("key"), "account", "busy"
-    )
-    # a subset asked for by a narrow account counts wide holders too: they meet through the subset's first member
-    asked = sets.select("subset").distinct().withColumn("key", F.element_at("subset", 1))
-    wide_rows = (
-        wide.join(asked, "key")
-        .where(F.size(F.array_except("subset", "busy")) == 0)
-        .select("subset", "opened_us", "score")
-    )
-    rows = narrow.select(F.explode(F.expr(_SUBSETS)).alias("subset"), "opened_us", "score").unionByName(wide_rows)
+    rows = narrow.select(F.explode(F.expr(_SUBSETS)).alias("subset"), "opened_us", "score")
+    if any_wide:
+        # a subset asked for by a narrow account counts wide holders too: they meet through the subset's first member
+        wide = holders.where(F.size("busy") > max_subset).select("opened_us", "score", F.explode("busy").alias("key"), "busy")
+        asked = sets.select("subset").distinct().withColumn("key", F.element_at("subset", 1))
+        met = wide.join(asked, "key").where(F.size(F.array_except("subset", "busy")) == 0)
+        rows = rows.unionByName(met.select("subset", "opened_us", "score"))
     # users of a subset by opening time: bounded by distinct times, not by users
     by_time = rows.groupBy("subset", "opened_us").agg(
         F.count(F.lit(1)).alias("n"), F.count("score").alias("score_n"), F.sum("score").alias("score_sum")
@@ -116,10 +126,9 @@ def _through_busy(people: DataFrame, max_subset: int, new_days: int) -> DataFram
     )
     # the account itself is in every one of its sets
     me = narrow.select("account", "busy", "opened_us", F.col("score").alias("own"))
-    has = lambda kind: F.exists("busy", lambda k: _kind(k) == kind).cast("bigint")
     return agg.join(me, "account").select(
         "account",
-        *[(F.col(f"{t}_n") - has(t)).cast("bigint").alias(f"{t}_n") for t in ("device", "phone", "ip")],
+        *[(F.col(f"{t}_n") - _any_of("busy", t).cast("bigint")).cast("bigint").alias(f"{t}_n") for t in ("device", "phone", "ip")],
         (F.col("any_n") - 1).cast("bigint").alias("any_n"),
         (F.col("new_n") - F.col("opened_us").isNotNull().cast("bigint")).cast("bigint").alias("new_n"),
         (F.col("score_n") - F.col("own").isNotNull().cast("bigint")).cast("bigint").alias("score_n"),
@@ -135,7 +144,7 @@ def _pair_measures(pairs: DataFrame, people: DataFrame, subtract_busy: bool, new
     if subtract_busy:
         common = F.array_intersect("my_busy", "their_busy")
         p = p.withColumn("common", common)
-        fresh = {t: ~F.exists("common", lambda k, t=t: _kind(k) == t) for t in ("device", "phone", "ip")}
+        fresh = {t: ~_any_of("common", t) for t in ("device", "phone", "ip")}
         unseen = F.size("common") == 0
     else:
         fresh, unseen = {t: F.lit(True) for t in ("device", "phone", "ip")}, F.lit(True)
@@ -159,9 +168,9 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _through_rare(sized: DataFrame, people: DataFrame, busy_over: int, new_days: int) -> DataFrame:
+def _through_rare(sized: DataFrame, people: DataFrame, busy_over: int, any_busy: bool, new_days: int) -> DataFrame:
     rare = sized.where(F.col("users") <= busy_over)
-    return _pair_measures(_pairs(rare, rare), people, True, new_days)
+    return _pair_measures(_pairs(rare, rare), people, any_busy, new_days)
 
 
 def _through_many_busy(sized: DataFrame, people: DataFrame, busy_over: int, max_subset: int, new_days: int) -> DataFrame:

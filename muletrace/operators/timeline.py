@@ -8,17 +8,35 @@ tasks as it has blocks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from muletrace.session import cut_lineage
+
 ROWS_PER_BLOCK = 1_000_000
 BURST_US = 600_000_000
 
 
-def with_blocks(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, min_width_us: int = BURST_US) -> DataFrame:
-    """Add ``block`` and ``width_us`` (null width: the whole time line is one block)."""
-    busy = (
+MAX_BROADCAST_ACCOUNTS = 200_000
+
+
+@dataclass(frozen=True)
+class HotAccounts:
+    """Accounts that need more than one block, with their block width; ``table`` is None when there are none."""
+
+    table: DataFrame | None
+    broadcastable: bool = True
+
+
+def hot_accounts(
+    events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, min_width_us: int = BURST_US
+) -> HotAccounts:
+    """Find the accounts with more than ``rows_per_block`` rows. There are at most rows / rows_per_block of them, and
+    the table is broadcast only when its counted size allows."""
+    hot = (
         events.groupBy("account")
         .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
         .where(F.col("n") > rows_per_block)
@@ -30,20 +48,31 @@ def with_blocks(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, min_wid
             ).alias("width_us"),
         )
     )
-    return events.join(busy, "account", "left").withColumn(
-        "block", F.coalesce(F.floor(F.col("us") / F.col("width_us")), F.lit(0)).cast("bigint")
-    )
+    hot = cut_lineage(hot)
+    n = hot.count()
+    return HotAccounts(hot if n else None, n <= MAX_BROADCAST_ACCOUNTS)
 
 
-def hold_pairs(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def with_blocks(events: DataFrame, hot: HotAccounts) -> tuple[DataFrame, list[str]]:
+    """Add ``block`` and ``width_us`` (null width: one block), and name the keys of an ordered group."""
+    if hot.table is None:
+        whole = events.withColumns({"width_us": F.lit(None).cast("bigint"), "block": F.lit(0).cast("bigint")})
+        return whole, ["account"]
+    side = F.broadcast(hot.table) if hot.broadcastable else hot.table
+    block = F.coalesce(F.floor(F.col("us") / F.col("width_us")), F.lit(0)).cast("bigint")
+    return events.join(side, "account", "left").withColumn("block", block), ["account", "block"]
+
+
+def hold_pairs(events: DataFrame, hot: HotAccounts | None = None) -> DataFrame:
     """First-in-first-out matching of debits to credits: (account, m, hold_us).
 
     In time order (credits first on equal times) a debit takes the earliest unused credit not later than itself, or is
     skipped. With C = credits so far and j = number of the debit, the count of matched debits is
     M(j) = j + min(0, min over i<=j of (C(i) - i)); debit j is matched exactly when M grows, and to credit number M.
     """
-    slim = with_blocks(events.select("account", "us", "dir", "txn_id"), rows_per_block)
-    w = W.partitionBy("account", "block").orderBy("us", "dir", "txn_id").rowsBetween(W.unboundedPreceding, 0)
+    hot = hot or hot_accounts(events)
+    slim, keys = with_blocks(events.select("account", "us", "dir", "txn_id"), hot)
+    w = W.partitionBy(*keys).orderBy("us", "dir", "txn_id").rowsBetween(W.unboundedPreceding, 0)
     is_c, is_d = F.col("dir") == "C", F.col("dir") == "D"
     local = slim.select(
         "account",
@@ -55,21 +84,15 @@ def hold_pairs(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     )
     slack = F.when(is_d, F.col("c") - F.col("d"))
     order = ["us", "c", "d"]
-    w2 = W.partitionBy("account", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("account", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    w2 = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = local.withColumn("low", F.min(slack).over(w2)).withColumn("low_before", F.min(slack).over(before))
 
-    blocks = local.groupBy("account", "block").agg(
-        F.max("c").alias("bc"), F.max("d").alias("bd"), F.min("low").alias("bl")
-    )
-    prior = W.partitionBy("account").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        blocks.withColumn("cc", F.coalesce(F.sum("bc").over(prior), F.lit(0)))
-        .withColumn("cd", F.coalesce(F.sum("bd").over(prior), F.lit(0)))
-        .withColumn("cl", F.min(F.col("cc") - F.col("cd") + F.col("bl")).over(prior))
-        .select("account", "block", "cc", "cd", "cl")
-    )
-    rows = local.join(carried, ["account", "block"])
+    if hot.table is None:
+        zero = F.lit(0).cast("bigint")
+        rows = local.withColumns({"cc": zero, "cd": zero, "cl": F.lit(None).cast("bigint")})
+    else:
+        rows = local.join(_hold_carry(local), ["account", "block"])
     shift = F.col("cc") - F.col("cd")
     j = F.col("cd") + F.col("d")
     matched_now = j + F.least(F.lit(0), F.col("cl"), shift + F.col("low"))
@@ -92,13 +115,28 @@ def hold_pairs(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     )
 
 
-def burst(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, span_us: int = BURST_US) -> DataFrame:
+def _hold_carry(local: DataFrame) -> DataFrame:
+    """Credits, debits and lowest C - j before each block."""
+    blocks = local.groupBy("account", "block").agg(
+        F.max("c").alias("bc"), F.max("d").alias("bd"), F.min("low").alias("bl")
+    )
+    prior = W.partitionBy("account").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        blocks.withColumn("cc", F.coalesce(F.sum("bc").over(prior), F.lit(0)))
+        .withColumn("cd", F.coalesce(F.sum("bd").over(prior), F.lit(0)))
+        .withColumn("cl", F.min(F.col("cc") - F.col("cd") + F.col("bl")).over(prior))
+        .select("account", "block", "cc", "cd", "cl")
+    )
+
+
+def burst(events: DataFrame, hot: HotAccounts | None = None, span_us: int = BURST_US) -> DataFrame:
     """Largest number of events of an account in any window of ``span_us``, both ends included.
 
     The first ``span_us`` of every block is also given to the block before it, as rows that are counted but start no
     window of their own.
     """
-    slim = with_blocks(events.select("account", "us"), rows_per_block, span_us)
+    hot = hot or hot_accounts(events, min_width_us=span_us)
+    slim, keys = with_blocks(events.select("account", "us"), hot)
     head = (F.col("us") - F.col("block") * F.col("width_us")) <= span_us
     copies = F.when(
         F.col("width_us").isNotNull() & head,
@@ -107,8 +145,11 @@ def burst(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, span_us: int
             F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("starts")),
         ),
     ).otherwise(F.array(F.struct(F.col("block").alias("block"), F.lit(True).alias("starts"))))
-    rows = slim.select("account", "us", F.inline(copies))
-    w = W.partitionBy("account", "block").orderBy("us").rangeBetween(0, span_us)
+    if hot.table is None:
+        rows = slim.select("account", "us", F.lit(True).alias("starts"))
+    else:
+        rows = slim.select("account", "us", F.inline(copies))
+    w = W.partitionBy(*keys).orderBy("us").rangeBetween(0, span_us)
     return (
         rows.withColumn("c", F.count(F.lit(1)).over(w))
         .where("starts")
@@ -117,14 +158,15 @@ def burst(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, span_us: int
     )
 
 
-def worst_balance(events: DataFrame, accounts: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def worst_balance(events: DataFrame, accounts: DataFrame, hot: HotAccounts | None = None) -> DataFrame:
     """Closing and lowest running balance per account, in (ts, txn_id) order, debits applied as they come.
 
     ``repaired_opening_paise`` is the opening balance that keeps the account from ever going below 100 paise short.
     """
     delta = F.when(F.col("dir") == "C", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
-    slim = with_blocks(events.select("account", "us", "txn_id", "dir", delta.alias("delta")), rows_per_block)
-    w = W.partitionBy("account", "block").orderBy("us", "txn_id", "dir").rowsBetween(W.unboundedPreceding, 0)
+    hot = hot or hot_accounts(events)
+    slim, keys = with_blocks(events.select("account", "us", "txn_id", "dir", delta.alias("delta")), hot)
+    w = W.partitionBy(*keys).orderBy("us", "txn_id", "dir").rowsBetween(W.unboundedPreceding, 0)
     run = slim.select("account", "block", "delta", F.sum("delta").over(w).alias("run"))
     blocks = run.groupBy("account", "block").agg(F.sum("delta").alias("total"), F.min("run").alias("low"))
     prior = W.partitionBy("account").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

@@ -75,7 +75,7 @@ def main() -> int:
         try:
             status, info = compare(spark, con, name, qs[name], sqls.get(name))
         except Exception as e:  # noqa: BLE001
-            status, info = "ERROR", str(e)[:1500]
+            status, info = "ERROR", str(e)[:700]
         bad += status not in ("ok", "rows")
         print(f"{status:8} {name}: {info}", flush=True)
     print("bad:", bad)
