@@ -10,6 +10,7 @@ from muletrace.operators import events as ev
 from muletrace.operators import identity, timeline
 from muletrace.operators.quantiles import grouped_median
 from muletrace.schemas import drop_labels
+from muletrace.session import cut_lineage
 
 # The three column sets of the matrix.
 V1_FEATURES = [
@@ -115,7 +116,8 @@ def feature_matrix(
     accounts: DataFrame, ledger: DataFrame, links: DataFrame, score_v1, geo: bool = True, busy_over: int = 64
 ) -> DataFrame:
     """Full matrix. ``score_v1`` maps the money features to ``(account, ..., v1_bp)`` for the neighbour risk."""
-    base = score_v1(transaction_features(accounts, ledger))
+    # read twice (neighbour scores and the result): one row per account, written once
+    base = cut_lineage(score_v1(transaction_features(accounts, ledger)))
     ident = identity_features(accounts, links, base.select("account", "v1_bp"), busy_over)
     out = base.join(ident, "account", "left")
     if geo:
