@@ -105,8 +105,7 @@ def ring_alerts(spark, d):
 
 @query(
     "alerts_with_ring",
-    """SELECT alert_id, a.ring_id, fired_at, CASE WHEN known THEN risk END risk, CASE WHEN known THEN members ELSE 0 END members,
-        CASE WHEN known THEN volume_paise END volume_paise
+    """SELECT alert_id, a.ring_id, fired_at, CASE WHEN known THEN risk END risk, CASE WHEN known THEN members ELSE 0 END members
        FROM (SELECT *, CAST(substr(ring_id,5) AS INT)%4<>3 known FROM alerts) a JOIN ring_summary USING(ring_id)""",
 )
 def alerts_with_ring(spark, d):
@@ -114,7 +113,7 @@ def alerts_with_ring(spark, d):
     t = Tables(spark, d)
     known = rings.ring_summary(t.ledger, t.members, t.scores()).where(F.expr("cast(substring(ring_id, 5) as int) % 4 <> 3"))
     return rings.alerts_with_ring(rings.alerts(t.ledger, t.members), known).select(
-        "alert_id", "ring_id", "fired_at", "risk", "members", "volume_paise"
+        "alert_id", "ring_id", "fired_at", "risk", "members"
     )
 
 

@@ -49,7 +49,7 @@ UNION ALL SELECT DISTINCT concat('IP',lpad(CAST(u%11 AS VARCHAR),6,'0')), 'ip',
 VIEWS["hits"] = """
 SELECT concat('HIT',eid) hit_id, ts, lat, lng, city,
        CASE et WHEN 'purchase' THEN 'atm_cashout' WHEN 'error' THEN 'mule_activity' ELSE 'p2p_transfer' END hit_type,
-       amt amount_paise, victim is_fraud, least(0.99e0, round(value/400,3)) risk_score, au account FROM ev"""
+       amt amount_paise, victim is_fraud, least(0.99e0, ((amt*2+40)//80)/1000e0) risk_score, au account FROM ev"""
 
 VIEWS["planted"] = """
 SELECT DISTINCT concat('RING',lpad(CAST((u-u%10)//10 AS VARCHAR),6,'0')) ring_id,

@@ -110,7 +110,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "purchase", "atm_cashout").when(et == "error", "mule_activity").otherwise("p2p_transfer").alias("hit_type"),
         F.col("amt").alias("amount_paise"),
         F.col("victim").alias("is_fraud"),
-        F.least(F.lit(0.99), F.round(F.col("value") / F.lit(400.0), 3)).alias("risk_score"),
+        F.least(F.lit(0.99), F.expr("(amt * 2 + 40) div 80") / F.lit(1000.0)).alias("risk_score"),
         acc(F.col("u")).alias("account"),
     )
 
