@@ -162,6 +162,9 @@ FROM (SELECT ring_id, count(*) members FROM planted GROUP BY 1) m
 LEFT JOIN (SELECT ring_id, CAST(sum(amount_paise) AS BIGINT) volume_paise, count(*) transfers FROM internal GROUP BY 1) i USING(ring_id)
 LEFT JOIN (SELECT ring_id, round(avg(v2_bp)/10000e0,4) risk FROM planted JOIN scored USING(account) GROUP BY 1) r USING(ring_id)"""
 
+# read once per recursion step: computed once
+STORED = {"case_txn", "channels", "ledger"}
+
 _NAME = {n: re.compile(rf"\b{n}\b") for n in VIEWS}
 
 
@@ -182,7 +185,7 @@ def complete(sql: str) -> str:
                 todo.append(VIEWS[n])
     if not needed:
         return sql
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({VIEWS[n]})" for n in VIEWS if n in needed)
     body = sql.strip()
     if body[:14].upper() == "WITH RECURSIVE":
         return f"WITH RECURSIVE {ctes}, {body[14:]}"
