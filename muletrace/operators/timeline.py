@@ -48,9 +48,8 @@ def hot_accounts(
             ).alias("width_us"),
         )
     )
-    hot = cut_lineage(hot)
     n = hot.count()
-    return HotAccounts(hot if n else None, n <= MAX_BROADCAST_ACCOUNTS)
+    return HotAccounts(cut_lineage(hot) if n else None, n <= MAX_BROADCAST_ACCOUNTS)
 
 
 def with_blocks(events: DataFrame, hot: HotAccounts) -> tuple[DataFrame, list[str]]:

@@ -31,12 +31,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.col("value") * 100).cast("bigint").alias("amt"),
             F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
-        .withColumn("v", ((u - u % 10) + (F.col("k") + 1 + u) % 10) % n)
-        .withColumn("victim", (F.col("et") == "error") & (F.col("event_id") % 50 == 0))
-        .withColumn("ci", F.when(F.col("event_id") % 10 == 0, (u + 1) % 15).otherwise(u % 15))
-        .withColumn("lat", F.lit(8.503) + F.lit(1.7) * F.col("ci") + (F.col("event_id") % 21 - 10) * F.lit(0.0053))
-        .withColumn("lng", F.lit(69.503) + F.lit(1.6) * (F.col("ci") * 4 % 15) + (F.col("event_id") % 17 - 8) * F.lit(0.0053))
-        .withColumn("city", F.concat(F.lit("CITY_"), F.lpad(F.col("ci").cast("string"), 2, "0")))
+        .withColumns(
+            {
+                "v": ((u - u % 10) + (F.col("k") + 1 + u) % 10) % n,
+                "victim": (F.col("et") == "error") & (F.col("event_id") % 50 == 0),
+                "ci": F.when(F.col("event_id") % 10 == 0, (u + 1) % 15).otherwise(u % 15),
+            }
+        )
+        .withColumns(
+            {
+                "lat": F.lit(8.503) + F.lit(1.7) * F.col("ci") + (F.col("event_id") % 21 - 10) * F.lit(0.0053),
+                "lng": F.lit(69.503) + F.lit(1.6) * (F.col("ci") * 4 % 15) + (F.col("event_id") % 17 - 8) * F.lit(0.0053),
+                "city": F.concat(F.lit("CITY_"), F.lpad(F.col("ci").cast("string"), 2, "0")),
+            }
+        )
     )
 
 
