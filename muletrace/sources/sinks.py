@@ -54,8 +54,8 @@ def publish_snapshot(tables: dict[str, DataFrame], folder: str, source: str, pro
         if counts[name] == 0:
             raise ValueError(f"snapshot table {name} is empty; version {version} not published")
     meta = {"version": version, "source": source, "profile": profile, "counts": counts, "at": int(time.time())}
-    fs, pointer, jvm = _fs(spark, f"{folder}/_current.json")
-    fs, temp, _ = _fs(spark, f"{folder}/_next.json")
+    fs, pointer, jvm = _fs(spark, f"{folder}/current.json")
+    fs, temp, _ = _fs(spark, f"{folder}/next.json")
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps(meta).encode()))
     out.close()
@@ -72,9 +72,9 @@ def current_version(spark: SparkSession, folder: str) -> int | None:
 
 
 def snapshot_meta(spark: SparkSession, folder: str) -> dict | None:
-    if not _has_data(spark, f"{folder}/_current.json"):
+    if not _has_data(spark, f"{folder}/current.json"):
         return None
-    text = spark.read.text(f"{folder}/_current.json", wholetext=True).first()[0]
+    text = spark.read.text(f"{folder}/current.json", wholetext=True).first()[0]
     return json.loads(text)
 
 

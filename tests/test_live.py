@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,10 +35,12 @@ def test_stream_equals_batch(spark, tmp_path):
     broken = json.loads(rows[-1])
     for i, change in enumerate([{"amount_paise": -5}, {"ts": "yesterday"}, {"channel": "POST"}]):
         doc = {**broken, "txn": {**broken["txn"], **change, "id": f"BAD{i}"}}
-        (folder / f"9{i}.json").write_text(json.dumps(doc) + "\n")
+        (folder / f"99999{i}.json").write_text(json.dumps(doc) + "\n")
     late = [{**json.loads(r), "txn": {**json.loads(r)["txn"], "id": f"LATE{i}"}} for i, r in enumerate(rows[:10])]
-    (folder / "999999.json").write_text("\n".join(map(json.dumps, late)) + "\n")
+    (folder / "9999999.json").write_text("\n".join(map(json.dumps, late)) + "\n")
 
+    for i, f in enumerate(sorted(folder.iterdir())):  # files are taken in time order
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     q = live.run_live(readers.stream_lines(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(600)
     assert q.exception() is None
