@@ -51,8 +51,10 @@ def median_hold(events: DataFrame, hot: timeline.HotAccounts | None = None) -> D
 def transaction_features(accounts: DataFrame, ledger: DataFrame, rows_per_block: int = timeline.ROWS_PER_BLOCK) -> DataFrame:
     """The 13 money features, one row per account, also for accounts without transfers."""
     e = ev.account_events(ev.with_us(drop_labels(ledger)))
-    act = ev.activity(e)
-    hot = timeline.hot_accounts(e, rows_per_block)
+    # one row per account; it also tells which accounts are hot, without another pass over the ledger
+    act = cut_lineage(ev.activity(e))
+    sizes = act.select("account", (F.col("txn_in") + F.col("txn_out")).alias("n"), F.col("first_us").alias("lo"), F.col("last_us").alias("hi"))
+    hot = timeline.hot_from_sizes(sizes, rows_per_block)
     hold = median_hold(e, hot)
     bst = timeline.burst(e, hot)
     zero_long = ["amount_in", "amount_out", "txn_in", "txn_out", "atm_out", "in_degree", "out_degree", "counterparties"]

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from muletrace.operators.quantiles import grouped_median
 from muletrace.schemas import is_pseudo
-from muletrace.session import cut_lineage, small_side
+from muletrace.session import cut_counting, cut_lineage, small_side
 
-EDGES_PER_GROUP = 50_000
+EDGES_PER_GROUP = 200_000
 
 
 def seeds(scores: DataFrame, threshold: float = 0.5, fallback: float = 0.3) -> DataFrame:
@@ -110,8 +110,10 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     of the neighbours and then jumps to that label's own label, so long chains shorten geometrically.
     """
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("component"), F.lit(True).alias("moved")))
-    while n := label.where("moved").count():
+    label, n = cut_counting(
+        nodes.select(F.col("node"), F.col("node").alias("component"), F.lit(True).alias("moved")), F.lit(True)
+    )
+    while n:
         active = label.where("moved").select(F.col("node").alias("a"), "component")
         heard = both.join(small_side(active, n), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
         step = label.join(heard, "node", "left").select(
@@ -119,13 +121,11 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
         # pointer jump
         own = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        label = cut_lineage(
-            step.join(own, "next", "left").select(
-                "node",
-                F.least("next", "far").alias("component"),
-                (F.least("next", "far") < F.col("component")).alias("moved"),
-            )
+        nearest = F.least("next", "far")
+        jumped = step.join(own, "next", "left").select(
+            "node", nearest.alias("component"), (nearest < F.col("component")).alias("moved")
         )
+        label, n = cut_counting(jumped, F.col("moved"))
     return label.select("node", "component")
 
 
@@ -244,8 +244,8 @@ def _propagate(rows: DataFrame, max_rounds: int) -> DataFrame:
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
         moved = label.join(best.select(F.col("x").alias("node"), F.col("m.l").alias("l")), "node", "left")
         now = moved.select("node", F.when(turn & F.col("l").isNotNull(), F.col("l")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"))
-        now = cut_lineage(now)
-        quiet = quiet + 1 if now.where(F.col("label") != F.col("old")).isEmpty() else 0
+        now, changed = cut_counting(now, F.col("label") != F.col("old"))
+        quiet = 0 if changed else quiet + 1
         label = now.select("node", "label")
         if quiet == 2:
             break
@@ -272,10 +272,13 @@ def discover_rings(
     """
     scores = cut_lineage(scores.select("account", "v2_bp"))
     seed = cut_lineage(seeds(scores, threshold))
-    inside = cut_lineage(candidates(accounts, ledger, links, scores, seed, neighbour_floor))
+    # every later step needs pair totals only: one small table instead of passes over the ledger
+    pairs = ledger.where(~is_pseudo(F.col("src")) & ~is_pseudo(F.col("dst"))).groupBy("src", "dst")
+    pairs = cut_lineage(pairs.agg(F.sum("amount_paise").alias("amount_paise")))
+    inside = cut_lineage(candidates(accounts, pairs, links, scores, seed, neighbour_floor))
     ring_like = ring_like_identifiers(links, seed)
     stars = cut_lineage(identity_stars(links, ring_like, inside))
-    found = communities(money_edges(ledger, inside), stars, edges_per_group)
+    found = communities(money_edges(pairs, inside), stars, edges_per_group)
     tied = stars.select("account").distinct().withColumn("tied", F.lit(True))
     kept = (
         found.join(scores, "account", "left")
@@ -308,13 +311,14 @@ def discover_with_retries(accounts, ledger, links, scores, thresholds=(0.5, 0.3,
 def hop_distance(edges: DataFrame, start: DataFrame, key: str = "ring_id") -> DataFrame:
     """(key, account, hop): fewest transfers from any start account. ``edges(key, src, dst)``."""
     e = cut_lineage(edges.select(key, "src", "dst").distinct())
-    found = cut_lineage(start.select(key, "account").distinct().withColumn("hop", F.lit(0)))
+    found, n = cut_counting(start.select(key, "account").distinct().withColumn("hop", F.lit(0)), F.lit(True))
     hop = 0
-    while n := found.where(F.col("hop") == hop).count():
+    while n:
         front = found.where(F.col("hop") == hop).select(key, F.col("account").alias("src"))
         hop += 1
         step = e.join(small_side(front, n), [key, "src"]).select(key, F.col("dst").alias("account"), F.lit(hop).alias("hop"))
-        found = cut_lineage(found.unionByName(step).groupBy(key, "account").agg(F.min("hop").alias("hop")))
+        reached = found.unionByName(step).groupBy(key, "account").agg(F.min("hop").alias("hop"))
+        found, n = cut_counting(reached, F.col("hop") == hop)
     return found
 
 
@@ -329,16 +333,16 @@ def layer_columns(edges: DataFrame, hops: DataFrame, key: str = "ring_id") -> Da
     forward = edges.select(key, "src", "dst").distinct().join(h1, [key, "src"]).join(h2, [key, "dst"])
     ahead = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("src") < F.col("dst")))
     forward = cut_lineage(forward.where(ahead).select(key, "src", "dst"))
-    col = cut_lineage(hops.where(F.col("hop") == 0).select(key, "account", F.lit(0).alias("column"), F.lit(True).alias("fresh")))
-    while n := col.where("fresh").count():
+    first = hops.where(F.col("hop") == 0).select(key, "account", F.lit(0).alias("column"), F.lit(True).alias("fresh"))
+    col, n = cut_counting(first, F.lit(True))
+    while n:
         front = col.where("fresh").select(key, F.col("account").alias("src"), (F.col("column") + 1).alias("column"))
         step = forward.join(small_side(front, n), [key, "src"]).select(key, F.col("dst").alias("account"), "column")
         old = col.select(key, "account", "column", F.col("column").alias("old"))
         merged = old.unionByName(step, allowMissingColumns=True).groupBy(key, "account")
         merged = merged.agg(F.max("column").alias("column"), F.max("old").alias("old"))
-        col = cut_lineage(
-            merged.select(key, "account", "column", (F.col("old").isNull() | (F.col("column") > F.col("old"))).alias("fresh"))
-        )
+        fresh = F.col("old").isNull() | (F.col("column") > F.col("old"))
+        col, n = cut_counting(merged.select(key, "account", "column", fresh.alias("fresh")), F.col("fresh"))
     return col.select(key, "account", "column")
 
 

@@ -36,18 +36,15 @@ def hot_accounts(
 ) -> HotAccounts:
     """Find the accounts with more than ``rows_per_block`` rows. There are at most rows / rows_per_block of them, and
     the table is broadcast only when its counted size allows."""
-    hot = (
-        events.groupBy("account")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
-        .where(F.col("n") > rows_per_block)
-        .select(
-            "account",
-            F.greatest(
-                ((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / F.lit(rows_per_block))).cast("bigint"),
-                F.lit(min_width_us),
-            ).alias("width_us"),
-        )
-    )
+    sizes = events.groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    return hot_from_sizes(sizes, rows_per_block, min_width_us)
+
+
+def hot_from_sizes(sizes: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, min_width_us: int = BURST_US) -> HotAccounts:
+    """The same from ``sizes(account, n, lo, hi)``: rows per account, first and last time."""
+    span = F.col("hi") - F.col("lo") + 1
+    width = (span / F.ceil(F.col("n") / F.lit(rows_per_block))).cast("bigint")
+    hot = sizes.where(F.col("n") > rows_per_block).select("account", F.greatest(width, F.lit(min_width_us)).alias("width_us"))
     n = hot.count()
     return HotAccounts(cut_lineage(hot) if n else None, n <= MAX_BROADCAST_ACCOUNTS)
 

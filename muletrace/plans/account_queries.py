@@ -9,6 +9,7 @@ from muletrace.operators import events as ev
 from muletrace.operators import features, identity, scoring, timeline
 from muletrace.plans.registry import query
 from muletrace.plans.tables import Tables, rounded
+from muletrace.session import cut_lineage
 
 
 @query(
@@ -36,9 +37,11 @@ def account_events(spark, d):
 def account_activity(spark, d):
     e = Tables(spark, d).events
     span = (F.col("last_us") - F.col("first_us")) / F.lit(3.6e9)
+    act = cut_lineage(ev.activity(e))
+    n = F.col("txn_in") + F.col("txn_out")
+    hot = timeline.hot_from_sizes(act.select("account", n.alias("n"), F.col("first_us").alias("lo"), F.col("last_us").alias("hi")))
     return (
-        ev.activity(e)
-        .join(timeline.burst(e), "account")
+        act.join(timeline.burst(e, hot), "account")
         .select(
             "account",
             "amount_in",

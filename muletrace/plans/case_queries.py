@@ -148,8 +148,8 @@ def flow_graph(spark, d):
 
 @query(
     "freeze_reachability",
-    """WITH RECURSIVE fz AS (SELECT ring_id, account FROM planted WHERE CAST(substr(account,4) AS INT)%3=0),
-     e AS (SELECT * FROM channels c WHERE dst<>src AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.src) AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.dst) AND CAST(substr(src,4) AS INT)%2=CASE WHEN dst='CASH' THEN 0 ELSE CAST(substr(src,4) AS INT)%2 END),
+    """WITH RECURSIVE fz AS (SELECT ring_id, account FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%3=0),
+     e AS (SELECT * FROM channels c WHERE dst<>src AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.src) AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.dst) AND TRY_CAST(substr(src,4) AS INT)%2=CASE WHEN dst='CASH' THEN 0 ELSE TRY_CAST(substr(src,4) AS INT)%2 END),
      r(ring_id, account) AS (SELECT ring_id, src FROM e WHERE dst='CASH' UNION SELECT e.ring_id, e.src FROM e JOIN r ON r.ring_id=e.ring_id AND r.account=e.dst)
      SELECT ring_id, account FROM r""",
 )

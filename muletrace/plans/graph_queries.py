@@ -142,7 +142,7 @@ def rings_discovered_summary(spark, d):
 
 sqlviews.define(
     "foundv",
-    "SELECT concat('F', lpad(CAST((CAST(substr(account,4) AS INT)+CAST(substr(account,4) AS INT)//37)//8 AS VARCHAR),6,'0')) right_id, account FROM accounts",
+    "SELECT concat('F', lpad(CAST((TRY_CAST(substr(account,4) AS INT)+TRY_CAST(substr(account,4) AS INT)//37)//8 AS VARCHAR),6,'0')) right_id, account FROM accounts",
 )
 
 
@@ -227,7 +227,7 @@ def live_quality(spark, d):
 @query(
     "hop_distance",
     """WITH RECURSIVE e AS (SELECT ring_id, src, dst FROM internal WHERE TRY_CAST(substr(dst,4) AS INT)-TRY_CAST(substr(src,4) AS INT) IN (1,2,-4)),
-     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12)
+     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12)
      SELECT ring_id, account, min(hop) hop FROM r GROUP BY 1,2""",
 )
 def hop_distance(spark, d):
@@ -237,7 +237,7 @@ def hop_distance(spark, d):
 @query(
     "layer_columns",
     """WITH RECURSIVE e AS (SELECT DISTINCT ring_id, src, dst FROM internal WHERE TRY_CAST(substr(dst,4) AS INT)-TRY_CAST(substr(src,4) AS INT) IN (1,2,-4)),
-     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12),
+     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12),
      h AS (SELECT ring_id, account, min(hop) hop FROM r GROUP BY 1,2),
      f AS (SELECT e.* FROM e JOIN h a ON a.ring_id=e.ring_id AND a.account=e.src JOIN h b ON b.ring_id=e.ring_id AND b.account=e.dst WHERE a.hop<b.hop OR (a.hop=b.hop AND e.src<e.dst)),
      c AS (SELECT ring_id, account, 0 col FROM h WHERE hop=0 UNION SELECT f.ring_id, f.dst, col+1 FROM c JOIN f ON f.ring_id=c.ring_id AND f.src=c.account)

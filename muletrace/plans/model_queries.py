@@ -93,7 +93,7 @@ def touched_accounts(spark, d):
 @query(
     "score_changes",
     """WITH n AS (SELECT account, v2_bp, CASE WHEN v2_bp>=8000 THEN 'CRITICAL' WHEN v2_bp>=6000 THEN 'HIGH' WHEN v2_bp>=3500 THEN 'MEDIUM' ELSE 'LOW' END band, txn_in+txn_out txns FROM scored),
-      o AS (SELECT account, CAST(v2_bp+CAST(substr(account,4) AS INT)*37%400-200 AS BIGINT) obp FROM scored WHERE CAST(substr(account,4) AS INT)%5<>0)
+      o AS (SELECT account, CAST(v2_bp+TRY_CAST(substr(account,4) AS INT)*37%400-200 AS BIGINT) obp FROM scored WHERE TRY_CAST(substr(account,4) AS INT)%5<>0)
       SELECT n.account, v2_bp, band, txns<3 provisional FROM n LEFT JOIN o USING(account) WHERE obp IS NULL OR abs(v2_bp-obp)>=200 OR band<>CASE WHEN obp>=8000 THEN 'CRITICAL' WHEN obp>=6000 THEN 'HIGH' WHEN obp>=3500 THEN 'MEDIUM' ELSE 'LOW' END""",
 )
 def score_changes(spark, d):

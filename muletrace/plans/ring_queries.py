@@ -106,7 +106,7 @@ def ring_alerts(spark, d):
 @query(
     "alerts_with_ring",
     """SELECT alert_id, a.ring_id, fired_at, CASE WHEN known THEN risk END risk, CASE WHEN known THEN members ELSE 0 END members
-       FROM (SELECT *, CAST(substr(ring_id,5) AS INT)%4<>3 known FROM alerts) a JOIN ring_summary USING(ring_id)""",
+       FROM (SELECT *, TRY_CAST(substr(ring_id,5) AS INT)%4<>3 known FROM alerts) a JOIN ring_summary USING(ring_id)""",
 )
 def alerts_with_ring(spark, d):
     """A quarter of the rings is held back from the summary side, so dangling alerts occur."""
@@ -182,7 +182,7 @@ def export_roles(spark, d):
 @query(
     "complete_ring",
     """WITH ed AS (SELECT ring_id, src, dst, CAST(sum(amount_paise) AS BIGINT) amount_paise FROM internal GROUP BY 1,2,3),
-     dep AS (SELECT ring_id, src, dst, amount_paise FROM ledger JOIN planted p ON p.account=dst WHERE src LIKE 'VICTIM%' AND CAST(substr(ring_id,5) AS INT)%2=0),
+     dep AS (SELECT ring_id, src, dst, amount_paise FROM ledger JOIN planted p ON p.account=dst WHERE src LIKE 'VICTIM%' AND TRY_CAST(substr(ring_id,5) AS INT)%2=0),
      r AS (SELECT roles.*, EXISTS(SELECT 1 FROM ed WHERE ed.ring_id=roles.ring_id AND ed.dst=roles.account) paid FROM roles WHERE ring_id NOT IN (SELECT ring_id FROM dep)),
      t AS (SELECT *, CASE WHEN role='source' THEN 1 WHEN NOT paid THEN 2 ELSE 3 END tier FROM r),
      c AS (SELECT t.* FROM t JOIN (SELECT ring_id, min(tier) bt, min(account) fa FROM t GROUP BY 1) b ON b.ring_id=t.ring_id AND t.tier=b.bt AND (t.tier<3 OR t.account=b.fa))

@@ -233,7 +233,7 @@ def ledger_rejects(spark, d):
     return bad.select("txn_id", F.array_join("broken_rules", ",").alias("broken"))
 
 
-@query("unknown_accounts", "SELECT DISTINCT account FROM acct_ev WHERE account NOT IN (SELECT account FROM accounts WHERE CAST(substr(account,4) AS INT)%9<>0)")
+@query("unknown_accounts", "SELECT DISTINCT account FROM acct_ev WHERE account NOT IN (SELECT account FROM accounts WHERE TRY_CAST(substr(account,4) AS INT)%9<>0)")
 def unknown_accounts(spark, d):
     """Accounts divisible by nine are taken out of the account table, so gaps exist."""
     t = Tables(spark, d)
@@ -262,7 +262,7 @@ def merged_delivery(spark, d):
 
 @query(
     "alerts_latest_ring",
-    """SELECT alert_id, a.ring_id, CAST(m AS BIGINT) members, version FROM alerts a JOIN (SELECT ring_id, max(CASE WHEN CAST(substr(account,4) AS INT)%10<4 THEN 1 WHEN CAST(substr(account,4) AS INT)%10<7 THEN 2 ELSE 3 END) version, count(*) m FROM planted GROUP BY 1) USING(ring_id)""",
+    """SELECT alert_id, a.ring_id, CAST(m AS BIGINT) members, version FROM alerts a JOIN (SELECT ring_id, max(CASE WHEN TRY_CAST(substr(account,4) AS INT)%10<4 THEN 1 WHEN TRY_CAST(substr(account,4) AS INT)%10<7 THEN 2 ELSE 3 END) version, count(*) m FROM planted GROUP BY 1) USING(ring_id)""",
 )
 def alerts_latest_ring(spark, d):
     """Rings that grew over three versions; each alert shows the newest."""

@@ -56,8 +56,8 @@ SELECT DISTINCT concat('RING',lpad(CAST((u-u%10)//10 AS VARCHAR),6,'0')) ring_id
        concat('ACC', lpad(CAST(u AS VARCHAR),6,'0')) account FROM e0"""
 
 VIEWS["truth"] = """
-SELECT ring_id, account, CASE CAST(substr(ring_id,5,6) AS INT)%4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END pattern
-FROM planted WHERE CAST(substr(ring_id,5,6) AS INT)%3=0"""
+SELECT ring_id, account, CASE TRY_CAST(substr(ring_id,5,6) AS INT)%4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END pattern
+FROM planted WHERE TRY_CAST(substr(ring_id,5,6) AS INT)%3=0"""
 
 # account side events: one row per real endpoint of a transfer
 VIEWS["acct_ev"] = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """Like :func:`cut_lineage`, and how many rows meet the condition, counted while they are written."""
+    seen = Observation()
+    done = cut_lineage(df.observe(seen, F.count_if(condition).alias("n")))
+    return done, seen.get["n"]
+
+
 BROADCAST_ROWS = 200_000
 
 
