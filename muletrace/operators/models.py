@@ -164,7 +164,7 @@ def tree_nodes(model: PipelineModel, spark: SparkSession, folder: str) -> list[t
     most trees x 2**(depth + 1) nodes."""
     path = f"{folder}/gbt"
     model.stages[-1].write().overwrite().save(path)
-    weights = {r["treeID"]: r["weights"] for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
+    weights = model.stages[-1].treeWeights
     trees: dict[int, dict[int, tuple]] = {}
     for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
         sp = r["split"]
