@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import chat, exact
+from muletrace.llm import chat, decontaminate, exact, simhash
 from muletrace.llm.base import table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +56,52 @@ FROM w GROUP BY conv_id
 """
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and near-duplicate component."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows."""
+    hits = decontaminate.benchmark_hits(F.coalesce("text", F.lit("")), table(spark, sf_dir, "benchmark"))
+    found = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
+    return found.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("hits")).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS said
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (
+  SELECT r, size, k, array_to_string(w[k : k + size - 1], ' ') AS said
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM lowered, sizes WHERE len(w) >= size)
+), found AS (SELECT r, k, spots.size, item FROM spots JOIN windows USING (size, said)),
+hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT r, k, size FROM found)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents")).drop("row")
@@ -75,7 +121,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op10_exact_dedup)
 }
 
-CHECK_SQL = {"op1_chat_format": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
