@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import chat, decontaminate, exact, simhash
+from muletrace.llm import bpe, chat, decontaminate, exact, simhash
 from muletrace.llm.base import table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -102,6 +103,18 @@ FROM lowered LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    coder = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.coalesce("text", F.lit(""))).alias("ids"))
+    return coded.select(
+        "doc_id",
+        bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents")).drop("row")
@@ -121,7 +134,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op9_byte_bpe, op10_exact_dedup)
 }
 
 CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
