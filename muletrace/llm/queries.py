@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import bpe, chat, chunks, decontaminate, exact, simhash
+from muletrace.llm import bpe, chat, chunks, decontaminate, exact, simhash, suffixes
 from muletrace.llm.base import table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -109,6 +109,20 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "first_docs")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings that occur twice."""
+    done = suffixes.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    none = F.lit(0).cast("long")
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(removed, none).alias("n_removed"),
+        F.coalesce(F.size("runs").cast("long"), none).alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     coder = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -140,7 +154,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op9_byte_bpe, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
 }
 
 CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
