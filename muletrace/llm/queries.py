@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import bpe, chat, chunks, decontaminate, exact, simhash, suffixes
-from muletrace.llm.base import table
+from muletrace.llm import bpe, chat, chunks, decontaminate, exact, quality, simhash, suffixes, toxicity
+from muletrace.llm.base import held_out, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -57,6 +57,25 @@ FROM w GROUP BY conv_id
 """
 
 
+def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.toxicity_scorer(spark, model), toxicity.THRESHOLD)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _scored(docs, quality.quality_scorer(spark, model), quality.THRESHOLD)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and near-duplicate component."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -154,7 +173,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op3_toxicity, op4_quality, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
 }
 
 CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}

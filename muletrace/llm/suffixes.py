@@ -104,22 +104,25 @@ def text_units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _STRING_TYPE = T.ArrayType(
     T.StructType([_long("place"), T.StructField("hot", T.BooleanType()), T.StructField("lead", T.BinaryType()), T.StructField("data", T.BinaryType())])
 )
-_STRING = pa.list_(pa.struct([("place", pa.int64()), ("hot", pa.bool_()), ("lead", pa.binary()), ("data", pa.binary())]))
+_STRING = [pa.field("place", pa.int64()), pa.field("hot", pa.bool_()), pa.field("lead", pa.binary()), pa.field("data", pa.binary())]
 
 
 @F.arrow_udf(_STRING_TYPE)
 def unit_bytes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Bytes of the units that are asked for, and the leading bytes of the suffix at their anchor."""
     for texts, asked in batches:
-        out = []
+        offsets, places, hots, leads, strings = [0], [], [], [], []
         for t, units_ in zip(texts, asked):
             data = t.as_py().encode("utf-8", "replace")
-            row = []
             for u in units_.as_py():
                 start, size, lead = u["place"] >> 16, u["place"] >> 8 & 255, u["place"] & 255
-                row.append({"place": u["place"], "hot": u["hot"], "lead": data[start + lead : start + lead + GRAM], "data": data[start : start + size + LENGTH - 1]})
-            out.append(row)
-        yield pa.array(out, _STRING)
+                places.append(u["place"])
+                hots.append(u["hot"])
+                leads.append(data[start + lead : start + lead + GRAM])
+                strings.append(data[start : start + size + LENGTH - 1])
+            offsets.append(len(places))
+        flat = [pa.array(places, pa.int64()), pa.array(hots, pa.bool_()), pa.array(leads, pa.binary()), pa.array(strings, pa.binary())]
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, fields=_STRING))
 
 
 def equal_windows(buffer: bytes, at: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -155,7 +158,7 @@ def equal_windows(buffer: bytes, at: np.ndarray, group: np.ndarray) -> np.ndarra
 
 
 _SPAN = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_WINDOWS = 1 << 19  # sorted at a time, and a last anchor string's
+_WINDOWS = 1 << 18  # sorted at a time, and a last anchor string's
 
 
 def _spans(row: np.ndarray, first: np.ndarray, size: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
