@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import bpe, chat, chunks, decontaminate, exact, quality, simhash, suffixes, toxicity
+from muletrace.llm import bpe, chat, chunks, decontaminate, exact, pii, quality, simhash, suffixes, toxicity
 from muletrace.llm.base import held_out, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -57,6 +57,17 @@ FROM w GROUP BY conv_id
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data."""
+    docs = table(spark, sf_dir, "documents")
+    find = pii.pii_finder(spark, pii.fit_tagger(docs))
+    found = docs.select("doc_id", find(F.coalesce("text", F.lit(""))).alias("all"))
+    found = found.withColumn("base", F.filter("all", lambda s: s["base"]))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("all").alias("spans"))
+
+
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -173,7 +184,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_toxicity, op4_quality, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_pii, op3_toxicity, op4_quality, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
 }
 
 CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
