@@ -4,6 +4,7 @@ The pieces that the pattern cuts a text into are merged one by one. Symbols form
 adjacent pair whose joined bytes have a rank is put in the bucket of that rank. A bitmap over the ranks, with a bitmap of
 its non-zero words above it and one more above that, names the smallest rank in use by three find-first-set steps.
 Entries whose pair has changed meanwhile are stale and skipped. So a piece of n bytes takes O(n log n), however long.
+Pieces do not touch each other, so many of them go through one queue together.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 1 << 17  # pieces remembered, in each of two generations
+CACHE = 1 << 18  # pieces remembered
+LONG = 64  # characters of a piece that is not worth remembering
+TOGETHER = 1 << 19  # characters encoded together, or one text
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -35,43 +39,46 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank, then the leftmost position."""
+    """Positions by rank. ``first`` names the smallest rank in use; its bucket is a heap, so the leftmost goes first."""
 
     def __init__(self, ranks: int):
         self.words = [0] * (ranks + 64 >> 6)
         self.groups = [0] * (len(self.words) + 64 >> 6)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Positions of a rank that has none yet, in ascending order."""
+        self.buckets[rank] = positions
         word = rank >> 6
         self.words[word] |= 1 << (rank & 63)
         self.groups[word >> 6] |= 1 << (word & 63)
         self.top |= 1 << (word >> 6)
 
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.groups[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
-        bits = self.words[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
+    def push(self, rank: int, position: int) -> None:
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] &= ~(1 << (rank & 63))
+        if bucket:
+            heappush(bucket, position)
+        else:
+            self.fill(rank, [position])
+
+    def first(self) -> int:
+        """The smallest rank in use, -1 if there is none."""
+        top = self.top
+        while top:
+            group = (top & -top).bit_length() - 1
+            bits = self.groups[group]
+            word = group << 6 | (bits & -bits).bit_length() - 1
+            bits = self.words[word]
+            rank = word << 6 | (bits & -bits).bit_length() - 1
+            if self.buckets[rank]:
+                return rank
+            self.words[word] &= bits - 1
             if not self.words[word]:
                 self.groups[group] &= ~(1 << (word & 63))
                 if not self.groups[group]:
-                    self.top &= ~(1 << group)
-        return rank, position
+                    self.top = top = top & (top - 1)
+        return -1
 
 
 class Encoder:
@@ -80,65 +87,89 @@ class Encoder:
         self.rank = {t: r for r, t in enumerate(tokens)}
         self.pieces = regex.compile(pattern).findall
         self.queue = RankQueue(len(tokens))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        whole = self.rank.get(piece)
-        if whole is not None:
-            return [whole]
-        n, rank, queue = len(piece), self.rank.get, self.queue
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for t, r in self.rank.items():
+            if len(t) == 2:
+                self.pairs[t[0] << 8 | t[1]] = r
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pieces. They share one queue: whichever has the smallest rank goes on, none past its edges."""
+        text = b"".join(pieces)
+        n, rank, queue = len(text), self.rank.get, self.queue
+        ends = np.cumsum([len(p) for p in pieces])
+        edge = bytearray(n + 1)
+        edge[0] = 1
+        for e in ends.tolist():
+            edge[e] = 1
         after = list(range(1, n + 1))  # start of the next symbol
         before = list(range(-1, n - 1))
-        pending = [-1] * n  # rank of the pair that starts here; -1: none, or no symbol starts here
-        for k in range(n - 1):
-            r = rank(piece[k : k + 2])
-            if r is not None:
-                pending[k] = r
-                queue.push(r, k)
-        while (top := queue.pop()) is not None:
-            r, a = top
-            if pending[a] != r:
-                continue  # stale
-            b = after[a]
-            c = after[b]
-            after[a] = c
-            pending[b] = -1
-            if c < n:
-                before[c] = a
-                r = rank(piece[a : after[c]])
-                pending[a] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, a)
-            else:
-                pending[a] = -1
-            p = before[a]
-            if p >= 0:
-                r = rank(piece[p:c])
-                pending[p] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, p)
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        ranks = np.full(n, -1)
+        ranks[:-1] = self.pairs[data[:-1] << 8 | data[1:]]
+        ranks[ends[ends > 0] - 1] = -1
+        pending = ranks.tolist()  # rank of the pair that starts at a symbol; -1: none, or no symbol starts here
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            queue.fill(int(ranks[order[a]]), order[a:z].tolist())
+        buckets, push = queue.buckets, queue.push
+        while (r := queue.first()) >= 0:
+            bucket = buckets[r]
+            while bucket:
+                a = heappop(bucket)
+                if pending[a] != r:
+                    continue  # stale
+                b = after[a]
+                c = after[b]
+                after[a] = c
+                pending[b] = -1
+                if c < n:
+                    before[c] = a
+                lowest = r
+                if edge[c]:
+                    pending[a] = -1
+                elif (x := rank(text[a : after[c]])) is None:
+                    pending[a] = -1
+                else:
+                    pending[a] = x
+                    push(x, a)
+                    lowest = x
+                if not edge[a]:
+                    p = before[a]
+                    if (x := rank(text[p:c])) is None:
+                        pending[p] = -1
+                    else:
+                        pending[p] = x
+                        push(x, p)
+                        if x < lowest:
+                            lowest = x
+                if lowest < r:
+                    break  # the rest of the bucket waits for the new pair
         out, k = [], 0
-        while k < n:
-            out.append(self.rank[piece[k : after[k]]])
-            k = after[k]
+        for e in ends.tolist():
+            ids = []
+            while k < e:
+                ids.append(self.rank[text[k : after[k]]])
+                k = after[k]
+            out.append(pack(f"<{len(ids)}I", *ids))
         return out
 
-    def _new(self, piece: str) -> bytes:
-        packed = self.old.get(piece)
-        if packed is None:
-            packed = np.array(self.merge(piece.encode("utf-8", "replace")), "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[piece] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        new = self._new
-        return b"".join([self.young.get(p) or new(p) for p in self.pieces(text)])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers. Pieces met before are remembered, up to a bound."""
+        cut = [self.pieces(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.merge([p.encode("utf-8", "replace") for p in new])))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        if len(self.known) > CACHE:
+            self.known = {}
+        else:
+            for p in new:
+                if len(p) > LONG:
+                    del self.known[p]
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -160,7 +191,14 @@ class ByteBpe:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             e = _encoder(name, pattern)
             for b in batches:
-                yield pa.array([e.encode(t.as_py() or "") for t in b], pa.binary())
+                out, some, size = [], [], 0
+                for t in b:
+                    some.append(t.as_py() or "")
+                    size += len(some[-1])
+                    if size > TOGETHER:
+                        out += e.encode(some)
+                        some, size = [], 0
+                yield pa.array(out + e.encode(some), pa.binary())
 
         @F.arrow_udf(T.BinaryType())
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
