@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +50,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         got = rows.select("doc_id", "text", "y").collect()
         out += [(r.text, r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
     return out
+
+
+PORTION = 1 << 20
+
+
+def portions(batches: Iterator) -> Iterator:
+    """Arrow batches (arrays, or tuples of them) cut into runs of rows of about ``PORTION`` bytes in the first column, so
+    that a task holds little more at a time than its longest row."""
+    for b in batches:
+        first = b[0] if isinstance(b, tuple) else b
+        if not len(first):
+            continue
+        size = pc.fill_null(pc.binary_length(first), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size + 1) - size - 1) // PORTION
+        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(first)]
+        for a, z in zip(cut, cut[1:]):
+            yield tuple(x.slice(a, z - a) for x in b) if isinstance(b, tuple) else b.slice(a, z - a)

@@ -23,9 +23,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 1 << 18  # pieces remembered
+from muletrace.llm.base import portions
+
+CACHE = 3 << 16  # pieces remembered
 LONG = 64  # characters of a piece that is not worth remembering
-TOGETHER = 1 << 19  # characters encoded together, or one text
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -190,20 +191,13 @@ class ByteBpe:
         @F.arrow_udf(T.BinaryType())
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             e = _encoder(name, pattern)
-            for b in batches:
-                out, some, size = [], [], 0
-                for t in b:
-                    some.append(t.as_py() or "")
-                    size += len(some[-1])
-                    if size > TOGETHER:
-                        out += e.encode(some)
-                        some, size = [], 0
-                yield pa.array(out + e.encode(some), pa.binary())
+            for b in portions(batches):
+                yield pa.array(e.encode([t or "" for t in b.to_pylist()]), pa.binary())
 
         @F.arrow_udf(T.BinaryType())
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             e = _encoder(name, pattern)
-            for b in batches:
+            for b in portions(batches):
                 yield pa.array([e.decode(t.as_py() or b"") for t in b], pa.binary())
 
         self._encode, self._decode = encode, decode

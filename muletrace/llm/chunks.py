@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from muletrace.llm.base import portions
+
 MIN_CHUNK, MAX_CHUNK, BITS = 24, 256, 5
 MIN_SPAN = 80
 _PART = 1 << 20
@@ -75,7 +77,7 @@ _CHUNK_TYPE = T.ArrayType(
 def chunked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Start, size and digest of every chunk of a text."""
     digest = xxhash.xxh3_128_digest
-    for texts in batches:
+    for texts in portions(batches):
         offsets, starts, sizes, digests = [0], [], [], []
         for t in texts:
             data = (t.as_py() or "").encode("utf-8", "replace")
@@ -99,7 +101,7 @@ _KEPT = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans",
 @F.arrow_udf(_KEPT_TYPE)
 def without_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """A text without the byte spans given as a sorted array of disjoint (start, end)."""
-    for texts, spans in batches:
+    for texts, spans in portions(batches):
         out = []
         for t, s in zip(texts, spans):
             data = (t.as_py() or "").encode("utf-8", "replace")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muletrace.llm.base import portions
+
 WINDOW = 13
 BLOCK = 3
 LANE = 256
@@ -143,7 +145,6 @@ class Benchmark:
 _HITS_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
 )
-SLICE = 256  # texts searched together
 
 
 def _scanner(spark, items: list[tuple[str, str]], window: int):
@@ -152,11 +153,8 @@ def _scanner(spark, items: list[tuple[str, str]], window: int):
     @F.arrow_udf(HITS)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = shared.value
-        for texts in batches:
-            out = []
-            for k in range(0, len(texts), SLICE):
-                out += bench.scan(texts.slice(k, SLICE).to_pylist())
-            yield pa.array(out, _HITS_ARROW)
+        for texts in portions(batches):
+            yield pa.array(bench.scan(texts.to_pylist()), _HITS_ARROW)
 
     return scan
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import texts
+from muletrace.llm.base import portions, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS = 800
@@ -324,8 +324,11 @@ def all_spans(tagger: Tagger, many: list[str]) -> list[list[tuple[str, int, int,
             said = text[a:z]
             a += len(said) - len(said.lstrip())
             z -= len(said) - len(said.rstrip())
-            if a < z and _LEAST[k].search(text, a, z) and not any(x[1] < z and a < x[2] for x in base):
-                more.append((k, a, z, False))
+            if a >= z or not _LEAST[k].search(text, a, z) or any(x[1] < z and a < x[2] for x in base):
+                continue
+            if k == "card" and not luhn("".join(_DIGITS.findall(text[a:z]))):
+                continue
+            more.append((k, a, z, False))
         out.append(sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
     return out
 
@@ -380,8 +383,6 @@ _SPAN_TYPE = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
 )
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-TOGETHER = 1 << 20
-
 
 def pii_finder(spark: SparkSession, tagger: Tagger):
     """A column function: text -> array<struct<kind, start, end, base>>, in code points, end exclusive.
@@ -391,15 +392,8 @@ def pii_finder(spark: SparkSession, tagger: Tagger):
 
     @F.arrow_udf(_SPAN_TYPE)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            out, some, size = [], [], 0
-            for x in b:
-                some.append(x.as_py() or "")
-                size += len(some[-1])
-                if size > TOGETHER:
-                    out += all_spans(shared.value, some)
-                    some, size = [], 0
-            out += all_spans(shared.value, some)
+        for b in portions(batches):
+            out = all_spans(shared.value, [x or "" for x in b.to_pylist()])
             yield pa.array([[{"kind": k, "start": a, "end": z, "base": f} for k, a, z, f in s] for s in out], _SPAN)
 
     return find

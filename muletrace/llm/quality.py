@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import labelled_sample
+from muletrace.llm.base import labelled_sample, portions
 
 PASSAGE_WORDS = 48
 SAMPLE_PER_CLASS = 1500
@@ -171,16 +171,9 @@ def quality_scorer(spark: SparkSession, model: AttentionModel):
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            out = np.zeros(len(texts))
-            at, bags = [], []
-            for k, t in enumerate(texts):
-                bags.append(passages(t.as_py() or ""))
-                at.append(k)
-                if len(bags) == 256 or k == len(texts) - 1:
-                    start = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-                    out[at] = m.score(np.concatenate(bags), start)
-                    at, bags = [], []
-            yield pa.array(out)
+        for texts in portions(batches):
+            bags = [passages(t or "") for t in texts.to_pylist()]
+            start = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
+            yield pa.array(m.score(np.concatenate(bags), start))
 
     return score

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import cut_lineage, free_name, texts
+from muletrace.llm.base import cut_lineage, free_name, portions, texts
 from muletrace.operators.graph import connected_components
 from muletrace.session import small_side
 
@@ -54,7 +54,7 @@ def simhash_of(text: str) -> int:
 
 @F.arrow_udf(T.LongType())
 def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts_ in batches:
+    for texts_ in portions(batches):
         yield pa.array([simhash_of(t.as_py() or "") for t in texts_], pa.int64())
 
 
@@ -278,7 +278,7 @@ def simhash_links(prints: DataFrame, hot: int = HOT, room: int = 128) -> DataFra
                 "mask long, finer array<long>",
             )
             masks = sorted({m | p for m in masks for p in _pieces([b for b in range(64) if not m >> b & 1], RADIUS + 1)})
-            rows = rows.join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
+            rows = rows.join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask")).distinct()
     dealt = reduce(DataFrame.unionByName, [r.select("mask", "key", "part", "fp") for r in ready])
     dealt = dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part")
     return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import cut_lineage
+from muletrace.llm.base import cut_lineage, portions
 from muletrace.session import cut_counting, small_side
 
 LENGTH = 200
@@ -88,7 +88,7 @@ _UNIT = [pa.field("gram", pa.int64()), pa.field("said", pa.int64()), pa.field("p
 def text_units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Units of a text: hash of the anchor string, hash of all their bytes, and start, windows and offset packed."""
     whole = xxhash.xxh3_64_intdigest
-    for texts in batches:
+    for texts in portions(batches):
         offsets, grams, said, places = [0], [], [], []
         for t in texts:
             data = (t.as_py() or "").encode("utf-8", "replace")
@@ -110,7 +110,7 @@ _STRING = [pa.field("place", pa.int64()), pa.field("hot", pa.bool_()), pa.field(
 @F.arrow_udf(_STRING_TYPE)
 def unit_bytes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Bytes of the units that are asked for, and the leading bytes of the suffix at their anchor."""
-    for texts, asked in batches:
+    for texts, asked in portions(batches):
         offsets, places, hots, leads, strings = [0], [], [], [], []
         for t, units_ in zip(texts, asked):
             data = t.as_py().encode("utf-8", "replace")
@@ -284,7 +284,7 @@ def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @F.arrow_udf(T.BinaryType())
 def kept_bytes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """A text's bytes outside the given runs."""
-    for texts, runs in batches:
+    for texts, runs in portions(batches):
         out = []
         for t, r in zip(texts, runs):
             data, parts, last = t.as_py().encode("utf-8", "replace"), [], 0

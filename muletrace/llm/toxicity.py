@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import labelled_sample
+from muletrace.llm.base import labelled_sample, portions
 
 SAMPLE_PER_CLASS = 1000
 LANDMARKS = 256
@@ -241,9 +241,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     return ToxicityModel().fit([t for t, _ in sample], [y for _, y in sample])
 
 
-SLICE_CHARS = 1 << 19
-
-
 def toxicity_scorer(spark: SparkSession, model: ToxicityModel):
     """A column function: text -> score in 0 to 1, higher for likelier toxic. Missing and empty texts have no strings and
     score as clean ones do."""
@@ -252,16 +249,7 @@ def toxicity_scorer(spark: SparkSession, model: ToxicityModel):
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            out, some, size = [], [], 0
-            for t in texts:
-                some.append(t.as_py() or "")
-                size += len(some[-1])
-                if size > SLICE_CHARS:
-                    out.append(m.scores(some))
-                    some, size = [], 0
-            if some:
-                out.append(m.scores(some))
-            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        for texts in portions(batches):
+            yield pa.array(m.scores([t or "" for t in texts.to_pylist()]))
 
     return score
