@@ -163,22 +163,35 @@ def freeze_reachability(spark, d):
     return freeze.reaches_cash(edges, frozen)
 
 
-_FREEZE_SQL = """WITH RECURSIVE one AS (SELECT 1),
-  nd AS (SELECT c.case_id, c.ring_id, a.account, a.tainted FROM tacc a JOIN cases c USING(case_id) JOIN planted p ON p.ring_id=c.ring_id AND p.account=a.account),
-  combo AS (SELECT case_id, ring_id, 0 n, [''] cut, '' key FROM cases
-    UNION ALL SELECT case_id, ring_id, 1, [account], account FROM nd
-    UNION ALL SELECT a.case_id, a.ring_id, 2, [a.account,b.account], concat(a.account,',',b.account) FROM nd a JOIN nd b ON a.case_id=b.case_id AND a.account<b.account
-    UNION ALL SELECT a.case_id, a.ring_id, 3, [a.account,b.account,c.account], concat(a.account,',',b.account,',',c.account) FROM nd a JOIN nd b ON a.case_id=b.case_id AND a.account<b.account JOIN nd c ON c.case_id=b.case_id AND b.account<c.account),
-  r(case_id, ring_id, key, cut, account) AS (SELECT case_id, ring_id, key, cut, 'CASH' FROM combo
-    UNION SELECT r.case_id, r.ring_id, r.key, r.cut, e.src FROM r JOIN channels e ON e.ring_id=r.ring_id AND e.dst=r.account WHERE NOT list_contains(r.cut, e.src)),
-  risk AS (SELECT combo.case_id, combo.ring_id, combo.n, combo.key, CAST(coalesce(sum(nd.tainted),0) AS BIGINT) risk FROM combo LEFT JOIN r ON r.case_id=combo.case_id AND r.key=combo.key
-     LEFT JOIN nd ON nd.case_id=r.case_id AND nd.account=r.account GROUP BY 1,2,3,4),
-  g AS (SELECT x.case_id, x.ring_id, x.n, x.key, b.risk at_risk_before, b.risk-x.risk secured FROM risk x JOIN risk b ON b.case_id=x.case_id AND b.n=0)
-  SELECT case_id, ring_id, key frozen, at_risk_before, secured, round(secured/CAST(greatest(at_risk_before,1) AS DOUBLE),4) pct_stopped, at_risk_before=0 nothing_at_risk
-  FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY secured DESC, n, key) rk FROM g) WHERE rk=1"""
-
-
-@query("freeze_plan", _FREEZE_SQL)
+def _freeze_sql(excluded: str = "FALSE") -> str:
+    """Three rounds; each tries every holder that may be frozen on top of those of the rounds before."""
+    rounds, chosen = [], "base AS (SELECT case_id, ring_id, CAST([] AS VARCHAR[]) cut, CAST(0 AS BIGINT) secured FROM cases)"
+    risk = """risk{k} AS (SELECT t.case_id, t.account, CAST(coalesce(sum(nd.tainted),0) AS BIGINT) risk FROM try{k} t LEFT JOIN r{k} r ON r.case_id=t.case_id AND r.account=t.account
+      LEFT JOIN nd ON nd.case_id=r.case_id AND nd.account=r.here GROUP BY 1,2)"""
+    reach = """r{k}(case_id, ring_id, account, cut, here) AS (SELECT case_id, ring_id, account, cut, 'CASH' FROM try{k}
+      UNION SELECT r.case_id, r.ring_id, r.account, r.cut, e.src FROM r{k} r JOIN channels e ON e.ring_id=r.ring_id AND e.dst=r.here WHERE NOT list_contains(r.cut, e.src))"""
+    before = [
+        "try0 AS (SELECT case_id, ring_id, '' account, CAST([] AS VARCHAR[]) cut FROM cases)",
+        reach.format(k=0),
+        risk.format(k=0),
+    ]
+    last = "base"
+    for k in (1, 2, 3):
+        rounds += [
+            f"try{k} AS (SELECT p.case_id, p.ring_id, nd.account, list_append(p.cut, nd.account) cut FROM {last} p JOIN nd USING(case_id) WHERE NOT nd.excluded AND NOT list_contains(p.cut, nd.account))",
+            reach.format(k=k),
+            risk.format(k=k),
+            f"""best{k} AS (SELECT * FROM (SELECT x.case_id, x.account, b.risk-x.risk gain, row_number() OVER (PARTITION BY x.case_id ORDER BY x.risk, x.account) rk FROM risk{k} x JOIN risk0 b USING(case_id)) WHERE rk=1)""",
+            f"""step{k} AS (SELECT p.case_id, p.ring_id, CASE WHEN g.gain>p.secured THEN list_append(p.cut, g.account) ELSE p.cut END cut, greatest(p.secured, coalesce(g.gain,0)) secured FROM {last} p LEFT JOIN best{k} g USING(case_id))""",
+        ]
+        last = f"step{k}"
+    nd = f"nd AS (SELECT c.case_id, c.ring_id, a.account, a.tainted, {excluded} excluded FROM tacc a JOIN cases c USING(case_id) JOIN planted p ON p.ring_id=c.ring_id AND p.account=a.account)"
+    return f"""WITH RECURSIVE one AS (SELECT 1), {", ".join([nd, chosen, *before, *rounds])}
+      SELECT s.case_id, s.ring_id, array_to_string(list_sort(s.cut), ',') frozen, b.risk at_risk_before, s.secured, round(s.secured/CAST(greatest(b.risk,1) AS DOUBLE),4) pct_stopped, b.risk=0 nothing_at_risk
+      FROM {last} s JOIN risk0 b USING(case_id)"""
+
+
+@query("freeze_plan", _freeze_sql())
 def freeze_plan(spark, d):
     t = Tables(spark, d)
     cases, balances, _f = _traced(t)
@@ -186,6 +199,16 @@ def freeze_plan(spark, d):
     return p.withColumn("frozen", F.array_join("frozen", ","))
 
 
+@query("freeze_plan_excluding", _freeze_sql("TRY_CAST(substr(a.account,4) AS INT)%3=0"))
+def freeze_plan_excluding(spark, d):
+    """Every third account may not be frozen."""
+    t = Tables(spark, d)
+    cases, balances, _f = _traced(t)
+    barred = balances.where(F.expr("try_cast(substring(account, 4) as int) % 3 = 0")).select("case_id", "account")
+    p = freeze.recommend(t.ledger, cases, t.members, balances, k=3, exclude=barred)
+    return p.withColumn("frozen", F.array_join("frozen", ","))
+
+
 @query(
     "fund_flow_paths",
     """WITH RECURSIVE p AS (SELECT txn_id path_id, 1 hops, us s, us e, amount_paise a0, amount_paise a1, [src,dst] seen, dst "at", 0e0 tot FROM ledger WHERE src LIKE 'VICTIM%'

@@ -1,10 +1,10 @@
-"""Queries on trained scores, perturbation and stream-shaped roll-ups."""
+"""Queries on trained scores and stream-shaped roll-ups."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from muletrace.operators import evaluate, features, models, perturb, scoring
+from muletrace.operators import evaluate, features, models, scoring
 from muletrace.plans.registry import query
 from muletrace.plans.tables import Tables
 from muletrace.session import cut_lineage
@@ -29,38 +29,6 @@ def gbt_scores(spark, d):
     return s.select("account", "risk_v1", "risk_v2", "anomaly_score", "risk_combined", models.gain_signals(v2).alias("signals"))
 
 
-@query(
-    "perturbed_split",
-    """SELECT CAST(sum(n) AS BIGINT) transfers, CAST(sum(amount) AS BIGINT) sent_paise FROM (SELECT count(*) n, sum(amount_paise) amount FROM ledger)""",
-)
-def perturbed_split(spark, d):
-    """A split keeps the money each payer sends and adds intermediaries: first legs add up to the original ledger."""
-    led = Tables(spark, d).ledger
-    p = perturb.restructure(led, "topology_split", seed=7)
-    first_leg = ~F.col("src").startswith("MADV")
-    legs = p.where(first_leg).withColumn("origin", F.regexp_replace("txn_id", "-[0-9]$", ""))
-    return legs.agg(F.count_distinct("origin").alias("transfers"), F.sum("amount_paise").alias("sent_paise"))
-
-
-@query("perturbed_ring_ledger")
-def perturbed_ring_ledger(spark, d):
-    t = Tables(spark, d)
-    m = t.truth.select(F.col("account").alias("src"), "ring_id")
-    rows = t.ledger.join(m, "src")
-    return perturb.delay(perturb.jitter_amounts(rows, 0.1, 42), 15.0, 42).select("txn_id", "ring_id", "amount_paise", "us")
-
-
-@query("robustness_rounds")
-def robustness_rounds(spark, d):
-    t = Tables(spark, d)
-
-    def score(accounts, ledger, links):
-        m = features.feature_matrix(accounts, ledger, links, scoring.rule_score_v1)
-        return scoring.rule_score_v2(m).select("account", "v2_bp")
-
-    return perturb.robustness_rounds(t.accounts, t.ledger, t.links, t.truth, score, rounds=2)
-
-
 @query(
     "activity_sessions",
     """SELECT account, min(us) start_us, max(us)+600000000 end_us, count(*) events, CAST(sum(amount_paise) AS BIGINT) amount_paise FROM (

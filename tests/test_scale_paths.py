@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from muletrace.functions import exprs as X
 from muletrace.operators import events as ev
-from muletrace.operators import geo, graph, identity, perturb, timeline
+from muletrace.operators import geo, graph, identity, timeline
 from muletrace.operators.quantiles import grouped_median
 from muletrace.schemas import drop_labels
 from tests import micro
@@ -132,18 +132,6 @@ def test_no_seeds_no_rings(spark):
     assert graph.discover_rings(accounts, led, links, scores).isEmpty()
 
 
-def test_delay_keeps_order_and_is_repeatable(spark):
-    rows = [(f"T{i:03d}", "R1", i * MIN, 5000) for i in range(100)]
-    df = spark.createDataFrame(rows, "txn_id string, ring_id string, us bigint, amount_paise bigint")
-    out = perturb.delay(df, 15.0, 4).orderBy("txn_id").collect()
-    us = [x["us"] for x in out]
-    assert us == sorted(us) and all(b["us"] >= a[2] for a, b in zip(rows, out, strict=True))
-    again = perturb.delay(df.repartition(7), 15.0, 4).orderBy("txn_id").collect()
-    assert out == again
-    j = perturb.jitter_amounts(df, 0.1, 1).collect()
-    assert all(1000 <= x["amount_paise"] <= 10_000 and x["amount_paise"] % 100 == 0 for x in j)
-
-
 def test_labels_dropped(spark):
     df = spark.createDataFrame([(1, True)], "a int, is_fraud boolean")
     assert drop_labels(df).columns == ["a"]
