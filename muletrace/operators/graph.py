@@ -1,24 +1,19 @@
 """Candidate graph, connected components and communities.
 
-Shared identifiers stay in star form, (identifier, account), at every step that runs on the cluster. A star of n
-accounts stands for n(n-1)/2 unit edges, which are only ever written out inside one small component.
+Shared identifiers stay in star form, (identifier, account), at every step. A star of n accounts stands for n(n-1)/2 unit
+edges, which are never written out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muletrace.operators.quantiles import grouped_median
 from muletrace.schemas import is_pseudo
 from muletrace.session import cut_counting, cut_lineage, small_side
 
-EDGES_PER_GROUP = 200_000
-
 
 def seeds(scores: DataFrame, threshold: float = 0.5, fallback: float = 0.3) -> DataFrame:
     """Accounts at or above the threshold; if there are none, at or above the fallback."""
@@ -129,129 +124,69 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return label.select("node", "component")
 
 
-def _louvain(ids: list[str], a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float) -> np.ndarray:
-    """Deterministic modularity communities of one component, nodes visited in id order, ties to the lowest label.
+UNIT = 1_000_000  # of edge weight, so that gains are compared as whole numbers
 
-    ``total`` is the weight of the whole graph, so gains are those of the whole graph's modularity.
-    """
-    n = len(ids)
-    member = np.arange(n)
-    while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        loops = np.zeros(n)
-        for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-            if i == j:
-                loops[i] += x
-            else:
-                near[i][j] = near[i].get(j, 0.0) + x
-                near[j][i] = near[j].get(i, 0.0) + x
-        degree = np.array([sum(d.values()) for d in near]) + 2 * loops
-        label = list(range(n))
-        weight = degree.copy()
-        moved, improved = True, False
-        while moved:
-            moved = False
-            for i in range(n):
-                mine = label[i]
-                to: dict[int, float] = {}
-                for j, x in near[i].items():
-                    to[label[j]] = to.get(label[j], 0.0) + x
-                weight[mine] -= degree[i]
-                best, best_gain = mine, to.get(mine, 0.0) - weight[mine] * degree[i] / (2 * total)
-                for c in sorted(to):
-                    gain = to[c] - weight[c] * degree[i] / (2 * total)
-                    if gain > best_gain + 1e-12:
-                        best, best_gain = c, gain
-                weight[best] += degree[i]
-                if best != mine:
-                    label[i] = best
-                    moved = improved = True
-        if not improved:
-            return member
-        order = {c: k for k, c in enumerate(sorted(set(label)))}
-        new = np.array([order[c] for c in label])
-        member = new[member]
-        a, b = new[a], new[b]
-        n = len(order)
-
-
-def _component_communities(total: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plain = pdf[pdf["star"].isna()]
-        edges = [(x, y, float(v)) for x, y, v in zip(plain["a"], plain["b"], plain["weight"], strict=True)]
-        for _s, users in pdf[pdf["star"].notna()].groupby("star")["a"]:
-            names = sorted(users)
-            edges += [(names[i], y, 1.0) for i in range(len(names)) for y in names[i + 1 :]]
-        ids = sorted({x for e in edges for x in e[:2]})
-        at = {x: i for i, x in enumerate(ids)}
-        a = np.array([at[e[0]] for e in edges])
-        b = np.array([at[e[1]] for e in edges])
-        member = _louvain(ids, a, b, np.array([e[2] for e in edges]), total)
-        first: dict[int, str] = {}
-        for x, m in zip(ids, member, strict=True):
-            first.setdefault(int(m), x)
-        return pd.DataFrame({"account": ids, "community": [first[int(m)] for m in member]})
-
-    return run
-
-
-def communities(money: DataFrame, stars: DataFrame, edges_per_group: int = EDGES_PER_GROUP, max_rounds: int = 30) -> DataFrame:
+
+def communities(money: DataFrame, stars: DataFrame) -> DataFrame:
     """(account, community), the community named by its smallest account.
 
-    Communities never span components. Components of up to ``edges_per_group`` edges (stars counted as the pairs they
-    stand for) are solved one per group; larger ones by label propagation over edges and stars on the cluster.
+    Modularity grows by merging neighbouring communities, all over the graph at once, until no merge gains: every
+    community picks the neighbour with the largest gain, and those that pick each other merge. Gains are whole numbers,
+    2 * total * weight between - degree * degree, and ties go to the smaller names, so the result is one and the same at
+    every size and on every engine. The pair with the largest gain of all always picks each other, so every round merges
+    some until none gains.
+
+    Stars stay stars: neighbours inside a star are those next to each other by (members in the star, degree, name), which
+    are as many pairs as the star has members; a pair's gain counts all edges and all stars between the two.
     """
-    money, stars = cut_lineage(money.select("a", "b", "weight")), cut_lineage(stars)
-    node = lambda c: F.concat(F.lit("a:"), F.col(c))
-    star_node = F.concat(F.lit("s:"), F.col("star"))
-    pairs = money.select(node("a").alias("a"), node("b").alias("b")).unionByName(
-        stars.select(node("account").alias("a"), star_node.alias("b"))
-    )
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    comp = connected_components(nodes, pairs)
-    of = comp.where(F.col("node").startswith("a:")).select(F.expr("substring(node, 3)").alias("a"), "component")
-    rows = money.select("a", "b", "weight", F.lit(None).cast("string").alias("star")).unionByName(
-        stars.select(F.col("account").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1.0).alias("weight"), "star")
+    units = F.round(F.col("weight") * UNIT).cast("bigint")
+    money = cut_lineage(money.select("a", "b", units.alias("w")))
+    stars = cut_lineage(stars.select("star", "account", "size"))
+    ends = money.select(F.explode(F.array("a", "b")).alias("account"), "w")
+    ends = ends.unionByName(stars.select("account", ((F.col("size") - 1) * UNIT).alias("w")))
+    own = ends.groupBy("account").agg(F.sum("w").cast("decimal(38,0)").alias("degree"))
+    label, n = cut_counting(own.select("account", F.col("account").alias("community"), "degree"), F.lit(True))
+    if not n:
+        return label.select("account", "community")
+    double_total = label.agg(F.sum("degree")).first()[0]  # every edge counts at both ends
+    merged = 1
+    while merged:
+        pick = _picks(money, stars, label, F.lit(double_total))
+        other = pick.select(F.col("d").alias("c"), F.col("c").alias("d"))
+        into = pick.where(F.col("d") < F.col("c")).join(other, ["c", "d"]).select(F.col("c").alias("community"), F.col("d").alias("into"))
+        now = label.join(into, "community", "left").select(
+            "account", F.coalesce("into", "community").alias("community"), "degree", F.col("into").isNotNull().alias("moved")
+        )
+        now, merged = cut_counting(now, F.col("moved"))
+        label = now.drop("moved")
+    return label.select("account", "community")
+
+
+def _picks(money: DataFrame, stars: DataFrame, label: DataFrame, double_total) -> DataFrame:
+    """(c, d): the neighbour d that community c gains most by merging with; only where there is a gain."""
+    of = label.select("account", "community")
+    end = lambda col, name: of.select(F.col("account").alias(col), F.col("community").alias(name))
+    pair = [F.least("x", "y").alias("c"), F.greatest("x", "y").alias("d")]
+    paid = money.join(end("a", "x"), "a").join(end("b", "y"), "b").where(F.col("x") != F.col("y")).groupBy(*pair).agg(F.sum("w").alias("w"))
+    degree = label.groupBy("community").agg(F.sum("degree").alias("degree"))
+    inside = stars.join(of, "account").groupBy("star", "community").agg(F.count(F.lit(1)).alias("n"))
+    row = W.partitionBy("star").orderBy(F.desc("n"), "degree", "community")
+    beside = inside.join(degree, "community").select("star", F.col("community").alias("x"), F.lead("community").over(row).alias("y"))
+    near = paid.select("c", "d").unionByName(beside.where(F.col("y").isNotNull()).select(*pair)).distinct()
+    shared = (
+        near.join(inside.select(F.col("community").alias("c"), "star", F.col("n").alias("nc")), "c")
+        .join(inside.select(F.col("community").alias("d"), "star", F.col("n").alias("nd")), ["d", "star"])
+        .groupBy("c", "d")
+        .agg((F.sum(F.col("nc") * F.col("nd")) * UNIT).alias("w"))
     )
-    rows = cut_lineage(rows.join(of, "a"))
-    star_pairs = F.when(F.col("star").isNotNull(), F.col("size") - 1).otherwise(2) / F.lit(2.0)
-    sized = rows.join(stars.select("star", "size").distinct(), "star", "left")
-    cost = sized.groupBy("component").agg(F.sum(star_pairs).alias("edges"))
-    large = cut_lineage(cost.where(F.col("edges") > edges_per_group).select("component"))
-    total = sized.agg(F.sum(F.when(F.col("star").isNull(), F.col("weight")).otherwise((F.col("size") - 1) / F.lit(2.0)))).first()[0]
-    if total is None:
-        return money.select(F.col("a").alias("account"), F.col("a").alias("community"))
-    schema = "account string, community string"
-    solve = _component_communities(float(total))
-    if large.isEmpty():
-        return rows.groupBy("component").applyInPandas(lambda pdf: solve(pdf), schema)
-    small = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda pdf: solve(pdf), schema)
-    big = rows.join(large, "component", "left_semi")
-    return small.unionByName(_propagate(big, max_rounds))
-
-
-def _propagate(rows: DataFrame, max_rounds: int) -> DataFrame:
-    """Label propagation on accounts and identifier nodes together; half of the nodes move per round, by hash."""
-    a, b = F.concat(F.lit("a:"), F.col("a")), F.concat(F.lit("a:"), F.col("b"))
-    hub = F.concat(F.lit("s:"), F.col("star"))
-    one = rows.select(a.alias("x"), F.when(F.col("star").isNull(), b).otherwise(hub).alias("y"), "weight")
-    both = cut_lineage(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight")))
-    label = cut_lineage(both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")))
-    quiet = 0
-    for r in range(max_rounds):
-        pull = both.join(label.select(F.col("node").alias("y"), "label"), "y").groupBy("x", "label").agg(F.sum("weight").alias("s"))
-        best = pull.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("o"), F.col("label").alias("l"))).alias("m"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        moved = label.join(best.select(F.col("x").alias("node"), F.col("m.l").alias("l")), "node", "left")
-        now = moved.select("node", F.when(turn & F.col("l").isNotNull(), F.col("l")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"))
-        now, changed = cut_counting(now, F.col("label") != F.col("old"))
-        quiet = 0 if changed else quiet + 1
-        label = now.select("node", "label")
-        if quiet == 2:
-            break
-    acc = label.where(F.col("node").startswith("a:")).select(F.expr("substring(node, 3)").alias("account"), "label")
-    names = acc.groupBy("label").agg(F.min("account").alias("community"))
-    return acc.join(names, "label").select("account", "community")
+    weight = paid.unionByName(shared).groupBy("c", "d").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+    k = lambda c, name: degree.select(F.col("community").alias(c), F.col("degree").alias(name))
+    gain = double_total * F.col("w") - F.col("kc") * F.col("kd")
+    gains = weight.join(k("c", "kc"), "c").join(k("d", "kd"), "d").select("c", "d", gain.alias("gain")).where(F.col("gain") > 0)
+    rank = F.struct((-F.col("gain")).alias("o"), F.col("c").alias("first"), F.col("d").alias("second"))
+    both = gains.select(F.explode(F.array("c", "d")).alias("me"), rank.alias("rank"))
+    best = both.groupBy("me").agg(F.min("rank").alias("m"))
+    return best.select(F.col("me").alias("c"), F.when(F.col("m.first") == F.col("me"), F.col("m.second")).otherwise(F.col("m.first")).alias("d"))
 
 
 def discover_rings(
@@ -263,7 +198,6 @@ def discover_rings(
     min_members: int = 3,
     min_mean_risk: float = 0.6,
     neighbour_floor: float = 0.2,
-    edges_per_group: int = EDGES_PER_GROUP,
 ) -> DataFrame:
     """(ring_id, account, risk): communities of the candidate graph that stay risky after trimming.
 
@@ -278,7 +212,7 @@ def discover_rings(
     inside = cut_lineage(candidates(accounts, pairs, links, scores, seed, neighbour_floor))
     ring_like = ring_like_identifiers(links, seed)
     stars = cut_lineage(identity_stars(links, ring_like, inside))
-    found = communities(money_edges(pairs, inside), stars, edges_per_group)
+    found = communities(money_edges(pairs, inside), stars)
     tied = stars.select("account").distinct().withColumn("tied", F.lit(True))
     kept = (
         found.join(scores, "account", "left")
