@@ -15,17 +15,23 @@ def labelled(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return scores.join(fraud, "account", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def average_precision(labels: DataFrame, score: str, digits: int = 6) -> DataFrame:
-    """One row: average precision (step-wise, not the trapezoid).
+SCORE_BUCKETS = 4096
 
-    Scores are probabilities; rounded to ``digits`` there are at most 10**digits + 1 distinct ones, which bounds the
-    ordered part. Accounts are counted per score before that.
+
+def average_precision(labels: DataFrame, score: str) -> DataFrame:
+    """One row: average precision (step-wise, not the trapezoid) over the scores as they are, probabilities.
+
+    Accounts are counted per score. Scores are ordered inside ``SCORE_BUCKETS`` slices of 0 to 1; what lies above a slice
+    is added from one row per slice.
     """
-    g = labels.groupBy(F.round(F.col(score), digits).alias("s")).agg(
-        F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n")
-    )
-    w = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    run = g.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
+    g = labels.groupBy(F.col(score).alias("s")).agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
+    place = F.greatest(F.lit(0), F.least(F.lit(SCORE_BUCKETS - 1), F.floor(F.col("s") * SCORE_BUCKETS)))
+    g = g.withColumn("slice", F.coalesce(place, F.lit(-1)))
+    above = W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)  # one row per slice
+    slices = g.groupBy("slice").agg(F.sum("tp").alias("stp"), F.sum("n").alias("sn"))
+    slices = slices.select("slice", F.coalesce(F.sum("stp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("n0"))
+    w = W.partitionBy("slice").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    run = g.join(F.broadcast(slices), "slice").withColumn("ctp", F.col("tp0") + F.sum("tp").over(w)).withColumn("cn", F.col("n0") + F.sum("n").over(w))
     return run.agg(
         F.round(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")), 4).alias("pr_auc")
     )

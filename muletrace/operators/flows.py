@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import MICROS_PER_MINUTE
 from muletrace.schemas import VICTIM_PREFIX
-from muletrace.session import cut_lineage
+from muletrace.session import cut_counting
 
 HOP = "struct<step:int,from_account:string,to_account:string,txn_id:string,us:bigint,amount_paise:bigint,latency_min:double>"
 
@@ -15,15 +15,15 @@ HOP = "struct<step:int,from_account:string,to_account:string,txn_id:string,us:bi
 def fund_flow_paths(
     ledger: DataFrame,
     max_gap_minutes: int = 1440,
-    max_hops: int = 4,
+    max_hops: int | None = None,
     max_paths: int | None = None,
     starts: DataFrame | None = None,
 ) -> DataFrame:
-    """Paths from victim deposits onwards that cannot be extended, or have ``max_hops`` hops.
+    """Paths from victim deposits onwards that cannot be extended.
 
-    An account is not visited twice. Hops meet on (account, time bucket of one gap), so a path is only compared with
-    transfers of two adjacent buckets of its account. ``max_paths`` (none by default) keeps the first paths by id, and
-    the summary says so.
+    With ``max_hops``, paths end there at the latest, and ``truncated`` says which could go on. An account is not visited
+    twice, so every path ends. Hops meet on (account, time bucket of one gap), so a path is only compared with
+    transfers of two adjacent buckets of its account. ``max_paths`` (none by default) keeps the first paths by id.
     """
     gap = max_gap_minutes * MICROS_PER_MINUTE
     moves = ledger.select("txn_id", "src", "dst", "us", "amount_paise").withColumn("bucket", F.floor(F.col("us") / F.lit(gap)))
@@ -47,17 +47,23 @@ def fund_flow_paths(
         F.col("dst").alias("at"),
         F.col("us").alias("at_us"),
     )
-    done = None
-    for step in range(2, max_hops + 1):
-        frontier = cut_lineage(frontier)
+    done, step = None, 1
+    frontier, n = cut_counting(frontier, F.lit(True))
+    while n:
+        step += 1
         b = F.floor(F.col("at_us") / F.lit(gap))
         probe = frontier.withColumn("bucket", F.explode(F.array(b, b + 1)))
         later = (F.col("us") > F.col("at_us")) & (F.col("us") <= F.col("at_us") + gap)
         ext = probe.join(moves, (probe["at"] == moves["src"]) & (probe["bucket"] == moves["bucket"])).where(
             later & ~F.array_contains("visited", F.col("dst"))
         )
+        if max_hops is not None and step > max_hops:
+            more = ext.select("path_id", F.lit(True).alias("truncated")).distinct()
+            ended, n = frontier.join(more, "path_id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False))), 0
+            done = ended if done is None else done.unionByName(ended)
+            break
         latency = (F.col("us") - F.col("at_us")) / F.lit(float(MICROS_PER_MINUTE))
-        grown = cut_lineage(
+        grown, n = cut_counting(
             ext.select(
                 F.col("path_id").alias("parent"),
                 F.concat_ws(">", "path_id", "txn_id").alias("path_id"),
@@ -65,12 +71,15 @@ def fund_flow_paths(
                 F.concat("visited", F.array("dst")).alias("visited"),
                 F.col("dst").alias("at"),
                 F.col("us").alias("at_us"),
-            )
+            ),
+            F.lit(True),
         )
         ended = frontier.join(grown.select(F.col("parent").alias("path_id")).distinct(), "path_id", "left_anti")
+        ended = ended.withColumn("truncated", F.lit(False))
         done = ended if done is None else done.unionByName(ended)
         frontier = grown.drop("parent")
-    done = frontier if done is None else done.unionByName(frontier)
+    if done is None:
+        done = frontier.withColumn("truncated", F.lit(False))
     start, end = F.element_at("chain", 1), F.element_at("chain", -1)
     initial, final = start["amount_paise"], end["amount_paise"]
     out = done.select(
@@ -83,14 +92,15 @@ def fund_flow_paths(
         final.alias("final_amount_paise"),
         F.when(initial > 0, (initial - final) / initial * F.lit(100.0)).otherwise(F.lit(0.0)).alias("amount_decay_pct"),
         "chain",
+        "truncated",
     )
     if max_paths is not None:
         out = out.orderBy("path_id").limit(max_paths)
     return out
 
 
-def path_summary(paths: DataFrame, truncated: bool = False) -> DataFrame:
-    """Totals over all paths: count, mean latency per hop, fastest path."""
+def path_summary(paths: DataFrame) -> DataFrame:
+    """Totals over all paths: count, mean latency per hop, fastest path, whether any could go on."""
     hops = F.col("hops") - 1
     latency = F.aggregate(
         "chain", F.lit(0.0), lambda a, h: a + F.coalesce(h["latency_min"], F.lit(0.0))
@@ -99,7 +109,8 @@ def path_summary(paths: DataFrame, truncated: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("total_paths"),
         F.round(F.try_divide(F.sum(latency), F.sum(hops)), 4).alias("avg_hop_latency_min"),
         F.round(F.min(F.when(hops > 0, F.col("duration_minutes"))), 4).alias("fastest_path_minutes"),
-    ).withColumn("truncated", F.lit(truncated))
+        F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"),
+    )
 
 
 def two_hop_chains(ledger: DataFrame, max_gap_minutes: int = 60) -> DataFrame:

@@ -164,8 +164,8 @@ def heat_points(hits: DataFrame, weight_by_risk: bool = True) -> DataFrame:
     return hits.select("hit_id", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), intensity.alias("intensity"))
 
 
-def geojson_features(hits: DataFrame, max_points: int = 5000) -> DataFrame:
-    """One GeoJSON feature text per hit, the first ``max_points`` in hit order (a bounded map layer by design)."""
+def geojson_features(hits: DataFrame, max_points: int | None = None) -> DataFrame:
+    """One GeoJSON feature text per hit; with ``max_points``, of the first ones in hit order only."""
     props = F.struct(
         "hit_id", "city", "hit_type", "amount_paise", "is_fraud", "risk_score", F.col("account").alias("account_id")
     )
@@ -174,7 +174,16 @@ def geojson_features(hits: DataFrame, max_points: int = 5000) -> DataFrame:
         F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"),
         props.alias("properties"),
     )
-    return hits.orderBy("hit_id").limit(max_points).select("hit_id", F.to_json(feature).alias("feature"))
+    shown = hits if max_points is None else hits.orderBy("hit_id").limit(max_points)
+    return shown.select("hit_id", F.to_json(feature).alias("feature"))
+
+
+def feature_collections(features: DataFrame, per_document: int = 5000) -> DataFrame:
+    """(part, document): all features in FeatureCollection texts of about ``per_document`` features each."""
+    parts = F.greatest(F.lit(1), F.ceil(features.agg(F.count(F.lit(1))).scalar() / F.lit(per_document)))
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("hit_id", "feature"))), lambda x: x["feature"])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(sorted_, ","), F.lit("]}"))
+    return features.withColumn("part", F.pmod(F.xxhash64("hit_id"), parts)).groupBy("part").agg(text.alias("document"))
 
 
 # ---- spread of a ring -------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import MICROS_PER_MINUTE, fixed_text, grouped_int
+from muletrace.operators.timeline import numbered_by_time
 from muletrace.schemas import CASH, VICTIM_PREFIX
 
 
@@ -112,6 +113,13 @@ def alerts(ledger: DataFrame, members: DataFrame, nth: int = 3) -> DataFrame:
     )
 
 
+def alerts_in_order(alerts_df: DataFrame, newest_first: bool = True) -> DataFrame:
+    """Alerts with their ``position`` by time fired, then alert id, numbered by time buckets."""
+    rows = numbered_by_time(alerts_df.withColumn("us", F.col("fired_us")), ["us", "alert_id"]).drop("us")
+    last = F.lit(1) + alerts_df.agg(F.count(F.lit(1))).scalar()
+    return rows.withColumn("position", (last - F.col("seq")) if newest_first else F.col("seq")).drop("seq")
+
+
 def alerts_with_ring(alerts_df: DataFrame, summary: DataFrame) -> DataFrame:
     """Alerts with their ring's risk and size; an alert of an unknown ring stays, with no risk and 0 members."""
     s = summary.select("ring_id", "risk", "members", "volume_paise")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import paise_to_rupees
-from muletrace.operators.timeline import numbered_by_time
+from muletrace.operators.timeline import numbered_range
 from muletrace.schemas import CASH, SALARY, check_request, drop_labels
 
 PUBLIC_COLUMNS = ["txn_id", "src", "dst", "amount_paise", "ts", "channel", "city", "lat", "lng"]
@@ -37,14 +37,13 @@ def after_transaction(ledger: DataFrame, anchor_txn: str) -> DataFrame:
 def page(ledger: DataFrame, number: int, limit: int) -> DataFrame:
     """One page in (ts, txn_id) order with total and page count; a page past the end gives the last one.
 
-    Rows are numbered by time buckets, so a deep page needs no global sort in one task.
+    Time buckets are counted, and only those that hold the page are ordered.
     """
     check_request(limit=limit, page=number)
     total = ledger.agg(F.count(F.lit(1))).scalar()
     pages = F.greatest(F.lit(1), F.ceil(total / F.lit(limit)))
     shown = F.least(F.lit(number), pages)
-    rows = numbered_by_time(ledger, ["us", "txn_id"])
-    rows = rows.where((F.col("seq") > (shown - 1) * limit) & (F.col("seq") <= shown * limit))
+    rows = numbered_range(ledger, ["us", "txn_id"], (shown - 1) * limit + 1, shown * limit)
     return rows.withColumns({"page": shown.cast("bigint"), "pages": pages.cast("bigint"), "total": total})
 
 

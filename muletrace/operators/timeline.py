@@ -192,8 +192,24 @@ def numbered_by_time(df: DataFrame, order: list[str], bucket_us: int = 3_600_000
     Time buckets are numbered in parallel; the offset of each bucket is a running sum over the bucket counts.
     """
     rows = df.withColumn("_b", F.floor(F.col("us") / F.lit(bucket_us)))
+    offsets = bucket_offsets(rows).drop("_n")
     w = W.partitionBy("_b").orderBy(*order)
     rows = rows.withColumn("_rn", F.row_number().over(w))
+    return rows.join(offsets, "_b").withColumn("seq", (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_b", "_rn", "_off")
+
+
+def numbered_range(df: DataFrame, order: list[str], first, last, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Rows ``first`` to ``last`` of the numbering of :func:`numbered_by_time`. Buckets are only counted; those that hold
+    the range, at most one more than it has rows, are ordered."""
+    rows = df.withColumn("_b", F.floor(F.col("us") / F.lit(bucket_us)))
+    wanted = bucket_offsets(rows).where((F.col("_off") < last) & (F.col("_off") + F.col("_n") >= first)).drop("_n")
+    w = W.partitionBy("_b").orderBy(*order)
+    rows = rows.join(F.broadcast(wanted), "_b").withColumn("seq", (F.col("_off") + F.row_number().over(w)).cast("bigint"))
+    return rows.where(F.col("seq").between(first, last)).drop("_b", "_off")
+
+
+def bucket_offsets(rows: DataFrame) -> DataFrame:
+    """(_b, _n, _off): rows of every bucket ``_b`` and of all before it."""
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # two-level running sum: buckets of buckets, so even the bucket list is not ordered in one task
     counts = counts.withColumn("_g", F.floor(F.col("_b") / F.lit(4096)))
@@ -202,5 +218,4 @@ def numbered_by_time(df: DataFrame, order: list[str], bucket_us: int = 3_600_000
     groups = counts.groupBy("_g").agg(F.sum("_n").alias("_gn"))
     outer = W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)  # one row per 4096 time buckets
     groups = groups.withColumn("_out", F.coalesce(F.sum("_gn").over(outer), F.lit(0))).drop("_gn")
-    offsets = counts.join(groups, "_g").select("_b", (F.col("_in") + F.col("_out")).alias("_off"))
-    return rows.join(offsets, "_b").withColumn("seq", (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_b", "_rn", "_off")
+    return counts.join(groups, "_g").select("_b", "_n", (F.col("_in") + F.col("_out")).alias("_off"))

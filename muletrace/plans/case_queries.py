@@ -212,8 +212,8 @@ def freeze_plan_excluding(spark, d):
 @query(
     "fund_flow_paths",
     """WITH RECURSIVE p AS (SELECT txn_id path_id, 1 hops, us s, us e, amount_paise a0, amount_paise a1, [src,dst] seen, dst "at", 0e0 tot FROM ledger WHERE src LIKE 'VICTIM%'
-      UNION ALL SELECT concat(path_id,'>',l.txn_id), hops+1, s, l.us, a0, l.amount_paise, list_append(seen,l.dst), l.dst, p.tot+(l.us-e)/6e7 FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst) WHERE hops<4),
-      x AS (SELECT * FROM p WHERE hops=4 OR NOT EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)))
+      UNION ALL SELECT concat(path_id,'>',l.txn_id), hops+1, s, l.us, a0, l.amount_paise, list_append(seen,l.dst), l.dst, p.tot+(l.us-e)/6e7 FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)),
+      x AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)))
       SELECT path_id, CAST(hops AS BIGINT) hops, s start_us, e end_us, round((e-s)/6e7,6) duration_minutes, a0 initial_amount_paise, a1 final_amount_paise,
         round(CASE WHEN a0>0 THEN (a0-a1)/CAST(a0 AS DOUBLE)*100 ELSE 0e0 END,6) amount_decay_pct, array_to_string(seen,'>') accounts, round(tot,6) latency_sum FROM x""",
 )
@@ -236,12 +236,13 @@ def fund_flow_paths(spark, d):
 @query(
     "fund_flow_summary",
     """WITH RECURSIVE p AS (SELECT 1 hops, us s, us e, [src,dst] seen, dst "at" FROM ledger WHERE src LIKE 'VICTIM%'
-      UNION ALL SELECT hops+1, s, l.us, list_append(seen,l.dst), l.dst FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst) WHERE hops<4),
-      x AS (SELECT * FROM p WHERE hops=4 OR NOT EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)))
-      SELECT count(*) total_paths, round(sum((e-s)/6e7)/sum(hops-1),4) avg_hop_latency_min, round(min((e-s)/6e7) FILTER (hops>1),4) fastest_path_minutes, false truncated FROM x""",
+      UNION ALL SELECT hops+1, s, l.us, list_append(seen,l.dst), l.dst FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst) WHERE hops<3),
+      x AS (SELECT *, EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)) more FROM p), y AS (SELECT * FROM x WHERE hops=3 OR NOT more)
+      SELECT count(*) total_paths, round(sum((e-s)/6e7)/sum(hops-1),4) avg_hop_latency_min, round(min((e-s)/6e7) FILTER (hops>1),4) fastest_path_minutes, bool_or(more) truncated FROM y""",
 )
 def fund_flow_summary(spark, d):
-    return flows.path_summary(flows.fund_flow_paths(Tables(spark, d).ledger))
+    """Paths cut at three hops, so some could go on."""
+    return flows.path_summary(flows.fund_flow_paths(Tables(spark, d).ledger, max_hops=3))
 
 
 @query(
@@ -261,7 +262,7 @@ sqlviews.define(
        CASE WHEN phn IS NOT NULL THEN concat('Shares phone number with ring member ', phn) END, CASE WHEN ip IS NOT NULL THEN 'Shares IP address with a ring member' END,
        CASE WHEN age<=3 THEN concat('Account is only ', printf('%.0f', age), ' days old') WHEN age<=14 THEN concat('Account is ', printf('%.0f', age), ' days old (recently opened)') END,
        CASE WHEN txns=0 THEN 'No transactions yet — account is inactive' END,
-       CASE WHEN nb>=0.5e0 AND (CAST(dev IS NOT NULL AS INT)+CAST(phn IS NOT NULL AS INT)+CAST(ip IS NOT NULL AS INT)+CAST(age<=14 AS INT)+CAST(txns=0 AS INT))<5 THEN concat('Connected to high-risk accounts (mean risk ', printf('%.2f', nb), ')') END) reasons
+       CASE WHEN nb>=0.5e0 THEN concat('Connected to high-risk accounts (mean risk ', printf('%.2f', nb), ')') END) reasons
      FROM (SELECT *, CASE WHEN dev IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN phn IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN ip IS NOT NULL THEN 10 ELSE 0 END
         + CASE WHEN age<=3 THEN 20 WHEN age<=14 THEN 10 ELSE 0 END + CASE WHEN txns=0 THEN 10 ELSE 0 END + CASE WHEN nb>=0.5e0 THEN 10 ELSE 0 END bp
        FROM (SELECT m.ring_id, o.account, min(m.account) FILTER (o.type='device') dev, min(m.account) FILTER (o.type='phone') phn, min(m.account) FILTER (o.type='ip') ip,

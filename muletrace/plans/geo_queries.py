@@ -73,17 +73,14 @@ def heat_points(spark, d):
 
 @query(
     "geojson_layer",
-    """SELECT hit_id, hit_type, is_fraud, lng FROM (SELECT *, row_number() OVER (ORDER BY hit_id) rn FROM hits) WHERE rn<=5000""",
+    """SELECT hit_id, hit_type, is_fraud, lng FROM hits""",
 )
 def geojson_layer(spark, d):
-    """The bounded map layer, read back from its own text."""
-    f = geo.geojson_features(Tables(spark, d).hits)
-    return f.select(
-        "hit_id",
-        F.get_json_object("feature", "$.properties.hit_type").alias("hit_type"),
-        F.get_json_object("feature", "$.properties.is_fraud").cast("boolean").alias("is_fraud"),
-        F.get_json_object("feature", "$.geometry.coordinates[0]").cast("double").alias("lng"),
-    )
+    """The map layer, read back from its FeatureCollection texts."""
+    docs = geo.feature_collections(geo.geojson_features(Tables(spark, d).hits))
+    kind = "struct<features:array<struct<geometry:struct<coordinates:array<double>>,properties:struct<hit_id:string,hit_type:string,is_fraud:boolean>>>>"
+    f = docs.select(F.explode(F.from_json("document", kind)["features"]).alias("f"))
+    return f.select("f.properties.hit_id", "f.properties.hit_type", "f.properties.is_fraud", F.col("f.geometry.coordinates")[0].alias("lng"))
 
 
 @query(

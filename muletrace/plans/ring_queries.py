@@ -117,6 +117,24 @@ def alerts_with_ring(spark, d):
     )
 
 
+@query(
+    "alerts_newest_first",
+    "SELECT alert_id, ring_id, fired_at, row_number() OVER (ORDER BY fired_us DESC, alert_id DESC) AS \"position\" FROM alerts",
+)
+def alerts_newest_first(spark, d):
+    t = Tables(spark, d)
+    return rings.alerts_in_order(rings.alerts(t.ledger, t.members)).select("alert_id", "ring_id", "fired_at", "position")
+
+
+@query(
+    "alerts_oldest_first",
+    "SELECT alert_id, ring_id, fired_at, row_number() OVER (ORDER BY fired_us, alert_id) AS \"position\" FROM alerts",
+)
+def alerts_oldest_first(spark, d):
+    t = Tables(spark, d)
+    return rings.alerts_in_order(rings.alerts(t.ledger, t.members), newest_first=False).select("alert_id", "ring_id", "fired_at", "position")
+
+
 @query(
     "cashout_eta",
     """SELECT alert_id, a.ring_id, CAST(floor((min(us) FILTER (us>=fired_us)-any_value(fired_us))/6e7+0.5e0) AS BIGINT) cashout_eta_min,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +11,15 @@ from muletrace.functions.exprs import iso_parse
 from muletrace.schemas import PROFILE_SCHEMAS, assert_contract, identifier_rules, ledger_rules
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if urlparse(path).scheme in ("", "file"):
-        return os.path.exists(urlparse(path).path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's readers find the path; one without a scheme is on the cluster's default file system."""
+    try:
+        spark.read.text(path).schema  # noqa: B018 - looked up when the schema is asked for
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def read_documents(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -34,12 +35,12 @@ def read_documents(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def load_profile(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
     """Tables of a profile folder. A missing file gives an empty table, a missing folder None."""
-    if not _exists(spark, folder):
+    if not path_exists(spark, folder):
         return None
     out = {}
     for table, schema in PROFILE_SCHEMAS.items():
         path = f"{folder}/{table}.json"
-        if _exists(spark, path):
+        if path_exists(spark, path):
             out[table] = read_documents(spark, path, table)
         else:
             empty = spark.createDataFrame([], schema)

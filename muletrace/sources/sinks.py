@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muletrace.schemas import assert_contract
+from muletrace.sources.readers import path_exists
 
 
 def write_outputs(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
@@ -21,28 +22,17 @@ def append_new(df: DataFrame, folder: str, key: str, rules: dict[str, Column], t
     """Validate, then append only rows whose key is not stored yet; a second delivery of the same rows adds nothing."""
     spark = df.sparkSession
     fresh = assert_contract(df, rules, table).dropDuplicates([key])
-    if _has_data(spark, folder):
+    if path_exists(spark, folder):
         stored = spark.read.parquet(folder).select(key)
         fresh = fresh.join(stored, key, "left_anti")
     fresh.write.mode("append").parquet(folder)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def publish_snapshot(tables: dict[str, DataFrame], folder: str, source: str, profile: str, may_be_empty: tuple[str, ...] = ()) -> int:
+    """Replace all tables at once: write a new version, check its counts, then point to it.
 
-
-def _has_data(spark: SparkSession, folder: str) -> bool:
-    fs, p, _jvm = _fs(spark, folder)
-    return fs.exists(p)
-
-
-def publish_snapshot(tables: dict[str, DataFrame], folder: str, source: str, profile: str) -> int:
-    """Replace all tables at once: write a new version, check its counts, then move the pointer.
-
-    Readers follow the pointer, so a failed load leaves the previous version in place. The pointer is a small JSON file
-    renamed into place.
+    A pointer is a small file of its own for every version, and readers take the newest complete one, so there is a
+    snapshot at any time, and a failed load leaves the previous version in place. Tables that may be empty are named.
     """
     spark = next(iter(tables.values())).sparkSession
     version = (current_version(spark, folder) or 0) + 1
@@ -51,18 +41,11 @@ def publish_snapshot(tables: dict[str, DataFrame], folder: str, source: str, pro
         path = f"{folder}/v={version}/{name}"
         df.write.mode("overwrite").parquet(path)
         counts[name] = spark.read.parquet(path).count()
-        if counts[name] == 0:
+        if counts[name] == 0 and name not in may_be_empty:
             raise ValueError(f"snapshot table {name} is empty; version {version} not published")
     meta = {"version": version, "source": source, "profile": profile, "counts": counts, "at": int(time.time())}
-    fs, pointer, jvm = _fs(spark, f"{folder}/current.json")
-    fs, temp, _ = _fs(spark, f"{folder}/next.json")
-    out = fs.create(temp, True)
-    out.write(bytearray(json.dumps(meta).encode()))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(temp, pointer):
-        raise OSError("snapshot pointer could not be moved")
+    pointer = spark.createDataFrame([(json.dumps(meta),)], "value string")
+    pointer.coalesce(1).write.mode("overwrite").text(f"{folder}/pointers/{version:010d}")
     return version
 
 
@@ -72,10 +55,12 @@ def current_version(spark: SparkSession, folder: str) -> int | None:
 
 
 def snapshot_meta(spark: SparkSession, folder: str) -> dict | None:
-    if not _has_data(spark, f"{folder}/current.json"):
+    """Metadata of the newest published version; None before the first."""
+    if not path_exists(spark, f"{folder}/pointers"):
         return None
-    text = spark.read.text(f"{folder}/current.json", wholetext=True).first()[0]
-    return json.loads(text)
+    text = spark.read.option("recursiveFileLookup", True).text(f"{folder}/pointers")
+    newest = text.orderBy(F.desc(F.get_json_object("value", "$.version").cast("long"))).first()
+    return json.loads(newest[0]) if newest else None
 
 
 def read_snapshot(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -93,6 +78,6 @@ def write_paths(paths: DataFrame, folder: str) -> None:
     typed.write.mode("overwrite").parquet(folder)
 
 
-def write_feature_lines(features: DataFrame, folder: str) -> None:
-    """GeoJSON features, one per line."""
-    features.select(F.col("feature").alias("value")).write.mode("overwrite").text(folder)
+def write_feature_collections(documents: DataFrame, folder: str) -> None:
+    """GeoJSON FeatureCollections (column ``document``), one per line."""
+    documents.select(F.col("document").alias("value")).write.mode("overwrite").text(folder)
