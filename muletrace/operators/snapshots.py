@@ -1,91 +1,50 @@
-"""Training snapshots: every active account as it stood after each cut-off day."""
+"""Training snapshots: every active account as it stood at each cut-off day, with the full feature matrix."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muletrace.functions.exprs import MICROS_PER_DAY, MICROS_PER_HOUR
-from muletrace.schemas import drop_labels
+from muletrace.functions.exprs import MICROS_PER_DAY
+from muletrace.operators.features import V2_FEATURES, feature_matrix
+from muletrace.schemas import drop_labels, is_pseudo
 
 # Days into the window at which accounts are snapshotted.
 SNAPSHOT_DAYS = (2, 3, 5, 8, 12, 18, 30)
 
 
-def snapshot_activity(events: DataFrame, start_us, days: tuple[int, ...] = SNAPSHOT_DAYS) -> DataFrame:
-    """Totals per (cut-off day, account) from one pass.
+def _tagged(name: str) -> Column:
+    """The account as it is known on a day; cash, salaries and victims are the same on all."""
+    return F.when(is_pseudo(F.col(name)), F.col(name)).otherwise(F.concat(F.lpad(F.col("day").cast("string"), 4, "0"), F.lit("|"), F.col(name)))
 
-    Every event is reduced into the first cut-off it belongs to, per counterparty; only those reduced rows are then
-    repeated for the later cut-offs. ``first seen`` times keep the distinct counts exact.
-    """
-    offset = (F.col("us") - start_us) / F.lit(float(MICROS_PER_DAY))
-    first_cut = None
-    for d in sorted(days):
-        cond = offset <= float(d)
-        first_cut = F.when(cond, d) if first_cut is None else first_cut.when(cond, d)
-    c, amount = F.col("dir") == "C", F.col("amount_paise")
-    cell = (
-        events.withColumn("cut", first_cut)
-        .where(F.col("cut").isNotNull())
-        .groupBy("account", "counterparty", "cut")
-        .agg(
-            F.sum(F.when(c, amount).otherwise(0)).alias("amount_in"),
-            F.sum(F.when(~c, amount).otherwise(0)).alias("amount_out"),
-            F.count_if(c).alias("txn_in"),
-            F.count_if(~c).alias("txn_out"),
-            F.sum(F.when(~c & (F.col("channel") == "ATM"), amount).otherwise(0)).alias("atm_out"),
-            F.min("us").alias("first_us"),
-            F.max("us").alias("last_us"),
-        )
-    )
-    all_days = F.array(*[F.lit(d) for d in sorted(days)])
-    later = F.filter(all_days, lambda d: d >= F.col("cut"))
-    sums = ["amount_in", "amount_out", "txn_in", "txn_out", "atm_out"]
-    pair = (
-        cell.withColumn("day", F.explode(later))
-        .groupBy("account", "counterparty", "day")
-        .agg(*[F.sum(s).alias(s) for s in sums], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    )
-    return pair.groupBy("account", "day").agg(
-        *[F.sum(s).alias(s) for s in sums],
-        F.count_if(F.col("txn_in") > 0).alias("in_degree"),
-        F.count_if(F.col("txn_out") > 0).alias("out_degree"),
-        F.count(F.lit(1)).alias("counterparties"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-    )
 
+def snapshot_features(
+    accounts: DataFrame,
+    ledger: DataFrame,
+    links: DataFrame,
+    truth: DataFrame,
+    score_v1: Callable[[DataFrame], DataFrame],
+    days: tuple[int, ...] = SNAPSHOT_DAYS,
+) -> DataFrame:
+    """All money and identity features per (account, day) with the training label.
 
-def snapshot_features(accounts: DataFrame, ledger: DataFrame, truth: DataFrame, days: tuple[int, ...] = SNAPSHOT_DAYS) -> DataFrame:
-    """Features per (account, day) with the training label. Members of known rings appear only from their first labelled
-    transfer on; before that they are left out."""
-    from muletrace.operators.events import account_events
-    from muletrace.operators.features import opened_us
-
+    The transfers of every cut-off belong to accounts named after the day, so one pass of the ordinary feature matrix
+    gives all days; a transfer is repeated once per later cut-off, at most ``len(days)`` times. Accounts without a
+    transfer so far have no row; members of known rings have one only from their first labelled transfer on.
+    """
     start = ledger.agg(F.min("us")).scalar()
-    act = snapshot_activity(account_events(drop_labels(ledger)), start, days)
-    fraud = truth.select("account").distinct()
-    ends = ledger.where("is_fraud").select(F.explode(F.array("src", "dst")).alias("account"), "us")
-    first = fraud.join(ends.groupBy("account").agg(F.min("us").alias("fraud_us")), "account", "left").withColumn("label", F.lit(1))
-    n = F.col("txn_in") + F.col("txn_out")
-    span = (F.col("last_us") - F.col("first_us")) / F.lit(float(MICROS_PER_HOUR))
-    one = F.lit(1)
-    rows = act.join(opened_us(accounts).select("account", "opened_us"), "account").join(first, "account", "left")
-    cut_us = start + F.col("day") * F.lit(MICROS_PER_DAY)
-    rows = rows.where(F.col("label").isNull() | (F.col("fraud_us") <= cut_us))
-    return rows.select(
-        "account",
-        "day",
-        "amount_in",
-        "amount_out",
-        "txn_in",
-        "txn_out",
-        F.round(F.least("amount_out", "amount_in") / F.greatest("amount_in", one), 6).alias("pass_through"),
-        F.when(n >= 2, F.round(n / F.greatest(span, F.lit(0.0167)), 4)).otherwise(0.0).alias("velocity_per_hr"),
-        F.round(F.col("counterparties") / F.greatest(n, one), 6).alias("counterparty_div"),
-        "in_degree",
-        "out_degree",
-        F.round(F.greatest((F.col("first_us") - F.col("opened_us")) / F.lit(float(MICROS_PER_DAY)), F.lit(0.0)), 2).alias("account_age_days"),
-        F.round(F.col("atm_out") / F.greatest("amount_out", one), 6).alias("atm_share"),
-        F.coalesce("label", F.lit(0)).alias("label"),
+    all_days = F.array(*[F.lit(d) for d in sorted(days)])
+    seen = drop_labels(ledger).withColumn("day", F.explode(all_days)).where(F.col("us") <= start + F.col("day") * F.lit(MICROS_PER_DAY))
+    seen = seen.withColumns({"src": _tagged("src"), "dst": _tagged("dst")}).drop("day")
+    each = lambda df, *names: df.withColumn("day", F.explode(all_days)).withColumns({n: _tagged(n) for n in names}).drop("day")
+    matrix = feature_matrix(each(accounts, "account"), seen, each(links, "account", "identifier_id"), score_v1, geo=False)
+    rows = matrix.where(F.col("txn_in") + F.col("txn_out") > 0).select(
+        F.expr("substring(account, 6)").alias("account"), F.expr("cast(substring(account, 1, 4) as int)").alias("day"), *V2_FEATURES
     )
+    ends = ledger.where("is_fraud").select(F.explode(F.array("src", "dst")).alias("account"), "us")
+    first = truth.select("account").distinct().join(ends.groupBy("account").agg(F.min("us").alias("fraud_us")), "account", "left")
+    rows = rows.join(first.withColumn("label", F.lit(1)), "account", "left")
+    rows = rows.where(F.col("label").isNull() | (F.col("fraud_us") <= start + F.col("day") * F.lit(MICROS_PER_DAY)))
+    return rows.select("account", "day", *V2_FEATURES, F.coalesce("label", F.lit(0)).alias("label"))

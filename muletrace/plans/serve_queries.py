@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from muletrace import schemas
 from muletrace.functions import exprs as X
 from muletrace.operators import events as ev
-from muletrace.operators import freeze, rings, serve, snapshots, taint
+from muletrace.operators import features, freeze, rings, scoring, serve, snapshots, taint
 from muletrace.plans import sqlviews
 from muletrace.plans.case_queries import _recruits
 from muletrace.plans.registry import query
@@ -185,16 +185,16 @@ def replay_ticks(spark, d):
 
 
 def _snap_sql() -> str:
+    """The feature views over the ledger as it was on each day, one after the other."""
+    columns = ", ".join(features.V2_FEATURES)
+    whole = sqlviews.VIEWS["ledger"]
     parts = []
     for day in snapshots.SNAPSHOT_DAYS:
-        parts.append(f"""SELECT e.account, {day} "day", CAST(coalesce(sum(amount_paise) FILTER (dir='C'),0) AS BIGINT) amount_in, CAST(coalesce(sum(amount_paise) FILTER (dir='D'),0) AS BIGINT) amount_out,
-          count(*) FILTER (dir='C') txn_in, count(*) FILTER (dir='D') txn_out, coalesce(sum(amount_paise) FILTER (dir='D' AND channel='ATM'),0) atm_out, count(DISTINCT CASE WHEN dir='C' THEN counterparty END) in_degree,
-          count(DISTINCT CASE WHEN dir='D' THEN counterparty END) out_degree, count(DISTINCT counterparty) cp, min(us) f, max(us) l FROM acct_ev e WHERE (us-(SELECT min(us) FROM ledger))/8.64e10<={day}e0 GROUP BY 1""")
-    union = " UNION ALL ".join(parts)
-    return f"""SELECT s.account, "day", amount_in, amount_out, txn_in, txn_out, round(least(amount_out,amount_in)/CAST(greatest(amount_in,1) AS DOUBLE),6) pass_through,
-      CASE WHEN txn_in+txn_out>=2 THEN round((txn_in+txn_out)/greatest((l-f)/3.6e9,0.0167e0),4) ELSE 0e0 END velocity_per_hr, round(cp/CAST(greatest(txn_in+txn_out,1) AS DOUBLE),6) counterparty_div,
-      in_degree, out_degree, round(greatest((f-epoch_us(CAST(opened_on AS TIMESTAMP)))/8.64e10,0e0),2) account_age_days, round(atm_out/CAST(greatest(amount_out,1) AS DOUBLE),6) atm_share, CASE WHEN t.account IS NULL THEN 0 ELSE 1 END label
-      FROM ({union}) s JOIN accounts USING(account) LEFT JOIN (SELECT DISTINCT account FROM truth) t ON t.account=s.account
+        until = f"SELECT * FROM ({whole}) WHERE us<=(SELECT min(us) FROM ({whole}))+{day}*86400000000"
+        one = sqlviews.complete(f"SELECT account, {columns} FROM feat WHERE txn_in+txn_out>0", {"ledger": until})
+        parts.append(f'SELECT account, {day} "day", {columns} FROM ({one})')
+    return f"""SELECT s.*, CASE WHEN t.account IS NULL THEN 0 ELSE 1 END label
+      FROM ({" UNION ALL ".join(parts)}) s LEFT JOIN (SELECT DISTINCT account FROM truth) t ON t.account=s.account
       LEFT JOIN (SELECT a, min(us) fu FROM (SELECT src a, us FROM ledger WHERE is_fraud UNION ALL SELECT dst, us FROM ledger WHERE is_fraud) GROUP BY 1) x ON x.a=s.account
       WHERE t.account IS NULL OR x.fu<=(SELECT min(us) FROM ledger)+"day"*86400000000"""
 
@@ -202,7 +202,7 @@ def _snap_sql() -> str:
 @query("snapshot_features", _snap_sql())
 def snapshot_features(spark, d):
     t = Tables(spark, d)
-    return snapshots.snapshot_features(t.accounts, t.ledger, t.truth)
+    return snapshots.snapshot_features(t.accounts, t.ledger, t.links, t.truth, scoring.rule_score_v1)
 
 
 @query("training_labels", "SELECT account, CASE WHEN account IN (SELECT account FROM truth) THEN 1 ELSE 0 END label FROM accounts")

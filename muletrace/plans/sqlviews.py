@@ -173,8 +173,9 @@ def define(name: str, sql: str) -> None:
     _NAME[name] = re.compile(rf"\b{name}\b")
 
 
-def complete(sql: str) -> str:
-    """Prepend the shared views that ``sql`` reaches, directly or through other views."""
+def complete(sql: str, instead: dict[str, str] | None = None) -> str:
+    """Prepend the shared views that ``sql`` reaches, directly or through other views; ``instead`` replaces some."""
+    views = VIEWS | (instead or {})
     needed: set[str] = set()
     todo = [sql]
     while todo:
@@ -182,10 +183,10 @@ def complete(sql: str) -> str:
         for n, pat in _NAME.items():
             if n not in needed and pat.search(text):
                 needed.add(n)
-                todo.append(VIEWS[n])
+                todo.append(views[n])
     if not needed:
         return sql
-    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({VIEWS[n]})" for n in VIEWS if n in needed)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({views[n]})" for n in views if n in needed)
     body = sql.strip()
     if body[:14].upper() == "WITH RECURSIVE":
         return f"WITH RECURSIVE {ctes}, {body[14:]}"
