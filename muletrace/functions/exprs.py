@@ -14,10 +14,6 @@ MICROS_PER_DAY = 86_400_000_000
 RISK_BANDS = ((0.80, "CRITICAL"), (0.60, "HIGH"), (0.35, "MEDIUM"))
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance on a 6371 km sphere, argument clamped to [0, 1]."""
     half_dphi = F.radians(lat2 - lat1) / F.lit(2.0)
@@ -28,10 +24,6 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))))
 
 
-def minutes_between(us_a: Column, us_b: Column) -> Column:
-    return (us_b - us_a) / F.lit(float(MICROS_PER_MINUTE))
-
-
 def risk_band(risk: Column) -> Column:
     (c, cn), (h, hn), (m, mn) = RISK_BANDS
     return F.when(risk >= c, cn).when(risk >= h, hn).when(risk >= m, mn).otherwise("LOW")
@@ -144,7 +136,3 @@ def signal_label(feature: str, value: Column) -> Column:
     template, kind = SIGNAL_TEXT[feature]
     before, after = template.split("{}")
     return F.concat(F.lit(before), _render(kind, value), F.lit(after))
-
-
-def page_count(total: Column, limit: int) -> Column:
-    return F.ceil(total / F.lit(limit)).cast("bigint")

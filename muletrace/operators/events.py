@@ -57,16 +57,6 @@ def activity(events: DataFrame) -> DataFrame:
     )
 
 
-def approximate_degrees(events: DataFrame, rsd: float = 0.02) -> DataFrame:
-    """Single-shuffle alternative to the exact degrees, for dashboards."""
-    cp = F.col("counterparty")
-    return events.groupBy("account").agg(
-        F.approx_count_distinct(F.when(F.col("dir") == "C", cp), rsd).alias("in_degree"),
-        F.approx_count_distinct(F.when(F.col("dir") == "D", cp), rsd).alias("out_degree"),
-        F.approx_count_distinct(cp, rsd).alias("counterparties"),
-    )
-
-
 def channel_totals(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("channel").agg(F.count(F.lit(1)).alias("transfers"), F.sum("amount_paise").alias("amount_paise"))
 

@@ -187,7 +187,3 @@ def identifier_sizes(links: DataFrame) -> DataFrame:
 def nested_identifiers(links: DataFrame) -> DataFrame:
     """Document form of an identifier: its sorted user list."""
     return links.groupBy("identifier_id", "type").agg(F.sort_array(F.collect_set("account")).alias("account_ids"))
-
-
-def exploded_links(nested: DataFrame) -> DataFrame:
-    return nested.select("identifier_id", "type", F.explode("account_ids").alias("account")).distinct()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import signal_label
-from muletrace.operators.features import V1_FEATURES, V2_FEATURES
+from muletrace.operators import evaluate, scoring
+from muletrace.operators.features import V1_FEATURES, V2_FEATURES, feature_matrix
 from muletrace.operators.scoring import blend, normalised_anomaly, top_signals
+from muletrace.operators.snapshots import SNAPSHOT_DAYS, snapshot_features
 from muletrace.session import cut_lineage
 
 # Settings of the trained models.
@@ -94,15 +97,23 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(
+FOREST = "tree int, sample int, nodes array<double>"
+
+
+def grow_forest(
     df: DataFrame, columns: list[str] = V1_FEATURES, trees: int = ISOLATION_TREES, sample: int = ISOLATION_SAMPLE, seed: int = 42
 ) -> DataFrame:
-    """Adds ``iso_raw`` (higher is more ordinary). Trees are grown one group each from at most ``sample`` rows; the
-    forest, at most trees x 2 x sample nodes, is then given to the scoring tasks."""
-    df = cut_lineage(df.na.fill(0, subset=columns))
-    grown = isolation_samples(df, columns, trees, sample, seed).groupBy("tree").applyInPandas(_grow, "tree int, sample int, nodes array<double>")
-    forest = [(r["sample"], np.array(r["nodes"]).reshape(-1, 5)) for r in grown.orderBy("tree").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    """(tree, sample, nodes): isolation trees, one group each, from at most ``sample`` rows. A table like any other, to be
+    kept and applied to other rows."""
+    df = df.na.fill(0, subset=columns)
+    return isolation_samples(df, columns, trees, sample, seed).groupBy("tree").applyInPandas(_grow, FOREST)
+
+
+def forest_scores(df: DataFrame, forest: DataFrame, columns: list[str] = V1_FEATURES) -> DataFrame:
+    """Adds ``iso_raw`` (higher is more ordinary) by a grown forest, which has at most trees x 2 x sample nodes."""
+    df = df.na.fill(0, subset=columns)
+    trees = [(r["sample"], np.array(r["nodes"]).reshape(-1, 5)) for r in forest.orderBy("tree").collect()]
+    shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,6 +137,14 @@ def isolation_scores(
     return df.mapInPandas(score, _with_field(df))
 
 
+def isolation_scores(
+    df: DataFrame, columns: list[str] = V1_FEATURES, trees: int = ISOLATION_TREES, sample: int = ISOLATION_SAMPLE, seed: int = 42
+) -> DataFrame:
+    """``iso_raw`` of rows by a forest grown on these rows."""
+    df = cut_lineage(df)
+    return forest_scores(df, grow_forest(df, columns, trees, sample, seed), columns)
+
+
 def _with_field(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", iso_raw double"
 
@@ -133,10 +152,62 @@ def _with_field(df: DataFrame) -> str:
 # ---- two-pass scoring ---------------------------------------------------------------------------------------------
 
 
-def score_accounts(df: DataFrame, v1: PipelineModel, v2: PipelineModel, iso_bounds: tuple[float, float] | None = None) -> DataFrame:
+@dataclass
+class Detector:
+    """What scoring needs: both models, the forest with the bounds of its scores in training, the columns."""
+
+    v1: PipelineModel
+    v2: PipelineModel
+    forest: DataFrame
+    bounds: tuple[float, float]
+    v1_columns: list[str] = field(default_factory=lambda: list(V1_FEATURES))
+    v2_columns: list[str] = field(default_factory=lambda: list(V2_FEATURES))
+
+
+def by_model(v1: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for the feature matrix: the first model's probability as ``v1_bp``, from which neighbour risk is taken."""
+    return lambda df: probability(v1, df, "p1").withColumn("v1_bp", F.round(F.col("p1") * 10000).cast("bigint"))
+
+
+def train_detector(
+    accounts: DataFrame,
+    ledger: DataFrame,
+    links: DataFrame,
+    truth: DataFrame,
+    days: tuple[int, ...] = SNAPSHOT_DAYS,
+    trees: int = TREES,
+) -> Detector:
+    """First model on the money features of the snapshots; second on all features, neighbour risk by the first one; the
+    forest on the same rows, with the bounds of its scores. Called with later data it retrains."""
+    base = cut_lineage(snapshot_features(accounts, ledger, links, truth, scoring.rule_score_v1, days).select("account", "day", *V1_FEATURES, "label"))
+    v1 = train(base, V1_FEATURES, trees)
+    full = snapshot_features(accounts, ledger, links, truth, by_model(v1), days)
+    v2 = train(full, V2_FEATURES, trees)
+    rows = cut_lineage(base.select(F.concat_ws("|", "day", "account").alias("account"), *V1_FEATURES))
+    forest = cut_lineage(grow_forest(rows))
+    low, high = forest_scores(rows, forest).agg(F.min("iso_raw"), F.max("iso_raw")).first()
+    return Detector(v1, v2, forest, (low, high))
+
+
+def detect(detector: Detector, accounts: DataFrame, ledger: DataFrame, links: DataFrame) -> DataFrame:
+    """Scores of all accounts: first model, neighbour risk from it, second model, anomaly, combined risk."""
+    matrix = feature_matrix(accounts, ledger, links, by_model(detector.v1), geo=False).select("account", *detector.v2_columns)
+    return score_accounts(cut_lineage(matrix), detector)
+
+
+def evaluate_on(detector: Detector, accounts: DataFrame, ledger: DataFrame, links: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of quality for each of the three scores."""
+    scores = cut_lineage(detect(detector, accounts, ledger, links))
+    return evaluate.metrics_table(
+        scores, truth, {"V1 transaction only": "risk_v1", "V2 with identity": "risk_v2", "Combined with anomaly": "risk_combined"}
+    )
+
+
+def score_accounts(df: DataFrame, detector: Detector) -> DataFrame:
     """Probabilities of both models, anomaly, combined risk; four decimals for risks, six for probabilities."""
-    s = probability(v2, probability(v1, isolation_scores(df), "p1"), "p2")
-    s = normalised_anomaly(s, "iso_raw", iso_bounds)
+    s = forest_scores(df, detector.forest, detector.v1_columns)
+    s = probability(detector.v2, probability(detector.v1, s, "p1"), "p2")
+    s = normalised_anomaly(s, "iso_raw", detector.bounds)
     return s.select(
         *df.columns,
         F.round("p1", 4).alias("risk_v1"),
@@ -210,12 +281,20 @@ def fingerprint(training: DataFrame) -> DataFrame:
     return training.agg(F.md5(F.max(schema)).alias("schema_hash"), F.count(F.lit(1)).alias("rows"), content.alias("content"))
 
 
-def save_model(model: PipelineModel, training: DataFrame, folder: str) -> None:
-    model.write().overwrite().save(f"{folder}/model")
+def save_detector(detector: Detector, training: DataFrame, folder: str) -> None:
+    """Models, forest, bounds and columns, with the fingerprint of the training data."""
+    detector.v1.write().overwrite().save(f"{folder}/v1")
+    detector.v2.write().overwrite().save(f"{folder}/v2")
+    detector.forest.write.mode("overwrite").parquet(f"{folder}/forest")
+    rest = [(*map(float, detector.bounds), detector.v1_columns, detector.v2_columns)]
+    training.sparkSession.createDataFrame(rest, "low double, high double, v1 array<string>, v2 array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/rest")
     fingerprint(training).coalesce(1).write.mode("overwrite").parquet(f"{folder}/fingerprint")
 
 
-def load_model(spark: SparkSession, folder: str, training: DataFrame) -> PipelineModel | None:
-    """The stored model, or None when it was trained on other data."""
-    stored = spark.read.parquet(f"{folder}/fingerprint")
-    return PipelineModel.load(f"{folder}/model") if stored.first() == fingerprint(training).first() else None
+def load_detector(spark: SparkSession, folder: str, training: DataFrame) -> Detector | None:
+    """The stored detector, or None when it was trained on other data."""
+    if spark.read.parquet(f"{folder}/fingerprint").first() != fingerprint(training).first():
+        return None
+    r = spark.read.parquet(f"{folder}/rest").first()
+    models = (PipelineModel.load(f"{folder}/{n}") for n in ("v1", "v2"))
+    return Detector(*models, spark.read.parquet(f"{folder}/forest"), (r.low, r.high), list(r.v1), list(r.v2))

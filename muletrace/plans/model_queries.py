@@ -19,14 +19,17 @@ def isolation_scores(spark, d):
     return scoring.normalised_anomaly(s, "iso_raw").select("account", F.round("anomaly", 4).alias("anomaly"))
 
 
+def _detector(t: Tables):
+    return models.train_detector(t.accounts, t.ledger, t.links, t.truth)
+
+
 @query("gbt_scores")
 def gbt_scores(spark, d):
-    """Both models trained on the labelled accounts (20 trees) and applied with the anomaly score."""
+    """Detector trained on the snapshots, applied to all accounts as they are at the end."""
     t = Tables(spark, d)
-    data = cut_lineage(evaluate.labelled(t.matrix.select("account", *features.V2_FEATURES), t.truth))
-    v1, v2 = models.train(data, features.V1_FEATURES, trees=20), models.train(data, features.V2_FEATURES, trees=20)
-    s = models.score_accounts(data.drop("label"), v1, v2)
-    return s.select("account", "risk_v1", "risk_v2", "anomaly_score", "risk_combined", models.gain_signals(v2).alias("signals"))
+    det = _detector(t)
+    s = models.detect(det, t.accounts, t.ledger, t.links)
+    return s.select("account", "risk_v1", "risk_v2", "anomaly_score", "risk_combined", models.gain_signals(det.v2).alias("signals"))
 
 
 @query(

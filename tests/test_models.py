@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muletrace.operators import models
+from muletrace.plans.tables import Tables
 
 
 def test_train_explain_save(spark, tmp_path):
@@ -21,8 +22,19 @@ def test_train_explain_save(spark, tmp_path):
     c = models.path_contributions(m, df, str(tmp_path), cols).collect()
     by = {(r["account"], r["feature"]): r["contribution"] for r in c}
     assert by["A59", "txn_out"] > 0 > by["A00", "txn_out"]
-    models.save_model(m, df, str(tmp_path / "store"))
-    assert models.load_model(spark, str(tmp_path / "store"), df) is not None
-    assert models.load_model(spark, str(tmp_path / "store"), df.where("txn_out > 3")) is None
     iso = models.isolation_scores(df.drop("label"), cols, trees=20, sample=32)
     assert iso.count() == 60 and iso.where("iso_raw >= 0 or iso_raw < -1").isEmpty()
+
+
+def test_detector_is_kept_and_applied_to_other_rows(spark, tmp_path):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    det = models.train_detector(t.accounts, t.ledger, t.links, t.truth, days=(5, 30), trees=2)
+    models.save_detector(det, t.ledger, str(tmp_path / "d"))
+    assert models.load_detector(spark, str(tmp_path / "d"), t.ledger.limit(3)) is None
+    again = models.load_detector(spark, str(tmp_path / "d"), t.ledger)
+    assert again.bounds == det.bounds and again.v2_columns == det.v2_columns
+    some = t.accounts.where("account < 'ACC000010'")
+    one, two = (sorted(map(tuple, models.detect(x, some, t.ledger, t.links).collect())) for x in (det, again))
+    assert one == two and len(one) == some.count()
+    table = {r.model: r for r in models.evaluate_on(again, t.accounts, t.ledger, t.links, t.truth).collect()}
+    assert len(table) == 3 and all(0 <= r.pr_auc <= 1 for r in table.values())

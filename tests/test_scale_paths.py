@@ -131,6 +131,18 @@ def test_no_seeds_no_rings(spark):
     assert graph.discover_rings(accounts, led, links, scores).isEmpty()
 
 
+def test_retries_lower_the_threshold(spark):
+    """Risks of 0.45 are too low for the first threshold's members and enough for the second's."""
+    names = [f"A{k}" for k in range(4)]
+    accounts = spark.createDataFrame([(n,) for n in names], "account string")
+    links = spark.createDataFrame([("D", "device", n) for n in names], "identifier_id string, type string, account string")
+    led = micro.ledger(spark, [("A0", "A1", 100, "10:00")])
+    scores = spark.createDataFrame([(n, bp) for n, bp in zip(names, (5200, 4500, 4500, 4500))], "account string, v2_bp bigint")
+    assert graph.discover_rings(accounts, led, links, scores, min_mean_risk=0.45).isEmpty()
+    found = graph.discover_with_retries(accounts, led, links, scores, min_mean_risk=0.45)
+    assert {r["account"] for r in found.collect()} == set(names)
+
+
 def test_labels_dropped(spark):
     df = spark.createDataFrame([(1, True)], "a int, is_fraud boolean")
     assert drop_labels(df).columns == ["a"]
