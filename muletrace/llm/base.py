@@ -35,6 +35,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def hash_share(key: Column, wanted: int, total: int) -> Column:
+    """Rows whose key's hash lies in a share of about ``wanted`` of ``total`` rows; all, if there are no more. What a later
+    ``limit`` looks at then does not grow with the number of tasks."""
+    span = 1 << 32
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(span)) < F.lit(min(span, span * wanted // max(1, total)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most ``per_class`` training texts of either label, chosen by a hash of the id; held-out documents never.
 
@@ -43,9 +50,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     lab = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
     lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
     out: list[tuple[str, int]] = []
+    sizes = {r.y: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     for y in (0, 1):
         order = [F.xxhash64("id"), F.col("id")]
-        chosen = lab.where(F.col("y") == y).orderBy(*order).limit(per_class)
+        some = lab.where((F.col("y") == y) & hash_share(F.col("id"), 2 * per_class, sizes.get(y, 0)))
+        chosen = some.orderBy(*order).limit(per_class)
         rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
         got = rows.select("doc_id", "text", "y").collect()
         out += [(r.text, r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muletrace.llm.base import portions, texts
+from muletrace.llm.base import hash_share, portions, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TEXTS = 800
+SHARE = 12  # as many documents are looked through for each sampled text
 WINDOW, STRIDE = 64, 48
 HIDDEN = 12
 TRAIN_WINDOWS = 4000
@@ -373,7 +374,8 @@ def training_windows(many: list[str], seed: int = 1) -> tuple[np.ndarray, np.nda
 
 def fit_tagger(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> Tagger:
     """The network fitted on the pattern spans of at most ``sample`` texts, chosen by a hash of the id."""
-    rows = texts(docs).where(F.col("text").rlike("[0-9@]"))
+    some = hash_share(F.coalesce(F.col("doc_id"), F.lit(0)), SHARE * sample, docs.count())
+    rows = texts(docs).where(some & F.col("text").rlike("[0-9@]"))
     got = rows.orderBy(F.xxhash64(F.col("doc_id")), F.col("doc_id"), F.col("text")).limit(sample).collect()
     i, t = training_windows([x.text for x in got])
     return Tagger().fit(i, t) if t.any() else Tagger()
