@@ -230,18 +230,21 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
 
     ``rows`` has row (unique) and text."""
     unit = rows.select("row", F.explode(text_units("text")).alias("u")).select("row", "u.gram", "u.said", "u.place")
+    # A gram may be everywhere. Keys are negated after every grouping, so that both sides of the joins are dealt anew and
+    # a join splits a hot one, and so that strings are grouped by (gram, said) and not where their gram lies.
+    negated = lambda df, old, new: df.withColumn(new, F.bitwise_not(old)).drop(old)
     grams = unit.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram")
-    # the key is rewritten so that the next grouping deals by (gram, said), not by a gram that may be everywhere
-    again = unit.join(grams, "gram", "left_semi").select(F.bitwise_not("gram").alias("key"), "said", "row", "place")
-    strings = again.groupBy("key", "said").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "place")).alias("one"))
+    grams = negated(negated(grams, "gram", "key"), "key", "gram")
+    again = unit.join(grams, "gram", "left_semi")
+    strings = negated(again, "gram", "key").groupBy("key", "said").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "place")).alias("one"))
     strings = cut_lineage(strings)
-    sides = strings.groupBy("key").agg(F.count(F.lit(1)).alias("sides")).where(F.col("sides") > 1)
-    copied = strings.where(F.col("copies") > 1).select(F.col("key").alias("k"), F.col("said").alias("s"))
-    whole = again.join(copied, (F.col("key") == F.col("k")) & (F.col("said") == F.col("s")), "left_semi")
+    sides = negated(strings.groupBy("key").agg(F.count(F.lit(1)).alias("sides")).where(F.col("sides") > 1), "key", "gram")
+    strings = negated(strings, "key", "gram")
+    whole = again.join(strings.where(F.col("copies") > 1).select("gram", "said"), ["gram", "said"], "left_semi")
     start, size = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long"))
     whole = whole.select("row", start.alias("start"), (start + size + LENGTH - 1).alias("end"))
     asked, n = cut_counting(
-        strings.join(sides, "key")
+        strings.join(sides, "gram")
         .groupBy("one.row")
         .agg(F.collect_list(F.struct("one.place", (F.col("sides") > hot).alias("hot"))).alias("asked"), F.max(F.col("sides") > hot).alias("has_hot")),
         F.lit(True),
