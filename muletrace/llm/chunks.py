@@ -141,7 +141,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = rows.select("doc_id", "row", F.explode("c").alias("c")).select("doc_id", "row", "c.start", "c.size", "c.high", "c.low")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "start")
     seen = flat.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    again = flat.join(seen.drop("n"), ["high", "low"])
+    # a negated key is dealt anew, so that the join splits a chunk that is everywhere
+    seen = seen.select(F.bitwise_not("high").alias("key"), "low", "first").select(F.bitwise_not("key").alias("high"), "low", "first")
+    again = flat.join(seen, ["high", "low"])
     later = again.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     return later.select("row", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("first_id"))
 
