@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from muletrace.llm.base import portions
 
-CACHE = 3 << 16  # pieces remembered
+CACHE = 1 << 19  # pieces remembered
 LONG = 64  # characters of a piece that is not worth remembering
 
 
