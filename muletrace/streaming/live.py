@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from muletrace.functions.exprs import iso_parse, risk_band
-from muletrace.operators import graph, rings
+from muletrace.operators import graph, rings, taint
 from muletrace.operators.events import account_events
 from muletrace.operators.matching import best_overlap
 from muletrace.schemas import ledger_rules, split_valid
 from muletrace.session import cut_lineage
+from muletrace.sources.readers import path_exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BURST_US = 600_000_000
@@ -198,30 +199,41 @@ def discovery_due(crossed: bool, last_us: int | None, now_us: int, any_ring: boo
     return last_us is not None and any_ring and now_us - last_us >= DISCOVER_EVERY_US
 
 
+class BatchTables:
+    """Tables written once per batch under its id; repeating a batch replaces its own part and nothing else."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def write(self, name: str, batch_id: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+
+    def until(self, name: str, before: int) -> DataFrame | None:
+        """Rows of all batches before one, with their ``batch``; None before the first."""
+        root = f"{self.folder}/{name}"
+        if not path_exists(self.spark, root):
+            return None
+        return self.spark.read.parquet(root).where(F.col("batch") < before)
+
+    def latest(self, name: str, before: int) -> DataFrame | None:
+        """Rows of the newest batch before one that has any."""
+        rows = self.until(name, before)
+        newest = None if rows is None else rows.agg(F.max("batch")).first()[0]
+        return None if newest is None else rows.where(F.col("batch") == newest).drop("batch")
+
+
 class RingRegistry:
     """Ring ids that stay the same between discovery runs, kept as versioned tables in a shared folder.
 
     A community continues the known ring it overlaps most (at least half of the smaller set). Members are only added. A
-    version changes when the member set does. Batches are written under their id, so repeating one replaces its own
-    output and nothing else.
+    version changes when the member set does.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _at(self, name: str, batch_id: int) -> str:
-        return f"{self.folder}/{name}/batch={batch_id}"
+        self.tables = BatchTables(spark, folder)
 
     def _latest(self, name: str, before: int) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        ids = sorted(int(p.getName().split("=")[1]) for p in done)
-        ids = [i for i in ids if i < before]
-        return self.spark.read.parquet(self._at(name, ids[-1])) if ids else None
+        return self.tables.latest(name, before)
 
     def members(self, before: int = 2**62) -> DataFrame | None:
         return self._latest("members", before)
@@ -257,8 +269,8 @@ class RingRegistry:
             everyone = known.select("ring_id", "account").unionByName(added)
             merged = everyone.join(now, "ring_id")
         alerts = cut_lineage(new_rings.withColumn("fired_us", F.lit(clock_us).cast("bigint")))
-        merged.write.mode("overwrite").parquet(self._at("members", batch_id))
-        alerts.write.mode("overwrite").parquet(self._at("alerts", batch_id))
+        self.tables.write("members", batch_id, merged)
+        self.tables.write("alerts", batch_id, alerts)
         return alerts
 
 
@@ -282,6 +294,85 @@ def discover_in_neighbourhood(ledger: DataFrame, accounts: DataFrame, links: Dat
     )
 
 
+class LiveMonitor:
+    """Scores, rings, alerts and traces after every batch of accepted transfers.
+
+    ``score(accounts, ledger, links)`` gives (account, v2_bp, txns). Per batch: the transfers are stored; touched accounts
+    are scored anew over their stored transfers; scores that changed enough are sent; when an account crosses the
+    threshold, or five minutes after the last time, rings are looked for around risky accounts and merged into the
+    registry; rings confirmed for the first time raise an alert with its reason, and the victims' money in known rings is
+    traced. All of it is written under the batch id and read from earlier batches only, so a batch repeated after a
+    restart gives the same tables.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, accounts: DataFrame, links: DataFrame, score: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]):
+        self.spark, self.accounts, self.links, self.score = spark, accounts, links, score
+        self.tables, self.registry = BatchTables(spark, f"{folder}/live"), RingRegistry(spark, f"{folder}/registry")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        t = self.tables
+        columns = ["txn_id", "src", "dst", "amount_paise", "ts", "us", "channel", "city", "lat", "lng"]
+        stored = t.until("ledger", batch_id)
+        # a transfer delivered again is stored once
+        new = batch.select(columns).dropDuplicates(["txn_id"])
+        if stored is not None:
+            new = new.join(stored.select("txn_id"), "txn_id", "left_anti").select(columns)
+        t.write("ledger", batch_id, new)
+        ledger = t.until("ledger", batch_id + 1).drop("batch")
+        clock = t.until("ledger", batch_id + 1).agg(F.max("us")).first()[0]
+        if clock is None:
+            return
+        touched = cut_lineage(touched_accounts(new, self.links, self.links.limit(0)))
+        mine = touched.select("account")
+        of_touched = cut_lineage(
+            ledger.join(mine.withColumnRenamed("account", "src"), "src", "left_semi").select(columns)
+            .unionByName(ledger.join(mine.withColumnRenamed("account", "dst"), "dst", "left_semi").select(columns)).distinct()
+        )
+        fresh = cut_lineage(
+            self.score(self.accounts.join(mine, "account", "left_semi"), of_touched, self.links).join(mine, "account", "left_semi").select("account", "v2_bp", "txns")
+        )
+        before = t.latest("scores", batch_id)
+        now = fresh if before is None else fresh.unionByName(before.join(mine, "account", "left_anti"))
+        t.write("scores", batch_id, now)
+        sent = t.latest("sent", batch_id)
+        nothing = self.spark.createDataFrame([], "account string, v2_bp long, band string")
+        out = cut_lineage(worth_sending(fresh, nothing if sent is None else sent))
+        t.write("updates", batch_id, out)
+        keep = out.select("account", "v2_bp", "band")
+        t.write("sent", batch_id, keep if sent is None else keep.unionByName(sent.join(keep.select("account"), "account", "left_anti").select("account", "v2_bp", "band")))
+        self._discover(batch_id, clock, ledger, now, before)
+
+    def _discover(self, batch_id: int, clock: int, ledger: DataFrame, scores: DataFrame, before: DataFrame | None) -> None:
+        t = self.tables
+        risky = scores.where((F.col("v2_bp") >= 5000) & (F.col("txns") >= 2))
+        was = None if before is None else before.where((F.col("v2_bp") >= 5000) & (F.col("txns") >= 2))
+        crossed = not (risky if was is None else risky.join(was, "account", "left_anti")).isEmpty()
+        runs = t.latest("runs", batch_id)
+        last = None if runs is None else runs.first()["us"]
+        known = self.registry.members(batch_id)
+        if not discovery_due(crossed, last, clock, known is not None, not risky.isEmpty()):
+            return
+        found = discover_in_neighbourhood(ledger, self.accounts, self.links, scores)
+        alerts = self.registry.update(batch_id, found, clock)
+        members = self.registry.members(batch_id + 1)
+        t.write("runs", batch_id, self.spark.createDataFrame([(clock,)], "us long"))
+        if members is None:
+            return
+        members = cut_lineage(members.select("ring_id", "account"))
+        t.write("alerts", batch_id, alert_summary(ledger, members.join(alerts.select("ring_id"), "ring_id", "left_semi"), alerts))
+        cases = taint.victim_cases(rings.victim_deposits(ledger, members))
+        balances, _flows = taint.trace(ledger, self.accounts, cases)
+        t.write("traces", batch_id, taint.case_summary(balances))
+
+
+def run_monitor(lines: DataFrame, monitor: LiveMonitor, checkpoint: str, parse: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the stream that feeds a monitor with accepted transfers; it takes what is available, then stops."""
+    from muletrace.sources.readers import fan_out
+
+    good, _bad = valid_transactions(parse(lines) if parse else fan_out(lines)["txn"])
+    return good.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(monitor).start()
+
+
 def run_live(
     lines: DataFrame,
     out: str,
@@ -327,7 +418,10 @@ def latest_features(spark: SparkSession, out: str) -> DataFrame:
 
 
 def alert_summary(ledger: DataFrame, members: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Alerts of a batch with size, volume and whether cash had already been taken."""
+    """Alerts of a batch with size, volume, reason and whether cash had already been taken."""
+    sizes = members.groupBy("ring_id").agg(F.count(F.lit(1)).alias("members"))
+    reason = F.concat(F.col("members").cast("string"), F.lit(" linked accounts forwarding within minutes"))
+    alerts = alerts.join(sizes, "ring_id", "left").withColumn("reason", reason)
     named = alerts.withColumn("alert_id", F.concat(F.lit("LIVE-"), F.col("ring_id")))
     eta = rings.cashout_eta(ledger, members, named).select("ring_id", "before_cashout")
     return named.join(rings.ring_volumes(ledger, members), "ring_id", "left").join(eta, "ring_id")
