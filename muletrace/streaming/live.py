@@ -1,7 +1,8 @@
 """The live form: running account features in state, rings and alerts per micro-batch.
 
-Input order is not assumed: rows of a batch are sorted per account, and rows older than what an account has already
-folded are counted as late and left out.
+Input order is not assumed: rows of a batch are sorted per account. Rows older than what an account has already folded
+are late: they count in totals, degrees and first times like any other, only bursts and hold times, which need the order,
+leave them out and ``late`` says how many.
 """
 
 from __future__ import annotations
@@ -78,15 +79,15 @@ class AccountFeatures(StatefulProcessor):
         seen_before = t["txn_in"] + t["txn_out"] > 0
         old = batch["us"] < t["last_us"] if seen_before else pd.Series(False, index=batch.index)
         t["late"] += int(old.sum())
-        batch = batch[~old]
-        if len(batch):
-            self._fold(t, batch, seen_before)
+        self._count(t, batch, seen_before)
+        if not old.all():
+            self._order(t, batch[~old])
         self.totals.update(tuple(int(t[c]) for c in self.COLUMNS))
         yield pd.DataFrame([{"account": key[0], **t, "median_hold_us": self._median(t["matched"])}])[
             [c.split()[0] for c in FEATURE_ROW.split(", ")]
         ]
 
-    def _fold(self, t: dict, batch: pd.DataFrame, seen_before: bool) -> None:
+    def _count(self, t: dict, batch: pd.DataFrame, seen_before: bool) -> None:
         credit = batch["dir"] == "C"
         amount = batch["amount_paise"]
         t["amount_in"] += int(amount[credit].sum())
@@ -95,8 +96,8 @@ class AccountFeatures(StatefulProcessor):
         t["txn_out"] += int((~credit).sum())
         t["atm_out"] += int(amount[~credit & (batch["channel"] == "ATM")].sum())
         first, last = int(batch["us"].iloc[0]), int(batch["us"].iloc[-1])
-        t["first_us"] = t["first_us"] if seen_before else first
-        t["last_us"] = last
+        t["first_us"] = min(t["first_us"], first) if seen_before else first
+        t["last_us"] = max(t["last_us"], last) if seen_before else last
         for cp, d in batch[["counterparty", "dir"]].drop_duplicates().itertuples(index=False):
             known = self.partners.containsKey((cp,))
             sent, got = self.partners.getValue((cp,)) if known else (0, 0)
@@ -109,6 +110,8 @@ class AccountFeatures(StatefulProcessor):
                 t["out_degree"] += 1
                 got = 1
             self.partners.updateValue((cp,), (sent, got))
+
+    def _order(self, t: dict, batch: pd.DataFrame) -> None:
         times = [r[0] for r in self.window.get()] + batch["us"].tolist()
         lo = 0
         for hi, us in enumerate(times):
