@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muletrace.llm import bpe, decontaminate, exact, quality, simhash
-from muletrace.llm.base import table
+from muletrace.llm.base import cut_lineage, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,9 @@ ORACLE_SQL = None  # trained scores, XXH64 and BPE are not in SQL; tests/llm com
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder. Between two stages the documents are written to the checkpoint folder, as
+    stages read them more than once and must find the same rows in the same order."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut_lineage(docs) if k else docs, sf_dir)
     return docs
