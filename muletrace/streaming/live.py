@@ -186,6 +186,13 @@ def touched_accounts(batch: DataFrame, links: DataFrame, new_links: DataFrame) -
     return ends.unionByName(users).distinct()
 
 
+def with_co_users(accounts: DataFrame, links: DataFrame) -> DataFrame:
+    """The accounts and everyone on an identifier of theirs."""
+    keys = links.join(accounts, "account", "left_semi").select("type", "identifier_id").distinct()
+    users = links.join(keys, ["type", "identifier_id"], "left_semi").select("account")
+    return accounts.select("account").unionByName(users).distinct()
+
+
 def worth_sending(scores: DataFrame, sent: DataFrame) -> DataFrame:
     """Scores never sent, changed by 0.02 or more, or in a new band. ``provisional`` below three transfers."""
     new = scores.withColumn("band", risk_band(F.col("v2_bp") / F.lit(10000.0)))
@@ -301,7 +308,8 @@ class LiveMonitor:
     """Scores, rings, alerts and traces after every batch of accepted transfers.
 
     ``score(accounts, ledger, links)`` gives (account, v2_bp, txns). Per batch: the transfers are stored; touched accounts
-    are scored anew over their stored transfers; scores that changed enough are sent; when an account crosses the
+    and everyone who shares an identifier with them are scored anew over their and their co-users' stored transfers, so
+    scores equal those of the whole ledger; scores that changed enough are sent; when an account crosses the
     threshold, or five minutes after the last time, rings are looked for around risky accounts and merged into the
     registry; rings confirmed for the first time raise an alert with its reason, and the victims' money in known rings is
     traced. All of it is written under the batch id and read from earlier batches only, so a batch repeated after a
@@ -325,14 +333,17 @@ class LiveMonitor:
         clock = t.until("ledger", batch_id + 1).agg(F.max("us")).first()[0]
         if clock is None:
             return
-        touched = cut_lineage(touched_accounts(new, self.links, self.links.limit(0)))
-        mine = touched.select("account")
-        of_touched = cut_lineage(
-            ledger.join(mine.withColumnRenamed("account", "src"), "src", "left_semi").select(columns)
-            .unionByName(ledger.join(mine.withColumnRenamed("account", "dst"), "dst", "left_semi").select(columns)).distinct()
+        # a co-user's neighbour risk changes with the first score of an endpoint, so co-users are scored anew as well
+        ends = cut_lineage(touched_accounts(new, self.links, self.links.limit(0)))
+        mine = cut_lineage(with_co_users(ends, self.links))
+        # what is read for that: the co-users of these, with all their transfers and opening times
+        near = cut_lineage(with_co_users(mine, self.links))
+        of_near = cut_lineage(
+            ledger.join(near.withColumnRenamed("account", "src"), "src", "left_semi").select(columns)
+            .unionByName(ledger.join(near.withColumnRenamed("account", "dst"), "dst", "left_semi").select(columns)).distinct()
         )
         fresh = cut_lineage(
-            self.score(self.accounts.join(mine, "account", "left_semi"), of_touched, self.links).join(mine, "account", "left_semi").select("account", "v2_bp", "txns")
+            self.score(self.accounts.join(near, "account", "left_semi"), of_near, self.links).join(mine, "account", "left_semi").select("account", "v2_bp", "txns")
         )
         before = t.latest("scores", batch_id)
         now = fresh if before is None else fresh.unionByName(before.join(mine, "account", "left_anti"))

@@ -172,3 +172,26 @@ def test_monitor_finds_rings_over_a_restart(spark, tmp_path):
     monitor(again, 1)
     assert got == {(r["ring_id"], r["account"]) for r in monitor.registry.members().collect()}
     assert monitor.tables.until("ledger", 9).count() == len(rows)
+
+
+def _plain_scores(accounts, ledger, links):
+    m = scoring.rule_score_v2(features.feature_matrix(accounts, ledger, links, scoring.rule_score_v1))
+    return m.select("account", (F.col("txn_in") + F.col("txn_out")).alias("txns"), "v2_bp")
+
+
+@pytest.mark.parametrize("cut", [3, 5])
+def test_monitor_scores_equal_the_whole_ledger(spark, tmp_path, cut):
+    """Six new accounts on one device and two on one phone; the transfers of a risky one come batches after the others'."""
+    rows = [("Q", "A", 900, "08:00"), ("A", "Q", 100, "08:30"), ("Q", "E", 50, "08:45"), ("A", "E", 60, "08:50")]
+    rows += [("VICTIM_1", "B", 90_000, "09:00"), ("B", "G", 45_000, "09:02"), ("B", "CASH", 44_000, "09:04"), ("VICTIM_2", "G", 30_000, "09:05"), ("G", "CASH", 70_000, "09:07")]
+    led = micro.ledger(spark, rows)
+    names = ["A", "B", "C", "D", "E", "F", "G", "Q"]
+    accounts = spark.createDataFrame([(n, 1_704_000_000_000_000, 50_000, 18.5, 73.8) for n in names], "account string, opened_us bigint, opening_balance_paise bigint, home_lat double, home_lng double")
+    links = spark.createDataFrame([("D1", "device", n) for n in "ABCDEF"] + [("P1", "phone", n) for n in "EG"], "identifier_id string, type string, account string")
+    monitor = live.LiveMonitor(spark, str(tmp_path / "state"), accounts, links, _plain_scores)
+    ordered = led.orderBy("us", "txn_id").collect()
+    for k, part in enumerate((ordered[:cut], ordered[cut:])):
+        monitor(spark.createDataFrame(part, led.schema), k)
+    got = {r["account"]: (r["v2_bp"], r["txns"]) for r in monitor.tables.latest("scores", 9).collect()}
+    want = {r["account"]: (r["v2_bp"], r["txns"]) for r in _plain_scores(accounts, led, links).collect()}
+    assert got == want
