@@ -37,21 +37,34 @@ _WEIGHT = {s: DECAY ** (s[-1] - len(s)) for s in _STEPS}
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
-_SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,2}\w){2,}(?!\S)")
+_TOKEN = re.compile(r"\w+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+def _pieces(w: str) -> list[str]:
+    return [w[k : k + LONGEST] for k in range(0, len(w) - LONGEST // 2, LONGEST // 2)] if len(w) > LONGEST else [w]
+
+
 def strings(text: str) -> list[str]:
-    """Lower-case words without punctuation at their ends, and letters spelled one by one as one string each."""
+    """Lower-case words without punctuation at their ends, and letters spelled one by one joined to one string each.
+
+    Between spelled letters may stand any white space, line ends and punctuation, but no word. Long ones of either kind are
+    cut into overlapping pieces.
+    """
     low = text.lower()
-    out = []
+    out, spelled, run = [], [], []
     for w in low.split():
-        w = _EDGE.sub("", w) if not w.isalnum() else w
-        if len(w) > LONGEST:
-            out += [w[k : k + LONGEST] for k in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
-        elif len(w) > 2:
-            out.append(w)
-    return out + [re.sub(r"\W", "", m)[:LONGEST] for m in _SPELLED.findall(low)]
+        plain = w.isalnum()
+        letters = [w] if plain else _TOKEN.findall(w)
+        if all(len(x) == 1 for x in letters):
+            run += letters
+        else:
+            spelled.append(run)
+            run = []
+        w = w if plain else _EDGE.sub("", w)
+        if len(w) > 2:
+            out += _pieces(w)
+    return out + [x for r in (*spelled, run) if len(r) > 2 for x in _pieces("".join(r))]
 
 
 class Listed:

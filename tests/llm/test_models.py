@@ -127,6 +127,26 @@ def test_kernel_bridges_gaps():
     assert near[0] > near[1] > near[2]
 
 
+def test_spelled_runs_are_whole():
+    """Letters spelled one by one: long runs, wide separators, line ends, and behind lists of single characters."""
+    insult = "you are such a totally hopeless idiot"
+    got = toxicity.strings(" ".join(insult.replace(" ", "")))
+    assert all(any(w in s for s in got) for w in ("youare", "hopeless", "idiot"))
+    assert max(map(len, got)) <= toxicity.LONGEST
+    for spelled in ("i - d - i - o - t", "i\nd\ni\no\nt", "i...d...i...o...t", "(i d i o t)", "i. d. i. o. t."):
+        assert "idiot" in toxicity.strings(f"well then {spelled} there"), spelled
+    assert any("idiot" in s for s in toxicity.strings(" ".join("1234567890" * 3) + " i d i o t"))
+    assert toxicity.strings("don't a b") == ["don't"] and toxicity.strings("") == []
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choice("abcdeioutrns") for _ in range(r.randint(3, 8))) for _ in range(n))
+    bad = ["dolt", "blockhead", "nitwit", "rotter"]
+    texts = [say(40) + f" {r.choice(bad)} " + say(20) + f" {r.choice(bad)} " + say(9) for _ in range(150)] + [say(70) for _ in range(300)]
+    model = toxicity.ToxicityModel().fit(texts, [1] * 150 + [0] * 300)
+    for way in (" ", " - ", "\n", " \n- "):
+        p = model.scores([say(20) + f" {way.join('blockhead')} and {way.join('nitwit')} " + say(20)])
+        assert (p > 0.5).all(), (way, p)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = base.table(spark, SF, "documents")
     columns = docs.columns
