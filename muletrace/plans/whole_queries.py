@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import risk_band
-from muletrace.operators import evaluate, features, freeze, graph, matching, rings, scoring, serve
+from muletrace.operators import evaluate, features, flows, freeze, graph, matching, rings, scoring, serve
 from muletrace.plans import graph_queries, sqlviews
 from muletrace.plans.registry import query
 from muletrace.plans.ring_queries import _roles
@@ -185,3 +185,15 @@ def live_quality_whole(spark, d):
     al = rings.alerts(t.ledger, found)
     al = al.join(rings.cashout_eta(t.ledger, found, al).select("ring_id", "before_cashout"), "ring_id")
     return evaluate.live_quality(planted, found, al, cut_lineage(t.scores()))
+
+
+@query(
+    "fund_flow_summary_whole",
+    """WITH RECURSIVE p AS (SELECT 1 hops, us s, us e, [src,dst] seen, dst "at" FROM ledger WHERE src LIKE 'VICTIM%'
+      UNION ALL SELECT hops+1, s, l.us, list_append(seen,l.dst), l.dst FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)),
+      y AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)))
+      SELECT count(*) total_paths, round(sum((e-s)/6e7)/sum(hops-1),4) avg_hop_latency_min, round(min((e-s)/6e7) FILTER (hops>1),4) fastest_path_minutes, false truncated FROM y""",
+)
+def fund_flow_summary_whole(spark, d):
+    """All paths to their end."""
+    return flows.path_summary(flows.fund_flow_paths(Tables(spark, d).ledger))

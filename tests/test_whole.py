@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from muletrace.operators import serve
-from muletrace.plans import catalog
+from muletrace.operators import flows, serve
+from muletrace.plans import catalog, whole_queries
 from tests import micro
 from tests.compare import compare, duck
 
@@ -40,3 +40,12 @@ def test_unknown_accounts(spark):
     led = micro.ledger(spark, [("VICTIM_1", "A", 5, "09:00"), ("A", "B", 4, "09:01"), ("B", "CASH", 3, "09:02")])
     known = spark.createDataFrame([("A",)], "account string")
     assert [r["account"] for r in serve.unknown_accounts(led, known).collect()] == ["B"]
+
+
+def test_summary_follows_paths_to_their_end(spark, monkeypatch):
+    led = micro.ledger(spark, [("VICTIM_1", "A", 90, "09:00"), ("A", "B", 80, "09:10"), ("B", "C", 70, "09:20"), ("C", "D", 60, "09:50"), ("D", "CASH", 50, "10:00")])
+    cut = flows.path_summary(flows.fund_flow_paths(led, max_hops=3)).first()
+    assert cut["truncated"] and cut["fastest_path_minutes"] == 20
+    monkeypatch.setattr(whole_queries.Tables, "ledger", led)
+    whole = whole_queries.fund_flow_summary_whole(spark, "").first()
+    assert (whole["total_paths"], whole["avg_hop_latency_min"], whole["fastest_path_minutes"], whole["truncated"]) == (1, 15, 60, False)
