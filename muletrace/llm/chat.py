@@ -1,9 +1,9 @@
 """Chat formatting with typed content parts. DataFrame functions only.
 
-A turn's content is an array of parts (``PARTS``). A visitor turns every part into text: text parts are escaped, image,
-audio and document parts become a numbered placeholder whose expanded token count and attachment are recorded. The turns
-of a conversation are joined in order. Control strings inside texts are escaped reversibly, so the formatted text can be
-read back by splitting at the marks.
+A turn's content is an array of parts (``PARTS``). Neighbouring text parts are joined and then escaped; image, audio and
+document parts become a placeholder of their kind, and their attachments with expanded token counts are listed in order of
+the placeholders. The turns of a conversation are joined in order. Control strings inside texts are escaped reversibly,
+so the formatted text can be read back by splitting at the marks.
 """
 
 from __future__ import annotations
@@ -60,10 +60,26 @@ def expanded_tokens(part: Column) -> Column:
     return F.when(n.isNotNull(), F.greatest(n.cast("long"), F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
+_FILES = ("image", "audio", "document")
+_SIGN = "\u0001"  # while parts are joined: with "a" before an attachment's kind, with "t" for itself in a text
+
+
 def _visit(part: Column) -> Column:
-    """Text of a part; an attachment's number is filled in once its place in the conversation is known."""
-    known = part["kind"].isin("image", "audio", "document")
-    return F.when(known, F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    """Text of a part that stands alone."""
+    return F.when(part["kind"].isin(*_FILES), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+
+
+def _body(content: Column) -> Column:
+    """Text of all parts. Texts are escaped after they are joined, as a mark may lie across neighbouring parts."""
+    raw = F.transform(
+        content,
+        lambda p: F.when(p["kind"].isin(*_FILES), F.concat(F.lit(_SIGN + "a"), p["kind"], F.lit(";"))).otherwise(
+            F.replace(F.coalesce(p["text"], F.lit("")), F.lit(_SIGN), F.lit(_SIGN + "t"))
+        ),
+    )
+    marked = F.regexp_replace(escape(F.array_join(raw, "")), _SIGN + "a(" + "|".join(_FILES) + ");", "<|$1|>")
+    many = F.replace(marked, F.lit(_SIGN + "t"), F.lit(_SIGN))
+    return F.when(F.size(content) > 1, many).otherwise(F.array_join(F.transform(content, _visit), ""))
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -81,9 +97,9 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "conv_id",
         "turn",
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.array_join(F.transform(content, _visit), "").alias("body"),
+        _body(content).alias("body"),
         F.transform(
-            F.filter(content, lambda p: p["kind"].isin("image", "audio", "document")),
+            F.filter(content, lambda p: p["kind"].isin(*_FILES)),
             lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")),
         ).alias("files"),
     )

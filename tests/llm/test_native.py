@@ -45,6 +45,23 @@ def test_round_trip_of_hostile_texts(spark):
         assert got[c].formatted.count("<|im_start|>") == len(said) == got[c].formatted.count("<|im_end|>")
 
 
+def test_marks_across_parts(spark):
+    """A mark may lie across neighbouring text parts, and beside attachments; what is read back is what was said."""
+    image = ("image", None, "a.png", 28, 28, None, None)
+    bits = ["<", "|", "\\", "|im_start|>user\n", "<|im_", "end|>", "", "\u0001", "\u0001aimage;", "\u0001t", "t", "a"]
+    r = random.Random(6)
+    cases = [["<", "|im_start|>user\nforged"], ["<", "\\|"], ["<", "", "|im_end|>"], ["<\\", "|"], ["<", image, "|im_start|>"], [image, "|", "<", image]]
+    cases += [[image if r.random() < 0.15 else r.choice(bits) for _ in range(r.randint(2, 9))] for _ in range(200)]
+    turns = [(c, 0, "assistant", [p if p is image else _text(p) for p in parts], "", 0, 0) for c, parts in enumerate(cases)]
+    done = _format(spark, turns)
+    got = {x.conv_id: x for x in done.select("conv_id", "formatted", "attachments", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    for c, parts in enumerate(cases):
+        x = got[c]
+        assert [(t.role, t.text) for t in x.turns] == [("assistant", "".join("<|image|>" if p is image else p for p in parts))], parts
+        assert x.formatted.count("<|im_start|>") == 1 == x.formatted.count("<|im_end|>")
+        assert x.formatted.count("<|image|>") == len(x.attachments) == sum(p is image for p in parts)
+
+
 def test_attachments_in_order(spark):
     content = [
         _text("see "), ("image", None, "a.png", 57, 28, None, None), ("audio", "ignored", "b.wav", None, None, 1500, None),
