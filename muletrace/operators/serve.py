@@ -196,6 +196,11 @@ def case_report(
     )
 
 
+def identifiers_of_users(links: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Identifiers that any of the accounts uses, without gathering their users."""
+    return links.join(accounts.select("account"), "account", "left_semi").select("identifier_id", "type").distinct()
+
+
 def merge_new_data(
     accounts: DataFrame, ledger: DataFrame, links: DataFrame, new_accounts: DataFrame, new_ledger: DataFrame, new_links: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -99,11 +99,8 @@ def accounts_in_order(spark, d):
     """SELECT DISTINCT identifier_id, "type" FROM links WHERE account IN ('ACC000003','ACC000010')""",
 )
 def identifiers_overlapping(spark, d):
-    from muletrace.operators import identity
-
-    nested = identity.nested_identifiers(Tables(spark, d).links)
-    ids = X.parse_id_list(F.lit(" ACC000003, ,ACC000010 "))
-    return serve.identifiers_of(nested, ids).select("identifier_id", "type")
+    ids = spark.range(1).select(F.explode(X.parse_id_list(F.lit(" ACC000003, ,ACC000010 "))).alias("account"))
+    return serve.identifiers_of_users(Tables(spark, d).links, ids)
 
 
 @query(

@@ -17,7 +17,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", ["hop_distance_whole", "freeze_reachability_whole", "complete_ring_whole", "alerts_with_ring_whole", "merged_delivery_rows"])
+@pytest.mark.parametrize("name", ["hop_distance_whole", "freeze_reachability_whole", "complete_ring_whole", "alerts_with_ring_whole", "merged_delivery_rows", "identifiers_overlapping"])
 def test_whole_queries_equal_sql(spark, con, name):
     status, info = compare(spark, con, name, catalog.all_queries()[name], catalog.all_check_sql()[name], SF)
     assert status == "ok", info
@@ -49,3 +49,8 @@ def test_summary_follows_paths_to_their_end(spark, monkeypatch):
     monkeypatch.setattr(whole_queries.Tables, "ledger", led)
     whole = whole_queries.fund_flow_summary_whole(spark, "").first()
     assert (whole["total_paths"], whole["avg_hop_latency_min"], whole["fastest_path_minutes"], whole["truncated"]) == (1, 15, 60, False)
+
+
+def test_users_of_an_identifier_are_not_gathered(spark):
+    got = catalog.all_queries()["identifiers_overlapping"](spark, SF)
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
