@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muletrace.llm import bpe, chat, chunks, decontaminate, exact, pii, quality, simhash, suffixes, toxicity
+from muletrace.llm import bpe, chat, chunks, decontaminate, exact, manifest, mtree, negatives, pii, quality, simhash, suffixes, toxicity
 from muletrace.llm.base import held_out, table
 
 CHAT_PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -183,8 +184,140 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(bare) AS text_sha256 FROM g
 """
 
+
+def op11_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+VECTORS_SQL = """
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+"""
+
+OP11_SQL = f"""
+WITH e AS ({VECTORS_SQL}), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, its way to the root, and whether a row with lower-cased text is noticed."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in manifest.FIELDS}
+    lowered = fields | {"text": F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)}
+    leaf = manifest.leaf_hash(fields)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(changed, manifest.leaf_hash(lowered)).otherwise(leaf).alias("shown"))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    done = manifest.manifest(rows).withColumn("proof_sha256", manifest.sha(siblings))
+    return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    list_reduce(flatten([[CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))]),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS crc,
+    concat_said(doc_id, source, lang, n_chars) AS head, text
+  FROM documents
+), leaves AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN (4294967295 - crc) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':'
+      || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS shown
+  FROM bits
+), nodes AS (
+  SELECT 0 AS level, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS n, leaf AS digest, r
+  FROM leaves
+), low AS (
+  SELECT level, tree, k, n, digest FROM nodes
+  UNION ALL
+  SELECT DISTINCT level + 1, tree, k // 16, (n + 15) // 16,
+    sha256(string_agg(digest, '' ORDER BY k) OVER (PARTITION BY tree, k // 16 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  FROM low WHERE n > 1
+), high AS (
+  SELECT 0 AS level, tree - 1 AS k, count(*) OVER () AS n, digest FROM low WHERE n = 1
+  UNION ALL
+  SELECT DISTINCT level + 1, k // 16, (n + 15) // 16,
+    sha256(string_agg(digest, '' ORDER BY k) OVER (PARTITION BY k // 16 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  FROM high WHERE n > 1
+), every_node AS (
+  SELECT level, tree, k, n, digest FROM low WHERE n > 1
+  UNION ALL SELECT (SELECT max(level) FROM low) + 1 + level, 0, k, n, digest FROM high
+), way AS (
+  SELECT r, 0 AS level, tree, tree AS home, k, coalesce(shown, leaf) AS now, '' AS siblings, false AS done FROM nodes JOIN leaves USING (r)
+  UNION ALL
+  SELECT w.r, CASE WHEN f.n IS NULL THEN (SELECT max(level) FROM low) + 1 ELSE w.level + 1 END, CASE WHEN f.n IS NULL THEN 0 ELSE w.tree END, w.home,
+    CASE WHEN f.n IS NULL THEN w.home - 1 ELSE w.k // 16 END,
+    CASE WHEN f.n IS NULL THEN w.now ELSE sha256(coalesce(f.lefts, '') || w.now || coalesce(f.rights, '')) END,
+    w.siblings || coalesce(f.lefts, '') || coalesce(f.rights, ''), f.n IS NULL AND w.tree = 0
+  FROM way w LEFT JOIN (
+    SELECT a.level, a.tree, a.k, a.n, string_agg(b.digest, '' ORDER BY b.k) FILTER (b.k < a.k) AS lefts, string_agg(b.digest, '' ORDER BY b.k) FILTER (b.k > a.k) AS rights
+    FROM every_node a JOIN every_node b ON a.level = b.level AND a.tree = b.tree AND a.k // 16 = b.k // 16 WHERE a.n > 1 GROUP BY ALL
+  ) f ON w.level = f.level AND w.tree = f.tree AND w.k = f.k
+  WHERE NOT w.done
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(w.siblings) AS proof_sha256,
+  w.now AS folded_root, w.now = (SELECT digest FROM high WHERE n = 1) AS verified
+FROM way w JOIN leaves l USING (r) JOIN low s ON s.tree = w.home AND s.n = 1 WHERE w.done
+"""
+_SAID = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in manifest.FIELDS[:4]]
+OP12_SQL = OP12_SQL.replace("concat_said(doc_id, source, lang, n_chars)", " || ".join(_SAID))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every fiftieth vector, with a seventh of the labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = f"""
+WITH e AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({VECTORS_SQL}) WHERE label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN (SELECT * FROM s WHERE NOT alike) USING (anchor_id)
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_pii, op3_toxicity, op4_quality, op5_simhash_dedup, op6_decontamination, op7_chunk_dedup, op8_suffix_dedup, op9_byte_bpe, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_pii,
+        op3_toxicity,
+        op4_quality,
+        op5_simhash_dedup,
+        op6_decontamination,
+        op7_chunk_dedup,
+        op8_suffix_dedup,
+        op9_byte_bpe,
+        op10_exact_dedup,
+        op11_mtree_search,
+        op12_merkle_manifest,
+        op13_hard_negatives,
+    )
 }
 
-CHECK_SQL = {"op1_chat_format": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+CHECK_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op10_exact_dedup": OP10_SQL,
+    "op11_mtree_search": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
+}
