@@ -1,4 +1,4 @@
-"""Candidate graph, connected components and communities.
+"""Candidate graph, connected components and rings.
 
 Shared identifiers stay in star form, (identifier, account), at every step. A star of n accounts stands for n(n-1)/2 unit
 edges, which are never written out.
@@ -7,9 +7,9 @@ edges, which are never written out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from muletrace.operators.communities import communities
 from muletrace.operators.quantiles import grouped_median
 from muletrace.schemas import is_pseudo
 from muletrace.session import cut_counting, cut_lineage, small_side
@@ -124,71 +124,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return label.select("node", "component")
 
 
-UNIT = 1_000_000  # of edge weight, so that gains are compared as whole numbers
-
-
-def communities(money: DataFrame, stars: DataFrame) -> DataFrame:
-    """(account, community), the community named by its smallest account.
-
-    Modularity grows by merging neighbouring communities, all over the graph at once, until no merge gains: every
-    community picks the neighbour with the largest gain, and those that pick each other merge. Gains are whole numbers,
-    2 * total * weight between - degree * degree, and ties go to the smaller names, so the result is one and the same at
-    every size and on every engine. The pair with the largest gain of all always picks each other, so every round merges
-    some until none gains.
-
-    Stars stay stars: neighbours inside a star are those next to each other by (members in the star, degree, name), which
-    are as many pairs as the star has members; a pair's gain counts all edges and all stars between the two.
-    """
-    units = F.round(F.col("weight") * UNIT).cast("bigint")
-    money = cut_lineage(money.select("a", "b", units.alias("w")))
-    stars = cut_lineage(stars.select("star", "account", "size"))
-    ends = money.select(F.explode(F.array("a", "b")).alias("account"), "w")
-    ends = ends.unionByName(stars.select("account", ((F.col("size") - 1) * UNIT).alias("w")))
-    own = ends.groupBy("account").agg(F.sum("w").cast("decimal(38,0)").alias("degree"))
-    label, n = cut_counting(own.select("account", F.col("account").alias("community"), "degree"), F.lit(True))
-    if not n:
-        return label.select("account", "community")
-    double_total = label.agg(F.sum("degree")).first()[0]  # every edge counts at both ends
-    merged = 1
-    while merged:
-        pick = _picks(money, stars, label, F.lit(double_total))
-        other = pick.select(F.col("d").alias("c"), F.col("c").alias("d"))
-        into = pick.where(F.col("d") < F.col("c")).join(other, ["c", "d"]).select(F.col("c").alias("community"), F.col("d").alias("into"))
-        now = label.join(into, "community", "left").select(
-            "account", F.coalesce("into", "community").alias("community"), "degree", F.col("into").isNotNull().alias("moved")
-        )
-        now, merged = cut_counting(now, F.col("moved"))
-        label = now.drop("moved")
-    return label.select("account", "community")
-
-
-def _picks(money: DataFrame, stars: DataFrame, label: DataFrame, double_total) -> DataFrame:
-    """(c, d): the neighbour d that community c gains most by merging with; only where there is a gain."""
-    of = label.select("account", "community")
-    end = lambda col, name: of.select(F.col("account").alias(col), F.col("community").alias(name))
-    pair = [F.least("x", "y").alias("c"), F.greatest("x", "y").alias("d")]
-    paid = money.join(end("a", "x"), "a").join(end("b", "y"), "b").where(F.col("x") != F.col("y")).groupBy(*pair).agg(F.sum("w").alias("w"))
-    degree = label.groupBy("community").agg(F.sum("degree").alias("degree"))
-    inside = stars.join(of, "account").groupBy("star", "community").agg(F.count(F.lit(1)).alias("n"))
-    row = W.partitionBy("star").orderBy(F.desc("n"), "degree", "community")
-    beside = inside.join(degree, "community").select("star", F.col("community").alias("x"), F.lead("community").over(row).alias("y"))
-    near = paid.select("c", "d").unionByName(beside.where(F.col("y").isNotNull()).select(*pair)).distinct()
-    shared = (
-        near.join(inside.select(F.col("community").alias("c"), "star", F.col("n").alias("nc")), "c")
-        .join(inside.select(F.col("community").alias("d"), "star", F.col("n").alias("nd")), ["d", "star"])
-        .groupBy("c", "d")
-        .agg((F.sum(F.col("nc") * F.col("nd")) * UNIT).alias("w"))
-    )
-    weight = paid.unionByName(shared).groupBy("c", "d").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
-    k = lambda c, name: degree.select(F.col("community").alias(c), F.col("degree").alias(name))
-    gain = double_total * F.col("w") - F.col("kc") * F.col("kd")
-    gains = weight.join(k("c", "kc"), "c").join(k("d", "kd"), "d").select("c", "d", gain.alias("gain")).where(F.col("gain") > 0)
-    rank = F.struct((-F.col("gain")).alias("o"), F.col("c").alias("first"), F.col("d").alias("second"))
-    both = gains.select(F.explode(F.array("c", "d")).alias("me"), rank.alias("rank"))
-    best = both.groupBy("me").agg(F.min("rank").alias("m"))
-    return best.select(F.col("me").alias("c"), F.when(F.col("m.first") == F.col("me"), F.col("m.second")).otherwise(F.col("m.first")).alias("d"))
-
-
 def discover_rings(
     accounts: DataFrame,
     ledger: DataFrame,

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from muletrace.operators import evaluate, graph, matching, rings
+from muletrace.operators.communities import communities
 from muletrace.plans import sqlviews
 from muletrace.plans.registry import query
 from muletrace.plans.tables import Tables
@@ -126,39 +127,58 @@ def money_components(spark, d):
     return c.withColumnRenamed("node", "account")
 
 
-ROUNDS = 24  # rounds written out in SQL; further ones change nothing once no merge gains
-
-
-def _communities_sql(rounds: int = ROUNDS) -> str:
-    """lab<rounds>(account, community): merges of communities that pick each other, on whole-number gains."""
-    ctes = [
-        "me AS MATERIALIZED (SELECT a, b, CAST(round(weight*1000000) AS BIGINT) w FROM medges)",
-        "st AS MATERIALIZED (SELECT star, account, size FROM stars)",
-        "deg AS MATERIALIZED (SELECT account, CAST(sum(w) AS HUGEINT) deg FROM (SELECT a account, w FROM me UNION ALL SELECT b, w FROM me UNION ALL SELECT account, (size-1)*1000000 FROM st) GROUP BY 1)",
-        "lab0 AS (SELECT account, account community FROM deg)",
-    ]
-    for k in range(rounds):
-        ctes += [
-            f"k{k} AS MATERIALIZED (SELECT community c, sum(deg) deg FROM lab{k} JOIN deg USING(account) GROUP BY 1)",
-            f"paid{k} AS MATERIALIZED (SELECT least(x.community,y.community) c, greatest(x.community,y.community) d, sum(w) w FROM me JOIN lab{k} x ON x.account=a JOIN lab{k} y ON y.account=b WHERE x.community<>y.community GROUP BY 1,2)",
-            f"ins{k} AS MATERIALIZED (SELECT star, community c, count(*) n FROM st JOIN lab{k} USING(account) GROUP BY 1,2)",
-            f"near{k} AS (SELECT c, d FROM paid{k} UNION SELECT least(c,nx), greatest(c,nx) FROM (SELECT c, lead(c) OVER (PARTITION BY star ORDER BY n DESC, deg, c) nx FROM ins{k} JOIN k{k} USING(c)) WHERE nx IS NOT NULL)",
-            f"wt{k} AS (SELECT c, d, sum(w) w FROM (SELECT * FROM paid{k} UNION ALL SELECT q.c, q.d, sum(x.n*y.n)*1000000 FROM near{k} q JOIN ins{k} x ON x.c=q.c JOIN ins{k} y ON y.c=q.d AND y.star=x.star GROUP BY 1,2) GROUP BY 1,2)",
-            f"gain{k} AS MATERIALIZED (SELECT q.c, q.d, (SELECT sum(deg) FROM deg)*q.w-x.deg*y.deg gain FROM wt{k} q JOIN k{k} x ON x.c=q.c JOIN k{k} y ON y.c=q.d WHERE (SELECT sum(deg) FROM deg)*q.w-x.deg*y.deg>0)",
-            f"pick{k} AS MATERIALIZED (SELECT me, c, d FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY gain DESC, c, d) r FROM (SELECT c me, * FROM gain{k} UNION ALL SELECT d me, * FROM gain{k})) WHERE r=1)",
-            f"mrg{k} AS (SELECT d old, c new FROM pick{k} GROUP BY c, d HAVING count(*)=2)",
-            f"lab{k + 1} AS MATERIALIZED (SELECT account, coalesce(new, community) community FROM lab{k} LEFT JOIN mrg{k} ON old=community)",
-        ]
-    return ", ".join(ctes)
-
-
-@query("ring_communities", f"WITH {_communities_sql()} SELECT account, community FROM lab{ROUNDS}")
+# Merges and moves until nothing changes; ``lab`` has the labels of every round.
+_COMMUNITIES = """
+me AS MATERIALIZED (SELECT a, b, CAST(round(weight*1000000) AS BIGINT) w FROM medges WHERE CAST(round(weight*1000000) AS BIGINT)>0),
+st AS MATERIALIZED (SELECT star, account, size FROM stars),
+deg AS MATERIALIZED (SELECT account, CAST(sum(w) AS HUGEINT) deg FROM (SELECT a account, w FROM me UNION ALL SELECT b, w FROM me UNION ALL SELECT account, (size-1)*1000000 FROM st) GROUP BY 1),
+tot AS MATERIALIZED (SELECT CAST(sum(deg) AS HUGEINT) t FROM deg),
+lab(round, account, c) AS (
+  SELECT 0, account, account FROM deg
+  UNION ALL
+  SELECT round+1, account, c FROM (
+    WITH now AS (SELECT l.round, l.account, l.c, deg.deg FROM lab l JOIN deg USING(account)),
+    k AS (SELECT c, CAST(sum(deg) AS HUGEINT) k, any_value(round) round FROM now GROUP BY 1),
+    paid AS (SELECT least(x.c,y.c) c, greatest(x.c,y.c) d, sum(w) w FROM me JOIN now x ON x.account=a JOIN now y ON y.account=b WHERE x.c<>y.c GROUP BY 1,2),
+    onn AS (SELECT star, c, count(*) n FROM st JOIN now USING(account) GROUP BY 1,2),
+    tops AS (SELECT star, c top FROM onn QUALIFY row_number() OVER (PARTITION BY star ORDER BY n DESC, c DESC)=1),
+    near AS (SELECT c, d FROM paid UNION SELECT least(c,top), greatest(c,top) FROM onn JOIN tops USING(star) WHERE c<>top),
+    wt AS (SELECT c, d, CAST(sum(w) AS HUGEINT) w FROM (SELECT * FROM paid UNION ALL SELECT q.c, q.d, x.n*y.n*1000000 FROM near q JOIN onn x ON x.c=q.c JOIN onn y ON y.c=q.d AND y.star=x.star) GROUP BY 1,2),
+    gains AS (SELECT wt.c, wt.d, x.k kc, y.k kd, (SELECT t FROM tot)*w-x.k*y.k gain, md5(concat(wt.c,'|',wt.d)) tie, x.round FROM wt JOIN k x ON x.c=wt.c JOIN k y ON y.c=wt.d WHERE (SELECT t FROM tot)*w-x.k*y.k>0),
+    pick AS (SELECT * FROM (SELECT c, d "to", kc, kd, gain, tie, round FROM gains UNION ALL SELECT d, c, kd, kc, gain, tie, round FROM gains) QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, tie DESC)=1),
+    asked AS (SELECT p.*, q."to"=p.c mutual FROM pick p JOIN pick q ON q.c=p."to"),
+    wanted AS (SELECT DISTINCT "to" c FROM asked WHERE NOT mutual),
+    roles AS (SELECT *, CASE WHEN mutual THEN kc<kd OR (kc=kd AND c<"to") ELSE c NOT IN (SELECT c FROM wanted) OR md5(concat(c,'|',round))[1]<'8' END joins FROM asked),
+    ready AS (SELECT c, "to", gain, kc, kd, length(CAST(gain AS VARCHAR))*100+CAST(CAST(gain AS VARCHAR)[1:2] AS INT) cl, md5(concat(c,'|',"to")) dg FROM roles WHERE joins AND "to" IN (SELECT c FROM roles WHERE NOT joins)),
+    beside AS (SELECT c, sum(n*coalesce(ahead,0))*1000000 shared FROM (SELECT r.c, o.n, sum(o.n) OVER (PARTITION BY r."to", o.star ORDER BY cl DESC, dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ahead FROM ready r JOIN onn o ON o.c=r.c) GROUP BY 1),
+    eager AS (SELECT r.*, gain+(SELECT t FROM tot)*CAST(coalesce(shared,0) AS HUGEINT)-kc*CAST(coalesce(sum(kc) OVER (PARTITION BY "to" ORDER BY cl DESC, dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS HUGEINT) rest FROM ready r LEFT JOIN beside USING(c)),
+    taken AS MATERIALIZED (SELECT c, "to" FROM eager QUALIFY sum(CASE WHEN rest<=0 THEN 1 ELSE 0 END) OVER (PARTITION BY "to" ORDER BY cl DESC, dg ROWS UNBOUNDED PRECEDING)=0),
+    apaid AS (SELECT e.account, o.c "to", sum(w) w FROM (SELECT a account, b other, w FROM me UNION ALL SELECT b, a, w FROM me) e JOIN now o ON o.account=other GROUP BY 1,2),
+    anear AS (SELECT account, "to" FROM apaid UNION SELECT account, top FROM st JOIN tops USING(star) UNION SELECT account, c FROM now),
+    awt AS (SELECT account, "to", CAST(sum(w) AS HUGEINT) w FROM (SELECT * FROM apaid UNION ALL SELECT q.account, o.c, (o.n-CASE WHEN z.c=o.c THEN 1 ELSE 0 END)*1000000 FROM anear q JOIN st ON st.account=q.account JOIN onn o ON o.star=st.star AND o.c=q."to" JOIN now z ON z.account=q.account) GROUP BY 1,2),
+    asks AS (SELECT q.account, q."to", now.c mine, now.deg ka, (SELECT t FROM tot)*(q.w-coalesce(s.w,0))-now.deg*(x.k-y.k+now.deg) gain FROM awt q JOIN now ON now.account=q.account LEFT JOIN awt s ON s.account=q.account AND s."to"=now.c
+      JOIN k x ON x.c=q."to" JOIN k y ON y.c=now.c WHERE q."to"<>now.c),
+    best AS (SELECT *, md5(concat(account,'|',"to")) dg FROM asks WHERE gain>0 QUALIFY row_number() OVER (PARTITION BY account ORDER BY gain DESC, md5(concat(account,'|',"to")) DESC)=1),
+    pair AS (SELECT mine, "to", max(gain) gain, md5(concat(mine,'|',"to")) tie FROM best GROUP BY 1,2),
+    ppick AS (SELECT * FROM (SELECT mine c, gain, tie FROM pair UNION ALL SELECT "to", gain, tie FROM pair) QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, tie DESC)=1),
+    agreed AS (SELECT mine, "to" FROM pair JOIN ppick x ON x.c=mine AND x.tie=pair.tie JOIN ppick y ON y.c="to" AND y.tie=pair.tie),
+    swap AS (SELECT b.*, length(CAST(gain AS VARCHAR))*100+CAST(CAST(gain AS VARCHAR)[1:2] AS INT) cl FROM best b JOIN agreed USING(mine, "to")),
+    srest AS (SELECT *, gain-2*ka*CAST(coalesce(sum(ka) OVER (PARTITION BY mine, "to" ORDER BY cl DESC, dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS HUGEINT) rest FROM swap),
+    moved AS MATERIALIZED (SELECT account, "to" FROM srest QUALIFY sum(CASE WHEN rest<=0 THEN 1 ELSE 0 END) OVER (PARTITION BY mine, "to" ORDER BY cl DESC, dg ROWS UNBOUNDED PRECEDING)=0)
+    SELECT now.round, now.account, CASE WHEN EXISTS (SELECT 1 FROM taken) THEN coalesce(taken."to", now.c) ELSE coalesce(moved."to", now.c) END c
+    FROM now LEFT JOIN taken ON taken.c=now.c LEFT JOIN moved ON moved.account=now.account WHERE EXISTS (SELECT 1 FROM taken) OR EXISTS (SELECT 1 FROM moved)
+  )
+),
+labels AS MATERIALIZED (SELECT account, min(account) OVER (PARTITION BY c) community FROM lab WHERE round=(SELECT max(round) FROM lab))"""
+
+
+@query("ring_communities", f"WITH RECURSIVE {_COMMUNITIES} SELECT account, community FROM labels")
 def ring_communities(spark, d):
     """Communities of the whole candidate graph."""
     t = Tables(spark, d)
     _s, seed, inside = _graph(t)
     stars = graph.identity_stars(t.links, graph.ring_like_identifiers(t.links, seed), inside)
-    return graph.communities(graph.money_edges(t.ledger, inside), stars)
+    return communities(graph.money_edges(t.ledger, inside), stars)
 
 
 # A stored score table: known members of rings between 0.55 and 0.95, others up to 0.45, by account number. The views of
@@ -187,8 +207,8 @@ def _stored_scores(t: Tables):
 
 
 def _rings_sql(floor: float) -> str:
-    return f"""{_communities_sql()},
-      kept AS (SELECT l.account, l.community, k.v2_bp FROM lab{ROUNDS} l JOIN scored k USING(account) WHERE k.v2_bp>=3000 OR l.account IN (SELECT account FROM st)),
+    return f"""{_COMMUNITIES},
+      kept AS (SELECT l.account, l.community, k.v2_bp FROM labels l JOIN scored k USING(account) WHERE k.v2_bp>=3000 OR l.account IN (SELECT account FROM st)),
       good AS (SELECT community, min(account) f, avg(v2_bp) m FROM kept GROUP BY 1 HAVING count(*)>=3 AND avg(v2_bp)>={floor}*10000),
       found AS (SELECT concat('RING-', f) ring_id, account, round(m/10000e0,4) risk FROM kept JOIN good USING(community))"""
 
@@ -197,13 +217,13 @@ def _found(t: Tables):
     return graph.discover_rings(t.accounts, t.ledger, t.links, _stored_scores(t))
 
 
-@query("rings_discovered", _over_stored(f"WITH {_rings_sql(0.6)} SELECT ring_id, account, risk FROM found"))
+@query("rings_discovered", _over_stored(f"WITH RECURSIVE {_rings_sql(0.6)} SELECT ring_id, account, risk FROM found"))
 def rings_discovered(spark, d):
     """Rings among accounts with stored scores."""
     return _found(Tables(spark, d))
 
 
-@query("rings_by_rule", f"WITH {_rings_sql(0.5)} SELECT ring_id, account, risk FROM found")
+@query("rings_by_rule", f"WITH RECURSIVE {_rings_sql(0.5)} SELECT ring_id, account, risk FROM found")
 def rings_by_rule(spark, d):
     """Rings by the rule score, which rarely gives a whole ring 0.6; so a mean of 0.5 is asked for."""
     t = Tables(spark, d)
@@ -213,7 +233,7 @@ def rings_by_rule(spark, d):
 @query(
     "rings_discovered_summary",
     _over_stored(
-        f"""WITH {_rings_sql(0.6)}, flow AS (SELECT x.ring_id, sum(amount_paise) v, count(*) n FROM ledger JOIN found x ON x.account=src JOIN found y ON y.account=dst AND y.ring_id=x.ring_id GROUP BY 1)
+        f"""WITH RECURSIVE {_rings_sql(0.6)}, flow AS (SELECT x.ring_id, sum(amount_paise) v, count(*) n FROM ledger JOIN found x ON x.account=src JOIN found y ON y.account=dst AND y.ring_id=x.ring_id GROUP BY 1)
         SELECT ring_id, count(*) members, CAST(coalesce(any_value(v),0) AS BIGINT) volume_paise, coalesce(any_value(n),0) transfers, round(sum(v2_bp)/CAST(count(*) AS DOUBLE)/10000e0,4) risk
         FROM found JOIN scored USING(account) LEFT JOIN flow USING(ring_id) GROUP BY 1"""
     ),

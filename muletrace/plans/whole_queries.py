@@ -151,7 +151,7 @@ _OVERLAP = graph_queries._OVERLAP.replace("foundv", "fnd")
 
 
 def _best_sql(score: str) -> str:
-    return f"""WITH {_RULE_RINGS} SELECT left_id, right_id, round(score,6) score FROM (SELECT *, {score} score,
+    return f"""WITH RECURSIVE {_RULE_RINGS} SELECT left_id, right_id, round(score,6) score FROM (SELECT *, {score} score,
       row_number() OVER (PARTITION BY left_id ORDER BY {score} DESC, right_id) k FROM ({_OVERLAP})) WHERE k=1 AND score>=0.5e0"""
 
 
@@ -172,7 +172,7 @@ def ring_continuity_whole(spark, d):
 def _live_quality_sql() -> str:
     from muletrace.plans.registry import CHECK_SQL
 
-    return CHECK_SQL["live_quality"].replace("foundv", "fnd").replace("WITH ", f"WITH {_RULE_RINGS}, ", 1)
+    return CHECK_SQL["live_quality"].replace("foundv", "fnd").replace("WITH ", f"WITH RECURSIVE {_RULE_RINGS}, ", 1)
 
 
 @query("live_quality_whole", _live_quality_sql())

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from muletrace.operators import graph
+from muletrace.operators import communities as C
 
 
 def _modularity(edges, part):
@@ -29,10 +29,10 @@ def _partitions(names):
             yield {names[0]: g, **rest}
 
 
-def _found(spark, edges, stars=()):
+def _found(spark, edges, stars=(), rounds=None):
     money = spark.createDataFrame(edges, "a string, b string, weight double")
     rows = [(s, a, len(users)) for s, users in stars for a in users]
-    return {x.account: x.community for x in graph.communities(money, spark.createDataFrame(rows, "star string, account string, size bigint")).collect()}
+    return {x.account: x.community for x in C.communities(money, spark.createDataFrame(rows, "star string, account string, size bigint"), rounds).collect()}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -61,5 +61,49 @@ def test_a_star_counts_as_all_its_pairs(spark):
     assert _found(spark, edges, [("D", users)]) == want == _found(spark, edges + pairs)
 
 
+def test_a_hub_takes_in_all_its_leaves_at_once(spark):
+    rounds = []
+    edges = [("hub", f"l{k:04d}", 1.0) for k in range(1000)] + [("x", "y", 2.0), ("y", "z", 2.0), ("x", "z", 1.0)]
+    got = _found(spark, edges, rounds=rounds)
+    assert len(rounds) <= 12
+    assert sorted(map(len, _groups(got))) == [3, 1001]
+
+
+def test_a_star_alone_becomes_one(spark):
+    rounds = []
+    got = _found(spark, [("x", "y", 2.0)], [("D", [f"s{k:03d}" for k in range(200)])], rounds)
+    assert len(rounds) <= 4 and sorted(map(len, _groups(got))) == [2, 200]
+
+
+def _groups(got):
+    out = {}
+    for a, c in got.items():
+        out.setdefault(c, set()).add(a)
+    return out.values()
+
+
+def test_rounds_of_a_path_and_moves(spark):
+    """Rounds grow with the logarithm of a path's length, and no single account gains by changing over at the end."""
+    rounds = []
+    edges = [(f"p{k:03d}", f"p{k + 1:03d}", 1.0 + k % 3) for k in range(60)]
+    got = _found(spark, edges, rounds=rounds)
+    mine = _modularity(edges, got)
+    assert sum(kind == "merge" for kind, _ in rounds) <= 16
+    for a, b, _ in edges:
+        for x, y in ((a, b), (b, a)):
+            assert _modularity(edges, {**got, x: got[y]}) <= mine + 1e-12
+
+
+def test_sums_before_are_the_same_in_buckets(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.randint(1, 3) * 100, f"{r.getrandbits(64):016x}", r.randint(1, 9)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "hub string, class int, digest string, k long")
+    key = lambda x: tuple(x)
+    one = sorted(map(key, C._before(df, ["hub"], df.k, "ahead", 300).collect()))
+    monkeypatch.setattr(C, "ONE_TASK", 10)
+    cut = C._before(df, ["hub"], df.k, "ahead", 300)
+    assert sorted(map(key, cut.select("hub", "class", "digest", "k", "ahead").collect())) == one
+
+
 def test_no_edges(spark):
     assert _found(spark, []) == {}
