@@ -110,6 +110,8 @@ def _windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # -- the network
 
 TAGS = 1 + len(KINDS)
+PART = 4096  # windows looked at in one go
+SURE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)  # a window knows least at its edges
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -229,7 +231,7 @@ class Tagger:
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         out = np.zeros(len(scores), np.uint8)
         order = np.argsort(-size, kind="stable")
-        a = self.p["A"]
+        a = self.p["A"].astype(np.float64)
         lo = 0
         while lo < len(order):
             hi = lo + 1
@@ -243,6 +245,7 @@ class Tagger:
                 way = best[:on, :, None] + a
                 back[k, :on] = way.argmax(axis=1)
                 best[:on] = way.max(axis=1) + scores[at[:on] + k]
+                best[:on] -= best[:on].max(axis=1, keepdims=True)  # else sums grow with the place in the text
             tag = best.argmax(axis=1)
             for k in range(n[0] - 1, -1, -1):
                 on = int(np.searchsorted(-n, -k))
@@ -252,6 +255,28 @@ class Tagger:
             lo = hi
         return out
 
+    def _tag_long(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[str, int, int]]:
+        """A covered stretch of more windows than ``PART``: in parts, that hand on the sums of places later windows still see
+        and the state of the decoding. What is decided does not depend on where the parts end."""
+        chain, tags = _Chain(self.p["A"]), []
+        total, weight = np.zeros((0, TAGS)), np.zeros(0)
+        for a in range(0, len(starts), PART):
+            s = starts[a : a + PART]
+            begin, end = int(s[0]), int(min(s[-1] + WINDOW, len(ids)))
+            grown = end - begin + WINDOW - len(weight)
+            total, weight = np.concatenate([total, np.zeros((grown, TAGS))]), np.concatenate([weight, np.zeros(grown)])
+            scores = self.emissions(_windows(ids, s))
+            for j in range(WINDOW):
+                total[s - begin + j] += scores[j] * SURE[j]
+                weight[s - begin + j] += SURE[j]
+            last = a + PART >= len(starts)
+            done = end - begin if last else int(starts[a + PART]) - begin
+            tags.append(chain.feed(total[:done] / weight[:done, None], last))
+            total, weight = total[done : end - begin], weight[done : end - begin]
+        whole, first = np.concatenate(tags).astype(np.int16), int(starts[0])
+        edge = np.flatnonzero(np.diff(whole, prepend=0, append=0)).tolist()
+        return [(KINDS[whole[a] - 1], first + a, first + z) for a, z in zip(edge, edge[1:]) if whole[a]]
+
     def spans(self, many: list[str]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of tagged runs of every text."""
         found: list[list[tuple[str, int, int]]] = [[] for _ in many]
@@ -263,12 +288,14 @@ class Tagger:
             if _HINT.search(t):
                 ids = char_ids(t)
                 starts = window_starts(ids)
-                # a very long text goes in parts, whose windows overlap like others
-                for part in range(0, len(starts), 4096):
-                    some = starts[part : part + 4096]
-                    batch.append((k, ids, some))
-                    waiting += len(some)
-                    if waiting >= 4096:
+                cut = [0, *(np.flatnonzero(np.diff(starts) > STRIDE) + 1).tolist(), len(starts)]
+                for a, z in zip(cut, cut[1:]):
+                    if z - a > PART:
+                        found[k] += self._tag_long(ids, starts[a:z])
+                        continue
+                    batch.append((k, ids, starts[a:z]))
+                    waiting += z - a
+                    if waiting >= PART:
                         self._tag(batch, found, many)
                         batch, waiting = [], 0
         self._tag(batch, found, many)
@@ -278,7 +305,6 @@ class Tagger:
         if not batch:
             return
         scores = self.emissions(np.concatenate([_windows(ids, s) for _, ids, s in batch]))
-        sure = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
         offset, stretches, places = 0, [], []
         for k, ids, s in batch:
             new = np.flatnonzero(np.diff(s) > STRIDE) + 1
@@ -292,12 +318,12 @@ class Tagger:
         place = np.concatenate(places)
         limit = np.repeat(np.cumsum([x[2] for x in stretches]), [1] * len(stretches))
         own = np.searchsorted(limit, place, "right")
-        total, weight = np.zeros((offset + WINDOW, TAGS), np.float32), np.zeros(offset + WINDOW, np.float32)
+        total, weight = np.zeros((offset + WINDOW, TAGS)), np.zeros(offset + WINDOW)
         for j in range(WINDOW):
             ok = place + j < limit[own]
             at = place[ok] + j
-            np.add.at(total, at, scores[j][ok] * sure[j])
-            np.add.at(weight, at, sure[j])
+            np.add.at(total, at, scores[j][ok] * SURE[j])
+            np.add.at(weight, at, SURE[j])
         size = np.array([x[2] for x in stretches])
         tags = self.viterbi(total[:offset] / np.maximum(weight[:offset, None], 1e-6), size)
         turn = np.flatnonzero(np.diff(tags.astype(np.int16), prepend=0, append=0))
@@ -311,6 +337,34 @@ class Tagger:
                 found[k].append((KINDS[tags[a] - 1], a + shift, z + shift))
 
 
+class _Chain:
+    """Viterbi over scores that come in parts: tags are given out once every way that can still win agrees on them."""
+
+    def __init__(self, a: np.ndarray):
+        self.a, self.best, self.back = a.astype(np.float64), None, []
+
+    def feed(self, scores: np.ndarray, last: bool) -> np.ndarray:
+        for row in scores:
+            if self.best is None:
+                self.best = row
+                continue
+            way = self.best[:, None] + self.a
+            self.back.append(way.argmax(axis=0).astype(np.uint8))
+            self.best = way.max(axis=0) + row
+            self.best = self.best - self.best.max()
+        now, at, late = np.array([self.best.argmax()]) if last else np.arange(TAGS), len(self.back), []
+        while at and (now != now[0]).any():
+            at -= 1
+            now = self.back[at][now]
+        if last:
+            late = [int(now[0])]
+        for k in range(at - 1, -1, -1):
+            now = self.back[k][now]
+            late.append(int(now[0]))
+        self.back = self.back[at:]
+        return np.array(late[::-1], dtype=np.uint8)
+
+
 _LEAST = {"email": re.compile(r"\S@\S+\.\S"), "ip": re.compile(r"(?:[0-9]+\D{1,3}){3}[0-9]"), "card": re.compile(r"(?:[0-9]\D?){12}"), "phone": re.compile(r"(?:[0-9]\D{0,2}){7}")}
 
 
