@@ -45,10 +45,12 @@ def hash_share(key: Column, wanted: int, total: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most ``per_class`` training texts of either label, chosen by a hash of the id; held-out documents never.
 
-    The bound keeps the driver's share the same at every size. Labels other than 0 and 1, and missing ids, are skipped.
+    The bound keeps the driver's share the same at every size. Labels other than 0 and 1, and missing ids, are skipped; of
+    contradicting labels of an id the smaller one counts.
     """
     lab = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
-    lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).dropDuplicates(["id"])
+    lab = lab.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    lab = lab.groupBy("id").agg(F.min("y").alias("y"))
     out: list[tuple[str, int]] = []
     sizes = {r.y: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     for y in (0, 1):

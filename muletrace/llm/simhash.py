@@ -14,6 +14,7 @@ and every pair of blocks goes to a task of its own, so nothing is dropped and no
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from muletrace.llm.base import cut_lineage, free_name, portions, texts
-from muletrace.operators.graph import connected_components
-from muletrace.session import small_side
+from muletrace.llm.components import components, looked_up
+from muletrace.session import cut_counting, small_side
 
 SHINGLE = 4
 RADIUS = 4
 HOT = 4096
 DEPTH = 3
+SHINGLES = 1 << 16
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,14 +44,15 @@ def simhash_of(text: str) -> int:
     if not w:
         return 0
     line = b" ".join(w)
-    end = list(accumulate(len(x) + 1 for x in w))
-    begin = [0, *end[:-1]]
+    end = array("q", accumulate(len(x) + 1 for x in w))
+    begin = array("q", [0]) + end[:-1]
     size = min(SHINGLE, len(w))
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(line[a : b - 1], 42) for a, b in zip(begin, end[size - 1 :])], "<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    n, ones = len(w) - size + 1, np.zeros(64, np.int64)
+    for k in range(0, n, SHINGLES):  # the bits of so many at a time
+        h = np.array([hashed(line[a : b - 1], 42) for a, b in zip(begin[k : min(n, k + SHINGLES)], end[k + size - 1 :])], "<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
 @F.arrow_udf(T.LongType())
@@ -287,8 +290,7 @@ def simhash_links(prints: DataFrame, hot: int = HOT, room: int = 128) -> DataFra
 def _members(prints: DataFrame) -> DataFrame:
     """(fp, component): smallest fingerprint reachable, for fingerprints with a link to another one."""
     links = cut_lineage(simhash_links(prints.select("fp").distinct()))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
+    return components(links).select(F.col("node").alias("fp"), "component")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,8 +304,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = cut_lineage(texts(docs, id_col, text_col).select("doc_id", simhash("text").alias("fp")))
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     ends = one.join(_members(one), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = ends.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = ends.join(named, "component").select("fp", "component_id")
+    named, n = cut_counting(ends.groupBy("component").agg(F.min("least").alias("component_id")), F.lit(True))
+    by_print = looked_up(ends, named, "component", n, "fp").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

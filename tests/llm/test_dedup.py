@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from muletrace.llm import chunks, queries, simhash, suffixes
+from muletrace.llm import base, chunks, components, queries, simhash, suffixes
 from tests.llm import fixtures
 
 
@@ -173,3 +173,30 @@ def test_queries_over_a_small_folder(spark, tmp_path):
     n = len(fixtures.rows())
     for name in ("op5_simhash_dedup", "op7_chunk_dedup", "op8_suffix_dedup", "op10_exact_dedup"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == n
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_components(spark, monkeypatch, most):
+    """A hub, a long path, a loop and a pair; with the label table broadcast and spread."""
+    monkeypatch.setattr(components, "BROADCAST_ROWS", most)
+    r = random.Random(8)
+    links = [(500, k) for k in range(501, 600)] + [(k, k + 1) for k in range(100)] + [(900, 900), (-5, 7000), (-5, 7000)]
+    r.shuffle(links)
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {k: 500 for k in range(500, 600)} | {k: 0 for k in range(101)} | {900: 900, -5: -5, 7000: -5}
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprint_of_many_shingles():
+    text = " ".join(f"w{k * k % 9973}" for k in range(200_000))
+    assert simhash.simhash_of(text) & (1 << 64) - 1 == _fingerprint(text)
+
+
+def test_contradicting_labels(spark):
+    """The smaller of two labels of one document counts, whatever the order."""
+    docs = fixtures.documents(spark, [(k, f"text {k}") for k in range(40)])
+    rows = [(k, y, 0) for k in range(40) for y in (1, 0)]
+    for labels in (rows, rows[::-1]):
+        got = base.labelled_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "quality", 100)
+        assert got and {y for _, y in got} == {0}
