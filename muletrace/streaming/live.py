@@ -21,6 +21,7 @@ from muletrace.operators.matching import best_overlap
 from muletrace.schemas import ledger_rules, split_valid
 from muletrace.session import cut_lineage
 from muletrace.sources.readers import path_exists
+from muletrace.streaming.state import Counts, Queue
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BURST_US = 600_000_000
@@ -42,21 +43,25 @@ def valid_transactions(txns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class AccountFeatures(StatefulProcessor):
-    """Per account: totals in one value; counterparties and hold counts in maps; open credits and the burst window in
-    lists that only hold what can still matter.
+    """Per account: totals in one value, counterparties in a map, open credits and the burst window as queues, hold times as
+    counts by number. Every one of them is read and written by what a batch brings, however long the account's history.
 
-    Open credits are read and written back per batch, maps only for the keys a batch touches, so a busy account costs by
-    its traffic and not by its history.
+    With ``idle_us``, an account that the watermark has left behind by its last transfer loses its state; what comes from it
+    later starts anew.
     """
 
+    def __init__(self, idle_us: int | None = None):
+        self.idle_us = idle_us
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        totals = ", ".join(f"{c} bigint" for c in self.COLUMNS)
-        self.totals = handle.getValueState("totals", totals)
+        self.handle = handle
+        self.totals = handle.getValueState("totals", ", ".join(f"{c} bigint" for c in (*self.COLUMNS, *self.HIDDEN)))
         self.partners = handle.getMapState("partners", "cp string", "sent int, got int")
-        self.holds = handle.getMapState("holds", "hold_us bigint", "n bigint")
-        self.credits = handle.getListState("credits", "us bigint")
-        self.window = handle.getListState("window", "us bigint")
+        self.holds = handle.getMapState("holds", Counts.KEY, Counts.VALUE)
+        self.credits = handle.getMapState("credits", Queue.KEY, Queue.VALUE)
+        self.window = handle.getMapState("window", Queue.KEY, Queue.VALUE)
 
+    HIDDEN = ("credit_head", "credit_tail", "window_head", "window_tail", "timer_ms")
     COLUMNS = (
         "amount_in",
         "amount_out",
@@ -75,15 +80,22 @@ class AccountFeatures(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "dir", "txn_id"])
-        t = dict(zip(self.COLUMNS, self.totals.get(), strict=True)) if self.totals.exists() else dict.fromkeys(self.COLUMNS, 0)
+        kept = (*self.COLUMNS, *self.HIDDEN)
+        t = dict(zip(kept, self.totals.get(), strict=True)) if self.totals.exists() else dict.fromkeys(kept, 0)
         seen_before = t["txn_in"] + t["txn_out"] > 0
         old = batch["us"] < t["last_us"] if seen_before else pd.Series(False, index=batch.index)
         t["late"] += int(old.sum())
         self._count(t, batch, seen_before)
+        holds = Counts(self.holds)
         if not old.all():
-            self._order(t, batch[~old])
-        self.totals.update(tuple(int(t[c]) for c in self.COLUMNS))
-        yield pd.DataFrame([{"account": key[0], **t, "median_hold_us": self._median(t["matched"])}])[
+            self._order(t, batch[~old], holds)
+        if self.idle_us is not None:
+            if t["timer_ms"]:
+                self.handle.deleteTimer(int(t["timer_ms"]))
+            t["timer_ms"] = t["last_us"] // 1000 + 1
+            self.handle.registerTimer(int(t["timer_ms"]))
+        self.totals.update(tuple(int(t[c]) for c in kept))
+        yield pd.DataFrame([{"account": key[0], **t, "median_hold_us": holds.median(t["matched"])}])[
             [c.split()[0] for c in FEATURE_ROW.split(", ")]
         ]
 
@@ -111,52 +123,45 @@ class AccountFeatures(StatefulProcessor):
                 got = 1
             self.partners.updateValue((cp,), (sent, got))
 
-    def _order(self, t: dict, batch: pd.DataFrame) -> None:
-        times = [r[0] for r in self.window.get()] + batch["us"].tolist()
-        lo = 0
-        for hi, us in enumerate(times):
-            while us - times[lo] > BURST_US:
-                lo += 1
-            t["burst_10min"] = max(t["burst_10min"], hi - lo + 1)
-        self.window.put([(int(us),) for us in times[lo:]])
-        waiting = [r[0] for r in self.credits.get()]
-        at = 0
+    def _order(self, t: dict, batch: pd.DataFrame, holds: Counts) -> None:
+        window = Queue(self.window, t["window_head"], t["window_tail"])
+        waiting = Queue(self.credits, t["credit_head"], t["credit_tail"])
         for us, d in batch[["us", "dir"]].itertuples(index=False):
+            window.push(int(us))
+            while us - window.first() > BURST_US:
+                window.pop()
+            t["burst_10min"] = max(t["burst_10min"], len(window))
             if d == "C":
-                waiting.append(int(us))
-            elif at < len(waiting):
-                hold = int(us) - waiting[at]
-                at += 1
-                n = self.holds.getValue((hold,))[0] if self.holds.containsKey((hold,)) else 0
-                self.holds.updateValue((hold,), (n + 1,))
+                waiting.push(int(us))
+            elif len(waiting):
+                holds.add(int(us) - waiting.pop())
                 t["matched"] += 1
-        if waiting[at:]:
-            self.credits.put([(us,) for us in waiting[at:]])
-        else:
-            self.credits.clear()
+        holds.flush()
+        t["window_head"], t["window_tail"], t["credit_head"], t["credit_tail"] = window.head, window.tail, waiting.head, waiting.tail
 
-    def _median(self, matched: int) -> float | None:
-        if not matched:
-            return None
-        lower, upper, upto, low = (matched + 1) // 2, matched // 2 + 1, 0, None
-        for (hold,), (n,) in sorted(self.holds.iterator()):
-            upto += n
-            if low is None and upto >= lower:
-                low = hold
-            if upto >= upper:
-                return (low + hold) / 2.0
-        return None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The account has been idle for long enough: all of its state goes."""
+        for state in (self.totals, self.partners, self.holds, self.credits, self.window):
+            state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def running_features(ledger_stream: DataFrame) -> DataFrame:
-    """Latest features of every account a micro-batch touches."""
+def running_features(ledger_stream: DataFrame, idle: str | None = None) -> DataFrame:
+    """Latest features of every account a micro-batch touches.
+
+    ``idle``, like "90 days": how long after its last transfer an account is kept, by the time of transfers; transfers later
+    than that behind the newest are then left out. By default accounts stay for good.
+    """
     e = account_events(ledger_stream).select("account", "counterparty", "dir", "amount_paise", "us", "channel", "txn_id")
-    return e.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=AccountFeatures(), outputStructType=FEATURE_ROW, outputMode="Update", timeMode="None"
-    )
+    timed = {"timeMode": "None"}
+    processor = AccountFeatures()
+    if idle is not None:
+        e = e.withColumn("at", F.timestamp_micros("us")).withWatermark("at", idle)
+        processor, timed = AccountFeatures(int(pd.Timedelta(idle).total_seconds() * 1_000_000)), {"timeMode": "EventTime"}
+    return e.groupBy("account").transformWithStateInPandas(statefulProcessor=processor, outputStructType=FEATURE_ROW, outputMode="Update", **timed)
 
 
 def burst_windows(ledger_stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -393,8 +398,10 @@ def run_live(
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     parse: Callable[[DataFrame], DataFrame] | None = None,
+    idle: str | None = None,
 ):
-    """Start the feature stream: accepted rows update state, features go to ``out`` by batch id.
+    """Start the feature stream: accepted rows update state, features go to ``out`` by batch id; ``idle`` as in
+    :func:`running_features`.
 
     Rejects are written by :func:`run_rejects` on the same source. Uses everything available, then stops, so a drain
     is a restart; the checkpoint gives exactly-once state and batch ids give idempotent output.
@@ -409,7 +416,7 @@ def run_live(
         if on_batch:
             on_batch(df, batch_id)
 
-    features = running_features(good)
+    features = running_features(good, idle)
     return features.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
