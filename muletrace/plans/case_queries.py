@@ -146,23 +146,6 @@ def flow_graph(spark, d):
     return freeze.flow_graph(t.ledger, t.members)
 
 
-@query(
-    "freeze_reachability",
-    """WITH RECURSIVE fz AS (SELECT ring_id, account FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%3=0),
-     e AS (SELECT * FROM channels c WHERE dst<>src AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.src) AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.dst) AND TRY_CAST(substr(src,4) AS INT)%2=CASE WHEN dst='CASH' THEN 0 ELSE TRY_CAST(substr(src,4) AS INT)%2 END),
-     r(ring_id, account) AS (SELECT ring_id, src FROM e WHERE dst='CASH' UNION SELECT e.ring_id, e.src FROM e JOIN r ON r.ring_id=e.ring_id AND r.account=e.dst)
-     SELECT ring_id, account FROM r""",
-)
-def freeze_reachability(spark, d):
-    """Every third account frozen, and only even accounts keep their channel to cash, so longer ways are needed."""
-    t = Tables(spark, d)
-    no = F.expr("cast(substring(src, 4) as int)")
-    edges = freeze.flow_graph(t.ledger, t.members).where(F.col("src") != F.col("dst"))
-    edges = edges.where((F.col("dst") != "CASH") | (no % 2 == 0))
-    frozen = t.members.where(F.expr("cast(substring(account, 4) as int) % 3 = 0"))
-    return freeze.reaches_cash(edges, frozen)
-
-
 def _freeze_sql(excluded: str = "FALSE") -> str:
     """Three rounds; each tries every holder that may be frozen on top of those of the rounds before."""
     rounds, chosen = [], "base AS (SELECT case_id, ring_id, CAST([] AS VARCHAR[]) cut, CAST(0 AS BIGINT) secured FROM cases)"
@@ -233,18 +216,6 @@ def fund_flow_paths(spark, d):
     )
 
 
-@query(
-    "fund_flow_summary",
-    """WITH RECURSIVE p AS (SELECT 1 hops, us s, us e, [src,dst] seen, dst "at" FROM ledger WHERE src LIKE 'VICTIM%'
-      UNION ALL SELECT hops+1, s, l.us, list_append(seen,l.dst), l.dst FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst) WHERE hops<3),
-      x AS (SELECT *, EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)) more FROM p), y AS (SELECT * FROM x WHERE hops=3 OR NOT more)
-      SELECT count(*) total_paths, round(sum((e-s)/6e7)/sum(hops-1),4) avg_hop_latency_min, round(min((e-s)/6e7) FILTER (hops>1),4) fastest_path_minutes, bool_or(more) truncated FROM y""",
-)
-def fund_flow_summary(spark, d):
-    """Paths cut at three hops, so some could go on."""
-    return flows.path_summary(flows.fund_flow_paths(Tables(spark, d).ledger, max_hops=3))
-
-
 @query(
     "two_hop_chains",
     """SELECT i.account, count(*) chained FROM acct_ev i JOIN acct_ev o ON o.account=i.account AND i.dir='C' AND o.dir='D' AND o.us>i.us AND o.us<=i.us+7200000000 GROUP BY 1""",

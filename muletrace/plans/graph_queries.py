@@ -244,41 +244,6 @@ def rings_discovered_summary(spark, d):
     return rings.ring_summary(t.ledger, found.select("ring_id", "account"), cut_lineage(_stored_scores(t)))
 
 
-sqlviews.define(
-    "foundv",
-    "SELECT concat('F', lpad(CAST((TRY_CAST(substr(account,4) AS INT)+TRY_CAST(substr(account,4) AS INT)//37)//8 AS VARCHAR),6,'0')) right_id, account FROM accounts",
-)
-
-
-def _shifted_sets(t: Tables):
-    """Other member sets over the same accounts, for matching: blocks of eight that drift against the planted tens."""
-    no = F.expr("(cast(substring(account, 4) as int) + cast(substring(account, 4) as int) div 37) div 8")
-    return t.accounts.select(F.concat(F.lit("F"), F.lpad(no.cast("string"), 6, "0")).alias("right_id"), "account")
-
-
-_OVERLAP = """SELECT left_id, right_id, count(*) b, any_value(ln) ln, any_value(rn) rn FROM (SELECT ring_id left_id, account, count(*) OVER (PARTITION BY ring_id) ln FROM truth) JOIN (SELECT *, count(*) OVER (PARTITION BY right_id) rn FROM foundv) USING(account) GROUP BY 1,2"""
-
-
-@query(
-    "ring_match",
-    f"""SELECT left_id, right_id, round(score,6) score FROM (SELECT *, b/CAST(ln+rn-b AS DOUBLE) score, row_number() OVER (PARTITION BY left_id ORDER BY b/CAST(ln+rn-b AS DOUBLE) DESC, right_id) k FROM ({_OVERLAP})) WHERE k=1 AND score>=0.5e0""",
-)
-def ring_match(spark, d):
-    t = Tables(spark, d)
-    m = matching.best_jaccard(t.truth.select(F.col("ring_id").alias("left_id"), "account"), _shifted_sets(t))
-    return m.withColumn("score", F.round("score", 6))
-
-
-@query(
-    "ring_continuity",
-    f"""SELECT left_id, right_id, round(score,6) score FROM (SELECT *, b/CAST(least(ln,rn) AS DOUBLE) score, row_number() OVER (PARTITION BY left_id ORDER BY b/CAST(least(ln,rn) AS DOUBLE) DESC, right_id) k FROM ({_OVERLAP})) WHERE k=1 AND score>=0.5e0""",
-)
-def ring_continuity(spark, d):
-    t = Tables(spark, d)
-    m = matching.best_overlap(t.truth.select(F.col("ring_id").alias("left_id"), "account"), _shifted_sets(t))
-    return m.withColumn("score", F.round("score", 6))
-
-
 def _ap(col: str) -> str:
     return f"""(SELECT round(sum(tp*ctp/CAST(cn AS DOUBLE))/sum(tp),4) FROM (SELECT tp, sum(tp) OVER (ORDER BY s DESC) ctp, sum(n) OVER (ORDER BY s DESC) cn FROM
       (SELECT {col} s, sum(CASE WHEN account IN (SELECT account FROM truth) THEN 1 ELSE 0 END) tp, count(*) n FROM scored GROUP BY 1)))"""
@@ -304,62 +269,6 @@ def model_metrics(spark, d):
     return evaluate.metrics_table(cut_lineage(t.scores()), t.truth, {"V1 transaction only": "risk_v1", "V2 with identity": "risk_v2"})
 
 
-@query(
-    "live_quality",
-    f"""WITH best AS (SELECT left_id, right_id FROM (SELECT *, b/CAST(ln+rn-b AS DOUBLE) score, row_number() OVER (PARTITION BY left_id ORDER BY b/CAST(ln+rn-b AS DOUBLE) DESC, right_id) k FROM ({_OVERLAP})) WHERE k=1 AND score>=0.5e0),
-     pl AS (SELECT ring_id, min(us) planted_us FROM ledger JOIN truth ON account=dst WHERE src LIKE 'VICTIM%' GROUP BY 1),
-     tr AS (SELECT DISTINCT ring_id FROM truth JOIN pl USING(ring_id)),
-     it AS (SELECT s.right_id, l.us, l.txn_id, row_number() OVER (PARTITION BY s.right_id ORDER BY l.us, l.txn_id) rn FROM ledger l JOIN foundv s ON s.account=l.src JOIN foundv q ON q.account=l.dst AND q.right_id=s.right_id),
-     al AS (SELECT right_id, max(us) fired_us FROM it WHERE rn<=3 GROUP BY 1),
-     bc AS (SELECT al.right_id, NOT EXISTS (SELECT 1 FROM ledger l JOIN foundv f ON f.account=l.src WHERE l.dst='CASH' AND f.right_id=al.right_id AND l.us<=al.fired_us) before_cashout FROM al),
-     hit AS (SELECT b.*, (al.fired_us-pl.planted_us)/6e7 mins, bc.before_cashout FROM best b JOIN tr ON tr.ring_id=b.left_id JOIN pl ON pl.ring_id=b.left_id LEFT JOIN al USING(right_id) LEFT JOIN bc USING(right_id))
-     SELECT (SELECT count(*) FROM tr) planted, count(*) caught, (SELECT count(*) FROM tr)-count(*) missed, (SELECT count(DISTINCT right_id) FROM foundv)-count(DISTINCT right_id) false_rings,
-       CAST(floor(list_sort(list(mins))[count(mins)//2+1]+0.5e0) AS BIGINT) median_minutes_to_alert, count(*) FILTER (before_cashout) caught_before_cashout,
-       (SELECT count(*) FROM scored WHERE v2_bp>=5000) flagged_accounts, (SELECT count(*) FROM scored WHERE v2_bp>=5000 AND account IN (SELECT account FROM truth JOIN tr USING(ring_id))) flagged_in_rings FROM hit""",
-)
-def live_quality(spark, d):
-    t = Tables(spark, d)
-    planted = t.truth.join(
-        rings.victim_deposits(t.ledger, t.truth.select("ring_id", "account")).groupBy("ring_id").agg(F.min("us").alias("planted_us")), "ring_id"
-    )
-    found = _shifted_sets(t).withColumnRenamed("right_id", "ring_id")
-    al = rings.alerts(t.ledger, found)
-    al = al.join(rings.cashout_eta(t.ledger, found, al).select("ring_id", "before_cashout"), "ring_id")
-    return evaluate.live_quality(planted, found, al, cut_lineage(t.scores()))
-
-
-@query(
-    "hop_distance",
-    """WITH RECURSIVE e AS (SELECT ring_id, src, dst FROM internal WHERE TRY_CAST(substr(dst,4) AS INT)-TRY_CAST(substr(src,4) AS INT) IN (1,2,-4)),
-     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12)
-     SELECT ring_id, account, min(hop) hop FROM r GROUP BY 1,2""",
-)
-def hop_distance(spark, d):
-    return _layered(Tables(spark, d))[1]
-
-
-@query(
-    "layer_columns",
-    """WITH RECURSIVE e AS (SELECT DISTINCT ring_id, src, dst FROM internal WHERE TRY_CAST(substr(dst,4) AS INT)-TRY_CAST(substr(src,4) AS INT) IN (1,2,-4)),
-     r AS (SELECT ring_id, account, 0 hop FROM planted WHERE TRY_CAST(substr(account,4) AS INT)%10=0 UNION SELECT e.ring_id, e.dst, hop+1 FROM r JOIN e ON e.ring_id=r.ring_id AND e.src=r.account WHERE hop<12),
-     h AS (SELECT ring_id, account, min(hop) hop FROM r GROUP BY 1,2),
-     f AS (SELECT e.* FROM e JOIN h a ON a.ring_id=e.ring_id AND a.account=e.src JOIN h b ON b.ring_id=e.ring_id AND b.account=e.dst WHERE a.hop<b.hop OR (a.hop=b.hop AND e.src<e.dst)),
-     c AS (SELECT ring_id, account, 0 col FROM h WHERE hop=0 UNION SELECT f.ring_id, f.dst, col+1 FROM c JOIN f ON f.ring_id=c.ring_id AND f.src=c.account)
-     SELECT ring_id, account, max(col) "column" FROM c GROUP BY 1,2""",
-)
-def layer_columns(spark, d):
-    e, h = _layered(Tables(spark, d))
-    return graph.layer_columns(e, h)
-
-
-def _layered(t: Tables):
-    """Internal channels a few accounts apart, first account of each block as the start: several layers deep."""
-    gap = F.expr("try_cast(substring(dst, 4) as int) - try_cast(substring(src, 4) as int)")
-    e = cut_lineage(rings.ring_edges(t.ledger, t.members).where(gap.isin(1, 2, -4)).select("ring_id", "src", "dst"))
-    start = t.members.where(F.expr("cast(substring(account, 4) as int) % 10 = 0"))
-    return e, graph.hop_distance(e, start)
-
-
 @query(
     "account_degrees",
     "SELECT account, count(*) degree, round(sqrt(1e0+0.3e0*(count(*)-1)),6) display_weight FROM (SELECT src account FROM ledger UNION ALL SELECT dst FROM ledger) GROUP BY 1",

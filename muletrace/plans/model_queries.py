@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from muletrace.operators import evaluate, features, models, scoring
+from muletrace.operators import features, models, scoring
 from muletrace.plans.registry import query
 from muletrace.plans.tables import Tables
-from muletrace.session import cut_lineage
 from muletrace.streaming import live
 
 
@@ -59,20 +58,3 @@ def touched_accounts(spark, d):
     last = t.ledger.agg(F.max("us")).scalar()
     batch = t.ledger.where(F.col("us") > last - 86_400_000_000)
     return live.touched_accounts(batch, t.links, t.links.where(F.col("account") == "ACC000004"))
-
-
-@query(
-    "score_changes",
-    """WITH n AS (SELECT account, v2_bp, CASE WHEN v2_bp>=8000 THEN 'CRITICAL' WHEN v2_bp>=6000 THEN 'HIGH' WHEN v2_bp>=3500 THEN 'MEDIUM' ELSE 'LOW' END band, txn_in+txn_out txns FROM scored),
-      o AS (SELECT account, CAST(v2_bp+TRY_CAST(substr(account,4) AS INT)*37%400-200 AS BIGINT) obp FROM scored WHERE TRY_CAST(substr(account,4) AS INT)%5<>0)
-      SELECT n.account, v2_bp, band, txns<3 provisional FROM n LEFT JOIN o USING(account) WHERE obp IS NULL OR abs(v2_bp-obp)>=200 OR band<>CASE WHEN obp>=8000 THEN 'CRITICAL' WHEN obp>=6000 THEN 'HIGH' WHEN obp>=3500 THEN 'MEDIUM' ELSE 'LOW' END""",
-)
-def score_changes(spark, d):
-    """Scores sent before are shifted by a fixed pattern, and a fifth of the accounts was never sent."""
-    from muletrace.functions.exprs import risk_band
-
-    s = cut_lineage(Tables(spark, d).scored.select("account", "v2_bp", (F.col("txn_in") + F.col("txn_out")).alias("txns")))
-    no = F.expr("cast(substring(account, 4) as int)")
-    before = s.where(no % 5 != 0).select("account", (F.col("v2_bp") + no * 37 % 400 - 200).alias("v2_bp"))
-    before = before.withColumn("band", risk_band(F.col("v2_bp") / F.lit(10000.0)))
-    return live.worth_sending(s, before)

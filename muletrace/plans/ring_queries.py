@@ -103,20 +103,6 @@ def ring_alerts(spark, d):
     return rings.alerts(t.ledger, t.members).select("alert_id", "ring_id", "fired_at", "reason")
 
 
-@query(
-    "alerts_with_ring",
-    """SELECT alert_id, a.ring_id, fired_at, CASE WHEN known THEN risk END risk, CASE WHEN known THEN members ELSE 0 END members
-       FROM (SELECT *, TRY_CAST(substr(ring_id,5) AS INT)%4<>3 known FROM alerts) a JOIN ring_summary USING(ring_id)""",
-)
-def alerts_with_ring(spark, d):
-    """A quarter of the rings is held back from the summary side, so dangling alerts occur."""
-    t = Tables(spark, d)
-    known = rings.ring_summary(t.ledger, t.members, t.scores()).where(F.expr("cast(substring(ring_id, 5) as int) % 4 <> 3"))
-    return rings.alerts_with_ring(rings.alerts(t.ledger, t.members), known).select(
-        "alert_id", "ring_id", "fired_at", "risk", "members"
-    )
-
-
 @query(
     "alerts_newest_first",
     "SELECT alert_id, ring_id, fired_at, row_number() OVER (ORDER BY fired_us DESC, alert_id DESC) AS \"position\" FROM alerts",
@@ -195,22 +181,3 @@ def role_counts(spark, d):
 def export_roles(spark, d):
     r = _roles(Tables(spark, d))
     return r.select("ring_id", "account", rings.narrow_role(F.col("role"), rings.EXPORT_ROLES, rings.EXPORT_REMAP).alias("role"))
-
-
-@query(
-    "complete_ring",
-    """WITH ed AS (SELECT ring_id, src, dst, CAST(sum(amount_paise) AS BIGINT) amount_paise FROM internal GROUP BY 1,2,3),
-     dep AS (SELECT ring_id, src, dst, amount_paise FROM ledger JOIN planted p ON p.account=dst WHERE src LIKE 'VICTIM%' AND TRY_CAST(substr(ring_id,5) AS INT)%2=0),
-     r AS (SELECT roles.*, EXISTS(SELECT 1 FROM ed WHERE ed.ring_id=roles.ring_id AND ed.dst=roles.account) paid FROM roles WHERE ring_id NOT IN (SELECT ring_id FROM dep)),
-     t AS (SELECT *, CASE WHEN role='source' THEN 1 WHEN NOT paid THEN 2 ELSE 3 END tier FROM r),
-     c AS (SELECT t.* FROM t JOIN (SELECT ring_id, min(tier) bt, min(account) fa FROM t GROUP BY 1) b ON b.ring_id=t.ring_id AND t.tier=b.bt AND (t.tier<3 OR t.account=b.fa))
-     SELECT ring_id, src, dst, amount_paise, 'transfer' kind FROM ed UNION ALL SELECT *, 'victim' FROM dep
-     UNION ALL SELECT ring_id, concat('VICTIM:',ring_id), account, CAST(coalesce(nullif((SELECT sum(amount_paise) FROM ed WHERE ed.ring_id=c.ring_id AND ed.src=c.account),0), (SELECT volume_paise FROM ring_summary s WHERE s.ring_id=c.ring_id),0) AS BIGINT), 'victim' FROM c
-     UNION ALL SELECT ring_id, account, 'CASH', CAST(coalesce((SELECT sum(amount_paise) FROM ed WHERE ed.ring_id=roles.ring_id AND ed.dst=roles.account),0) AS BIGINT), 'cash' FROM roles WHERE role='cash-out'""",
-)
-def complete_ring(spark, d):
-    """Deposits of every second ring are treated as not yet seen, so stand-in victims occur."""
-    t = Tables(spark, d)
-    seen = rings.victim_deposits(t.ledger, t.members).where(F.expr("cast(substring(ring_id, 5) as int) % 2 = 0"))
-    edges = rings.ring_edges(t.ledger, t.members)
-    return rings.complete_ring_edges(edges, _roles(t), seen, rings.ring_volumes(t.ledger, t.members))

@@ -31,11 +31,12 @@ def replay_rows(spark, d):
 
 @query(
     "export_ledger",
-    "SELECT txn_id, src, dst, CAST(round_even(amount_paise/100e0,0) AS BIGINT) amount_rupees, ts, CASE WHEN channel IN ('UPI','ATM') THEN channel ELSE 'NEFT' END channel, city, lat, lng FROM ledger WHERE src NOT LIKE 'SALARY%'",
+    """SELECT txn_id, src, dst, CAST(round_even(amount_paise/100e0,0) AS BIGINT) amount_rupees, ts, CASE WHEN channel IN ('UPI','IMPS','NEFT','ATM') THEN channel ELSE 'NEFT' END channel,
+       CASE WHEN channel='ATM' THEN city END city, CASE WHEN channel='ATM' THEN lat END lat, CASE WHEN channel='ATM' THEN lng END lng FROM ledger WHERE src NOT LIKE 'SALARY%'""",
 )
 def export_ledger(spark, d):
-    """IMPS is treated as unknown to the receiver, so it is renamed."""
-    return ev.salary_free_export(Tables(spark, d).ledger, ("UPI", "ATM"))
+    """All transfers that are not salaries, in the export form."""
+    return ev.salary_free_export(Tables(spark, d).ledger)
 
 
 @query("ledger_as_of", "SELECT txn_id, src, dst, amount_paise FROM ledger WHERE ts<=TIMESTAMP '2024-01-15 12:00:00'")
@@ -230,33 +231,6 @@ def ledger_rejects(spark, d):
     return bad.select("txn_id", F.array_join("broken_rules", ",").alias("broken"))
 
 
-@query("unknown_accounts", "SELECT DISTINCT account FROM acct_ev WHERE account NOT IN (SELECT account FROM accounts WHERE TRY_CAST(substr(account,4) AS INT)%9<>0)")
-def unknown_accounts(spark, d):
-    """Accounts divisible by nine are taken out of the account table, so gaps exist."""
-    t = Tables(spark, d)
-    return serve.unknown_accounts(t.ledger, t.accounts.where(F.expr("cast(substring(account, 4) as int) % 9 <> 0")))
-
-
-@query(
-    "merged_delivery",
-    """SELECT 'accounts' "table", count(*) n FROM accounts UNION ALL SELECT 'ledger', count(*) FROM ledger UNION ALL SELECT 'links', count(*) FROM links""",
-)
-def merged_delivery(spark, d):
-    """Two overlapping deliveries of the same tables merge back into each table once."""
-    t = Tables(spark, d)
-    no = F.expr("cast(substring(account, 4) as int)")
-    early, late = F.col("us") <= F.lit(1_705_000_000_000_000), F.col("us") > F.lit(1_704_500_000_000_000)
-    a, led, li = serve.merge_new_data(
-        t.accounts.where(no % 3 != 0), t.ledger.where(early), t.links.where(no % 3 != 0), t.accounts.where(no % 3 != 1), t.ledger.where(late), t.links.where(no % 3 != 1)
-    )
-    tables = {"accounts": a, "ledger": led, "links": li}
-    out = None
-    for n, df in tables.items():
-        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table"), "n")
-        out = c if out is None else out.unionByName(c)
-    return out
-
-
 @query(
     "alerts_latest_ring",
     """SELECT alert_id, a.ring_id, CAST(m AS BIGINT) members, version FROM alerts a JOIN (SELECT ring_id, max(CASE WHEN TRY_CAST(substr(account,4) AS INT)%10<4 THEN 1 WHEN TRY_CAST(substr(account,4) AS INT)%10<7 THEN 2 ELSE 3 END) version, count(*) m FROM planted GROUP BY 1) USING(ring_id)""",
@@ -295,12 +269,12 @@ def text_functions(spark, d):
 
 @query(
     "small_set_similarity",
-    """WITH s AS (SELECT ring_id, identifier_id, list(DISTINCT account) m FROM links JOIN planted USING(account) WHERE "type"='device' GROUP BY 1,2), r AS (SELECT ring_id, list(account) m FROM planted GROUP BY 1)
+    """WITH s AS (SELECT ring_id, identifier_id, list(DISTINCT account) m FROM links JOIN planted USING(account) GROUP BY 1,2), r AS (SELECT ring_id, list(account) m FROM planted GROUP BY 1)
        SELECT s.ring_id, s.identifier_id, round(len(list_intersect(s.m,r.m))/CAST(len(list_distinct(list_concat(s.m,r.m))) AS DOUBLE),6) jaccard, round(len(list_intersect(s.m,r.m))/CAST(least(len(s.m),len(r.m)) AS DOUBLE),6) overlap FROM s JOIN r USING(ring_id)""",
 )
 def small_set_similarity(spark, d):
     t = Tables(spark, d)
-    s = t.links.where(F.col("type") == "device").join(t.members, "account").groupBy("ring_id", "identifier_id").agg(F.collect_set("account").alias("m"))
+    s = t.links.join(t.members, "account").groupBy("ring_id", "identifier_id").agg(F.collect_set("account").alias("m"))
     r = t.members.groupBy("ring_id").agg(F.collect_set("account").alias("all"))
     j = s.join(r, "ring_id")
     return j.select(

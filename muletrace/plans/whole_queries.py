@@ -1,7 +1,5 @@
-"""Queries on the full tables where an older one of the same name (without ``_whole``) makes awkward cases by leaving rows out.
-
-The older ones stay with their SQL: they show channels, deposits, rings or accounts that are missing. What an investigator
-reads comes from here. Rings in the matching queries are those found by the rule score.
+"""Queries of which a test also runs a form on partial tables (``tests/cut_cases.py``). Each is registered under its name and,
+as in earlier versions, as ``<name>_whole``. Rings in the matching queries are those found by the rule score.
 """
 
 from __future__ import annotations
@@ -17,6 +15,12 @@ from muletrace.plans.tables import Tables
 from muletrace.session import cut_lineage
 from muletrace.streaming import live
 
+
+def queries(name: str, sql: str, also: str = ""):
+    """Registers under the name and under the earlier one."""
+    return lambda fn: query(name, sql)(query(also or f"{name}_whole", sql)(fn))
+
+
 _ONE_DAY_US = 86_400_000_000
 
 _HOPS = """e AS (SELECT DISTINCT ring_id, src, dst FROM internal WHERE src<>dst),
@@ -32,31 +36,31 @@ def _layered(t: Tables):
     return e, graph.hop_distance(e, start)
 
 
-@query("hop_distance_whole", f"WITH RECURSIVE {_HOPS} SELECT ring_id, account, hop FROM h")
-def hop_distance_whole(spark, d):
+@queries("hop_distance", f"WITH RECURSIVE {_HOPS} SELECT ring_id, account, hop FROM h")
+def hop_distance(spark, d):
     return _layered(Tables(spark, d))[1]
 
 
-@query(
-    "layer_columns_whole",
+@queries(
+    "layer_columns",
     f"""WITH RECURSIVE {_HOPS},
      f AS (SELECT e.* FROM e JOIN h a ON a.ring_id=e.ring_id AND a.account=e.src JOIN h b ON b.ring_id=e.ring_id AND b.account=e.dst WHERE a.hop<b.hop OR (a.hop=b.hop AND e.src<e.dst)),
      c(ring_id, account, col) AS (SELECT ring_id, account, 0 FROM h WHERE hop=0 UNION SELECT f.ring_id, f.dst, col+1 FROM c JOIN f ON f.ring_id=c.ring_id AND f.src=c.account)
      SELECT ring_id, account, max(col) "column" FROM c GROUP BY 1,2""",
 )
-def layer_columns_whole(spark, d):
+def layer_columns(spark, d):
     e, h = _layered(Tables(spark, d))
     return graph.layer_columns(e, h)
 
 
-@query(
-    "freeze_reachability_whole",
+@queries(
+    "freeze_reachability",
     """WITH RECURSIVE fz AS (SELECT account FROM scored WHERE v2_bp>=5000),
      e AS (SELECT * FROM channels c WHERE dst<>src AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.src) AND NOT EXISTS (SELECT 1 FROM fz WHERE fz.account=c.dst)),
      r(ring_id, account) AS (SELECT ring_id, src FROM e WHERE dst='CASH' UNION SELECT e.ring_id, e.src FROM e JOIN r ON r.ring_id=e.ring_id AND r.account=e.dst)
      SELECT ring_id, account FROM r""",
 )
-def freeze_reachability_whole(spark, d):
+def freeze_reachability(spark, d):
     """All channels; the accounts at high risk by the rule score are frozen."""
     t = Tables(spark, d)
     edges = freeze.flow_graph(t.ledger, t.members).where(F.col("src") != F.col("dst"))
@@ -64,8 +68,8 @@ def freeze_reachability_whole(spark, d):
     return freeze.reaches_cash(edges, cut_lineage(frozen))
 
 
-@query(
-    "complete_ring_whole",
+@queries(
+    "complete_ring",
     """WITH ed AS (SELECT ring_id, src, dst, CAST(sum(amount_paise) AS BIGINT) amount_paise FROM internal GROUP BY 1,2,3),
      dep AS (SELECT ring_id, src, dst, amount_paise FROM ledger JOIN planted p ON p.account=dst WHERE src LIKE 'VICTIM%'),
      r AS (SELECT roles.*, EXISTS(SELECT 1 FROM ed WHERE ed.ring_id=roles.ring_id AND ed.dst=roles.account) paid FROM roles WHERE ring_id NOT IN (SELECT ring_id FROM dep)),
@@ -75,22 +79,22 @@ def freeze_reachability_whole(spark, d):
      UNION ALL SELECT ring_id, concat('VICTIM:',ring_id), account, CAST(coalesce(nullif((SELECT sum(amount_paise) FROM ed WHERE ed.ring_id=c.ring_id AND ed.src=c.account),0), (SELECT volume_paise FROM ring_summary s WHERE s.ring_id=c.ring_id),0) AS BIGINT), 'victim' FROM c
      UNION ALL SELECT ring_id, account, 'CASH', CAST(coalesce((SELECT sum(amount_paise) FROM ed WHERE ed.ring_id=roles.ring_id AND ed.dst=roles.account),0) AS BIGINT), 'cash' FROM roles WHERE role='cash-out'""",
 )
-def complete_ring_whole(spark, d):
+def complete_ring(spark, d):
     """All deposits; stand-in victims only where a ring has none."""
     t = Tables(spark, d)
     seen = rings.victim_deposits(t.ledger, t.members)
     return rings.complete_ring_edges(rings.ring_edges(t.ledger, t.members), _roles(t), seen, rings.ring_volumes(t.ledger, t.members))
 
 
-@query("alerts_with_ring_whole", "SELECT alert_id, a.ring_id, fired_at, risk, members FROM alerts a JOIN ring_summary USING(ring_id)")
-def alerts_with_ring_whole(spark, d):
+@queries("alerts_with_ring", "SELECT alert_id, a.ring_id, fired_at, risk, members FROM alerts a JOIN ring_summary USING(ring_id)")
+def alerts_with_ring(spark, d):
     t = Tables(spark, d)
     known = rings.ring_summary(t.ledger, t.members, t.scores())
     return rings.alerts_with_ring(rings.alerts(t.ledger, t.members), known).select("alert_id", "ring_id", "fired_at", "risk", "members")
 
 
-@query("unknown_accounts_whole", "SELECT DISTINCT account FROM acct_ev WHERE account NOT IN (SELECT account FROM accounts)")
-def unknown_accounts_whole(spark, d):
+@queries("unknown_accounts", "SELECT DISTINCT account FROM acct_ev WHERE account NOT IN (SELECT account FROM accounts)")
+def unknown_accounts(spark, d):
     t = Tables(spark, d)
     return serve.unknown_accounts(t.ledger, t.accounts)
 
@@ -105,8 +109,8 @@ def _score_changes_sql() -> str:
       SELECT n.account, v2_bp, band, txns<3 provisional FROM n LEFT JOIN o USING(account) WHERE obp IS NULL OR abs(v2_bp-obp)>=200 OR band<>{band.format("obp")}"""
 
 
-@query("score_changes_whole", _score_changes_sql())
-def score_changes_whole(spark, d):
+@queries("score_changes", _score_changes_sql())
+def score_changes(spark, d):
     """What is worth sending after the last day, all accounts having been sent a day before."""
     t = Tables(spark, d)
     until = t.ledger.agg(F.max("us")).first()[0] - _ONE_DAY_US
@@ -116,13 +120,14 @@ def score_changes_whole(spark, d):
     return live.worth_sending(cut_lineage(now), cut_lineage(before))
 
 
-@query(
-    "merged_delivery_rows",
+@queries(
+    "merged_delivery",
     """SELECT 'accounts' "table", account "key", concat_ws('|', bank, CAST(opened_on AS VARCHAR), CAST(opening_balance_paise AS VARCHAR), home_city) "row" FROM accounts
        UNION ALL SELECT 'ledger', txn_id, concat_ws('|', src, dst, CAST(amount_paise AS VARCHAR), CAST(us AS VARCHAR), channel, city) FROM ledger
        UNION ALL SELECT 'links', identifier_id, concat_ws('|', "type", account) FROM links""",
+    "merged_delivery_rows",
 )
-def merged_delivery_rows(spark, d):
+def merged_delivery(spark, d):
     """The rows of two overlapping deliveries, which together hold everything, merged into each table once."""
     t = Tables(spark, d)
     no = F.expr("cast(substring(account, 4) as int)")
@@ -147,7 +152,7 @@ def _by_rule(t: Tables):
 
 
 _RULE_RINGS = f"{graph_queries._rings_sql(0.5)}, fnd AS (SELECT ring_id right_id, account FROM found)"
-_OVERLAP = graph_queries._OVERLAP.replace("foundv", "fnd")
+_OVERLAP = """SELECT left_id, right_id, count(*) b, any_value(ln) ln, any_value(rn) rn FROM (SELECT ring_id left_id, account, count(*) OVER (PARTITION BY ring_id) ln FROM truth) JOIN (SELECT *, count(*) OVER (PARTITION BY right_id) rn FROM fnd) USING(account) GROUP BY 1,2"""
 
 
 def _best_sql(score: str) -> str:
@@ -159,24 +164,30 @@ def _truth_and_found(t: Tables):
     return t.truth.select(F.col("ring_id").alias("left_id"), "account"), _by_rule(t).withColumnRenamed("ring_id", "right_id")
 
 
-@query("ring_match_whole", _best_sql("b/CAST(ln+rn-b AS DOUBLE)"))
-def ring_match_whole(spark, d):
+@queries("ring_match", _best_sql("b/CAST(ln+rn-b AS DOUBLE)"))
+def ring_match(spark, d):
     return matching.best_jaccard(*_truth_and_found(Tables(spark, d))).withColumn("score", F.round("score", 6))
 
 
-@query("ring_continuity_whole", _best_sql("b/CAST(least(ln,rn) AS DOUBLE)"))
-def ring_continuity_whole(spark, d):
+@queries("ring_continuity", _best_sql("b/CAST(least(ln,rn) AS DOUBLE)"))
+def ring_continuity(spark, d):
     return matching.best_overlap(*_truth_and_found(Tables(spark, d))).withColumn("score", F.round("score", 6))
 
 
-def _live_quality_sql() -> str:
-    from muletrace.plans.registry import CHECK_SQL
-
-    return CHECK_SQL["live_quality"].replace("foundv", "fnd").replace("WITH ", f"WITH RECURSIVE {_RULE_RINGS}, ", 1)
+_LIVE_QUALITY = f"""WITH RECURSIVE {_RULE_RINGS}, best AS (SELECT left_id, right_id FROM (SELECT *, b/CAST(ln+rn-b AS DOUBLE) score, row_number() OVER (PARTITION BY left_id ORDER BY b/CAST(ln+rn-b AS DOUBLE) DESC, right_id) k FROM ({_OVERLAP})) WHERE k=1 AND score>=0.5e0),
+     pl AS (SELECT ring_id, min(us) planted_us FROM ledger JOIN truth ON account=dst WHERE src LIKE 'VICTIM%' GROUP BY 1),
+     tr AS (SELECT DISTINCT ring_id FROM truth JOIN pl USING(ring_id)),
+     it AS (SELECT s.right_id, l.us, l.txn_id, row_number() OVER (PARTITION BY s.right_id ORDER BY l.us, l.txn_id) rn FROM ledger l JOIN fnd s ON s.account=l.src JOIN fnd q ON q.account=l.dst AND q.right_id=s.right_id),
+     al AS (SELECT right_id, max(us) fired_us FROM it WHERE rn<=3 GROUP BY 1),
+     bc AS (SELECT al.right_id, NOT EXISTS (SELECT 1 FROM ledger l JOIN fnd f ON f.account=l.src WHERE l.dst='CASH' AND f.right_id=al.right_id AND l.us<=al.fired_us) before_cashout FROM al),
+     hit AS (SELECT b.*, (al.fired_us-pl.planted_us)/6e7 mins, bc.before_cashout FROM best b JOIN tr ON tr.ring_id=b.left_id JOIN pl ON pl.ring_id=b.left_id LEFT JOIN al USING(right_id) LEFT JOIN bc USING(right_id))
+     SELECT (SELECT count(*) FROM tr) planted, count(*) caught, (SELECT count(*) FROM tr)-count(*) missed, (SELECT count(DISTINCT right_id) FROM fnd)-count(DISTINCT right_id) false_rings,
+       CAST(floor(list_sort(list(mins))[count(mins)//2+1]+0.5e0) AS BIGINT) median_minutes_to_alert, count(*) FILTER (before_cashout) caught_before_cashout,
+       (SELECT count(*) FROM scored WHERE v2_bp>=5000) flagged_accounts, (SELECT count(*) FROM scored WHERE v2_bp>=5000 AND account IN (SELECT account FROM truth JOIN tr USING(ring_id))) flagged_in_rings FROM hit"""
 
 
-@query("live_quality_whole", _live_quality_sql())
-def live_quality_whole(spark, d):
+@queries("live_quality", _LIVE_QUALITY)
+def live_quality(spark, d):
     t = Tables(spark, d)
     planted = t.truth.join(
         rings.victim_deposits(t.ledger, t.truth.select("ring_id", "account")).groupBy("ring_id").agg(F.min("us").alias("planted_us")), "ring_id"
@@ -187,13 +198,13 @@ def live_quality_whole(spark, d):
     return evaluate.live_quality(planted, found, al, cut_lineage(t.scores()))
 
 
-@query(
-    "fund_flow_summary_whole",
+@queries(
+    "fund_flow_summary",
     """WITH RECURSIVE p AS (SELECT 1 hops, us s, us e, [src,dst] seen, dst "at" FROM ledger WHERE src LIKE 'VICTIM%'
       UNION ALL SELECT hops+1, s, l.us, list_append(seen,l.dst), l.dst FROM p JOIN ledger l ON l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)),
       y AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.src=p."at" AND l.us>p.e AND l.us<=p.e+86400000000 AND NOT list_contains(seen,l.dst)))
       SELECT count(*) total_paths, round(sum((e-s)/6e7)/sum(hops-1),4) avg_hop_latency_min, round(min((e-s)/6e7) FILTER (hops>1),4) fastest_path_minutes, false truncated FROM y""",
 )
-def fund_flow_summary_whole(spark, d):
+def fund_flow_summary(spark, d):
     """All paths to their end."""
     return flows.path_summary(flows.fund_flow_paths(Tables(spark, d).ledger))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 from muletrace.operators import flows, serve
-from muletrace.plans import catalog, whole_queries
+from muletrace.plans import catalog, sqlviews, whole_queries
 from tests import micro
 from tests.compare import compare, duck
+from tests.cut_cases import CASES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,21 +18,35 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", ["hop_distance_whole", "freeze_reachability_whole", "complete_ring_whole", "alerts_with_ring_whole", "merged_delivery_rows", "identifiers_overlapping"])
+@pytest.mark.parametrize("name", ["hop_distance", "freeze_reachability", "complete_ring", "alerts_with_ring", "merged_delivery", "identifiers_overlapping"])
 def test_whole_queries_equal_sql(spark, con, name):
     status, info = compare(spark, con, name, catalog.all_queries()[name], catalog.all_check_sql()[name], SF)
     assert status == "ok", info
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_partial_tables_equal_sql(spark, con, name):
+    fn, sql = CASES[name]
+    status, info = compare(spark, con, name, fn, sqlviews.complete(sql), SF)
+    assert status == "ok", info
+
+
+def test_earlier_names_stay():
+    q = catalog.all_queries()
+    for name in set(CASES) - {"merged_delivery"}:
+        assert q[f"{name}_whole"] is q[name]
+    assert q["merged_delivery_rows"] is q["merged_delivery"]
+
+
 def test_nothing_is_left_out(spark, con):
     """Every alert has its ring, every deposit is on the ring's graph, every row is delivered."""
     sql = catalog.all_check_sql()
     q = catalog.all_queries()
-    assert q["alerts_with_ring_whole"](spark, SF).where("members = 0 or risk is null").count() == 0
+    assert q["alerts_with_ring"](spark, SF).where("members = 0 or risk is null").count() == 0
     n = con.sql(f"SELECT count(*) FROM ({sql["public_ledger"]}) WHERE src LIKE 'VICTIM%'").fetchall()[0][0]
-    assert q["complete_ring_whole"](spark, SF).where("kind = 'victim' and src not like 'VICTIM:%'").count() == n
-    by_table = {r["table"]: r["n"] for r in q["merged_delivery"](spark, SF).collect()}
-    rows = q["merged_delivery_rows"](spark, SF).groupBy("table").count().collect()
+    assert q["complete_ring"](spark, SF).where("kind = 'victim' and src not like 'VICTIM:%'").count() == n
+    by_table = {r["table"]: r["n"] for r in CASES["merged_delivery"][0](spark, SF).collect()}
+    rows = q["merged_delivery"](spark, SF).groupBy("table").count().collect()
     assert {r["table"]: r["count"] for r in rows} == by_table
 
 
@@ -47,7 +62,7 @@ def test_summary_follows_paths_to_their_end(spark, monkeypatch):
     cut = flows.path_summary(flows.fund_flow_paths(led, max_hops=3)).first()
     assert cut["truncated"] and cut["fastest_path_minutes"] == 20
     monkeypatch.setattr(whole_queries.Tables, "ledger", led)
-    whole = whole_queries.fund_flow_summary_whole(spark, "").first()
+    whole = whole_queries.fund_flow_summary(spark, "").first()
     assert (whole["total_paths"], whole["avg_hop_latency_min"], whole["fastest_path_minutes"], whole["truncated"]) == (1, 15, 60, False)
 
 
