@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,10 +128,11 @@ def assert_contract(df: DataFrame, rules: dict[str, Column], table: str) -> Data
     return df
 
 
-def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected); rejected rows carry the list of rules they break."""
+def split_valid(df: DataFrame, rules: dict[str, Column], seen: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected); rejected rows carry the list of rules they break. ``seen`` may count the rows before they part."""
     broken = F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in rules.items()]))
     tagged = df.withColumn("broken_rules", broken)
+    tagged = seen(tagged, list(rules)) if seen else tagged
     good = tagged.where(F.size("broken_rules") == 0).drop("broken_rules")
     return good, tagged.where(F.size("broken_rules") > 0)
 

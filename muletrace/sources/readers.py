@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,10 +122,13 @@ def kafka_lines(spark: SparkSession, servers: str, topic: str, per_trigger: int
     return src.option("maxOffsetsPerTrigger", per_trigger).load().select(F.col("value").cast("string").alias("value"))
 
 
-def fan_out(lines: DataFrame) -> dict[str, DataFrame]:
-    """Typed branches of one stream. Labels travel only in ``truth`` and ``labels``; ``txn`` carries none."""
+def fan_out(lines: DataFrame, seen: Callable[[DataFrame, Column], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Typed branches of one stream. Labels travel only in ``truth`` and ``labels``; ``txn`` carries none. ``seen`` may count the
+    lines before they part; it is told which are of no known type."""
     e = lines.select(F.from_json("value", LINE).alias("e"), "value")
     known = ("run", "account", "identifier", "txn", "truth", "clock", "end")
+    unknown = F.col("e.type").isNull() | ~F.col("e.type").isin(*known)
+    e = seen(e, unknown) if seen else e
     txn = e.where(F.col("e.type") == "txn")
     return {
         "txn": txn.select("e.txn.*").select(
@@ -146,5 +151,5 @@ def fan_out(lines: DataFrame) -> dict[str, DataFrame]:
             F.col("e.ring").alias("ring_id"), "e.pattern", F.explode("e.member_ids").alias("account"), "e.planted_at"
         ),
         "clock": e.where(F.col("e.type") == "clock").select("e.ts"),
-        "unknown": e.where(F.col("e.type").isNull() | ~F.col("e.type").isin(*known)).select("value"),
+        "unknown": e.where(unknown).select("value"),
     }

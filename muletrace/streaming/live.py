@@ -21,6 +21,7 @@ from muletrace.operators.matching import best_overlap
 from muletrace.schemas import ledger_rules, split_valid
 from muletrace.session import cut_lineage
 from muletrace.sources.readers import path_exists
+from muletrace.streaming.ingest import observed_lines, observed_transfers
 from muletrace.streaming.state import Counts, Queue
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,8 +37,8 @@ FEATURE_ROW = (
 
 
 def valid_transactions(txns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted ledger rows, rejects with reasons) of the text form."""
-    good, bad = split_valid(txns, ledger_rules(with_text_ts=True))
+    """(accepted ledger rows, rejects with reasons) of the text form, counted for :class:`ingest.IngestCounts`."""
+    good, bad = split_valid(txns, ledger_rules(with_text_ts=True), observed_transfers)
     ts = iso_parse(F.col("ts"))
     return good.withColumn("us", F.unix_micros(ts.cast("timestamp"))).withColumn("ts", ts), bad
 
@@ -388,7 +389,7 @@ def run_monitor(lines: DataFrame, monitor: LiveMonitor, checkpoint: str, parse:
     """Start the stream that feeds a monitor with accepted transfers; it takes what is available, then stops."""
     from muletrace.sources.readers import fan_out
 
-    good, _bad = valid_transactions(parse(lines) if parse else fan_out(lines)["txn"])
+    good, _bad = valid_transactions(parse(lines) if parse else fan_out(lines, observed_lines)["txn"])
     return good.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(monitor).start()
 
 
@@ -408,7 +409,7 @@ def run_live(
     """
     from muletrace.sources.readers import fan_out
 
-    txns = parse(lines) if parse else fan_out(lines)["txn"]
+    txns = parse(lines) if parse else fan_out(lines, observed_lines)["txn"]
     good, _bad = valid_transactions(txns)
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -421,11 +422,11 @@ def run_live(
 
 
 def run_rejects(lines: DataFrame, out: str, checkpoint: str):
-    """Rejected transactions and unknown lines, counted by reason."""
+    """Rejected transactions and unknown lines with their reasons; :class:`ingest.IngestCounts` counts them."""
     from muletrace.sources.readers import fan_out
 
     branches = fan_out(lines)
-    _good, bad = valid_transactions(branches["txn"])
+    _good, bad = split_valid(branches["txn"], ledger_rules(with_text_ts=True))
     rows = bad.select("txn_id", F.array_join("broken_rules", ",").alias("reason")).unionByName(
         branches["unknown"].select(F.lit(None).cast("string").alias("txn_id"), F.lit("unknown line").alias("reason"))
     )
