@@ -8,6 +8,7 @@ leave them out and ``late`` says how many.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from muletrace.functions.exprs import iso_parse, risk_band
 from muletrace.operators import graph, rings, taint
 from muletrace.operators.events import account_events
+from muletrace.operators.features import transaction_features
 from muletrace.operators.matching import best_overlap
 from muletrace.schemas import ledger_rules, split_valid
 from muletrace.session import cut_lineage
@@ -238,57 +240,115 @@ class BatchTables:
         return None if newest is None else rows.where(F.col("batch") == newest).drop("batch")
 
 
+COMPACT_EVERY = 50
+
+
+def payload_digest(ring_rows: dict[str, DataFrame]) -> DataFrame:
+    """(ring_id, digest) of what is known about each ring: tables by name, each with ``ring_id``. Counts and sums of row
+    hashes, so the order of rows does not matter and a large ring is summed in parts."""
+    parts = []
+    for name, df in ring_rows.items():
+        rest = sorted(c for c in df.columns if c != "ring_id")
+        parts.append(df.select("ring_id", F.xxhash64(F.lit(name), *[F.col(c) for c in rest]).cast("decimal(38,0)").alias("h")))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("ring_id").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"))
+    return rows.select("ring_id", F.md5(F.concat_ws("|", "n", "s")).alias("digest"))
+
+
+def ring_payload(members: DataFrame, ledger: DataFrame, accounts: DataFrame, links: DataFrame) -> DataFrame:
+    """Digest of a ring's members, edges, roles and volume; not of its risk, which moves with every batch."""
+    m = members.select("ring_id", "account")
+    own = m.select("account").distinct()
+    theirs = ledger.join(own.withColumnRenamed("account", "src"), "src", "left_semi").unionByName(
+        ledger.join(own.withColumnRenamed("account", "dst"), "dst", "left_semi").join(own.withColumnRenamed("account", "src"), "src", "left_anti").select(ledger.columns)
+    )
+    theirs = cut_lineage(theirs)
+    features = transaction_features(accounts.join(own, "account", "left_semi"), theirs)
+    return payload_digest(
+        {
+            "members": m,
+            "edges": rings.ring_edges(theirs, m),
+            "roles": rings.classify_roles(theirs, m, links, features).select("ring_id", "account", "role"),
+            "volume": rings.ring_volumes(theirs, m).select("ring_id", "volume_paise"),
+        }
+    )
+
+
 class RingRegistry:
-    """Ring ids that stay the same between discovery runs, kept as versioned tables in a shared folder.
+    """Ring ids that stay the same between discovery runs, kept as a log of changes in a shared folder.
 
-    A community continues the known ring it overlaps most (at least half of the smaller set). Members are only added. A
-    version changes when the member set does.
+    A community continues the known ring it overlaps most (at least half of the smaller set). Members are only added. A run
+    appends the members it adds and one row per ring whose payload digest is new, with the next version; readers merge
+    the log, and every ``COMPACT_EVERY`` batches a run also writes the merged tables, from which later reads start.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.tables = BatchTables(spark, folder)
 
-    def _latest(self, name: str, before: int) -> DataFrame | None:
-        return self.tables.latest(name, before)
+    def _log(self, name: str, before: int) -> DataFrame | None:
+        """Rows of a table of the log before a batch: the newest merged form and what came after it."""
+        log, merged = self.tables.until(name, before), self.tables.until(f"{name}_merged", before)
+        newest = None if merged is None else merged.agg(F.max("batch")).first()[0]
+        if newest is None:
+            return log
+        start = merged.where(F.col("batch") == newest)
+        return start if log is None else start.unionByName(log.where(F.col("batch") > newest))
+
+    def rings(self, before: int = 2**62) -> DataFrame | None:
+        """(ring_id, version, first_seen_us, digest) as of a batch."""
+        log = self._log("rings", before)
+        if log is None:
+            return None
+        last = F.max_by(F.struct("version", "first_seen_us", "digest"), "version").alias("r")
+        return log.groupBy("ring_id").agg(last).select("ring_id", "r.*")
 
     def members(self, before: int = 2**62) -> DataFrame | None:
-        return self._latest("members", before)
-
-    def update(self, batch_id: int, found: DataFrame, clock_us: int) -> DataFrame:
-        """Merge communities ``found(ring_id, account)``; returns the alerts of rings confirmed for the first time."""
-        known = self._latest("members", batch_id)
-        fresh = cut_lineage(found.select("ring_id", "account").distinct())
+        """(ring_id, account, version, first_seen_us) as of a batch."""
+        log = self._log("members", before)
+        return None if log is None else log.select("ring_id", "account").join(self.rings(before).drop("digest"), "ring_id")
+
+    def update(self, batch_id: int, found: DataFrame, clock_us: int, payload: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Merge communities ``found(ring_id, account)``; returns the alerts of rings confirmed for the first time.
+
+        ``payload(members)`` gives (ring_id, digest) of what a version stands for; by default the member set."""
+        known = self._log("members", batch_id)
+        added = fresh = cut_lineage(found.select("ring_id", "account").distinct())
+        everyone = fresh
+        if known is not None:
+            known = cut_lineage(known.select("ring_id", "account"))
+            match = best_overlap(fresh.withColumnRenamed("ring_id", "left_id"), known.withColumnRenamed("ring_id", "right_id"))
+            named = fresh.join(match.select(F.col("left_id").alias("ring_id"), "right_id"), "ring_id", "left")
+            named = named.select(F.coalesce("right_id", "ring_id").alias("ring_id"), "account").distinct()
+            added = cut_lineage(named.join(known, ["ring_id", "account"], "left_anti"))
+            everyone = known.unionByName(added)
+        digests = payload(everyone) if payload else payload_digest({"members": everyone})
         if known is None:
-            merged = fresh.withColumns({"version": F.lit(1), "first_seen_us": F.lit(clock_us).cast("bigint")})
-            new_rings = fresh.select("ring_id").distinct()
+            now = digests.withColumns({"old": F.lit(None).cast("string"), "version": F.lit(0), "first_seen_us": F.lit(None).cast("bigint")})
         else:
-            match = best_overlap(
-                fresh.select(F.col("ring_id").alias("left_id"), "account"), known.select(F.col("ring_id").alias("right_id"), "account")
-            )
-            named = cut_lineage(
-                fresh.join(match.select(F.col("left_id").alias("ring_id"), "right_id"), "ring_id", "left").select(
-                    F.coalesce("right_id", "ring_id").alias("ring_id"), "account"
-                ).distinct()
+            now = digests.join(self.rings(batch_id).withColumnRenamed("digest", "old"), "ring_id", "left")
+        changed = now.where(F.col("old").isNull() | (F.col("old") != F.col("digest")))
+        changed = cut_lineage(
+            changed.select(
+                "ring_id",
+                (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"),
+                F.coalesce("first_seen_us", F.lit(clock_us)).cast("bigint").alias("first_seen_us"),
+                "digest",
+                F.col("old").isNull().alias("new"),
             )
-            added = cut_lineage(named.join(known.select("ring_id", "account"), ["ring_id", "account"], "left_anti"))
-            meta = known.groupBy("ring_id").agg(F.max("version").alias("version"), F.min("first_seen_us").alias("first_seen_us"))
-            grown = added.select("ring_id").distinct().withColumn("grew", F.lit(1))
-            new_rings = grown.join(meta, "ring_id", "left_anti").select("ring_id")
-            now = (
-                meta.join(grown, "ring_id", "full")
-                .select(
-                    "ring_id",
-                    (F.coalesce("version", F.lit(0)) + F.coalesce("grew", F.lit(0))).cast("int").alias("version"),
-                    F.coalesce("first_seen_us", F.lit(clock_us)).cast("bigint").alias("first_seen_us"),
-                )
-            )
-            everyone = known.select("ring_id", "account").unionByName(added)
-            merged = everyone.join(now, "ring_id")
-        alerts = cut_lineage(new_rings.withColumn("fired_us", F.lit(clock_us).cast("bigint")))
-        self.tables.write("members", batch_id, merged)
+        )
+        alerts = cut_lineage(changed.where("new").select("ring_id", F.lit(clock_us).cast("bigint").alias("fired_us")))
+        self.tables.write("members", batch_id, added)
+        self.tables.write("rings", batch_id, changed.drop("new"))
         self.tables.write("alerts", batch_id, alerts)
+        self._compact(batch_id)
         return alerts
 
+    def _compact(self, batch_id: int) -> None:
+        merged = self.tables.until("rings_merged", batch_id)
+        newest = None if merged is None else merged.agg(F.max("batch")).first()[0]
+        if batch_id - (newest or 0) >= COMPACT_EVERY:
+            self.tables.write("members_merged", batch_id, self._log("members", batch_id + 1).select("ring_id", "account"))
+            self.tables.write("rings_merged", batch_id, self.rings(batch_id + 1))
+
 
 def discover_in_neighbourhood(ledger: DataFrame, accounts: DataFrame, links: DataFrame, scores: DataFrame) -> DataFrame:
     """Discovery on the surroundings of risky accounts with at least two transfers, not on the whole ledger.
@@ -373,7 +433,7 @@ class LiveMonitor:
         if not discovery_due(crossed, last, clock, known is not None, not risky.isEmpty()):
             return
         found = discover_in_neighbourhood(ledger, self.accounts, self.links, scores)
-        alerts = self.registry.update(batch_id, found, clock)
+        alerts = self.registry.update(batch_id, found, clock, lambda m: ring_payload(m, ledger, self.accounts, self.links))
         members = self.registry.members(batch_id + 1)
         t.write("runs", batch_id, self.spark.createDataFrame([(clock,)], "us long"))
         if members is None:

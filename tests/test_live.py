@@ -91,6 +91,40 @@ def test_registry(spark, tmp_path):
     assert {(r["ring_id"], r["version"], r["first_seen_us"]) for r in m} == {("R1", 2, 100), ("Y", 1, 200)}
 
 
+def test_registry_is_a_log_of_changes(spark, tmp_path, monkeypatch):
+    """Versions rise when an edge or a volume changes; only changed rings are written; reads are the same after compaction."""
+    monkeypatch.setattr(live, "COMPACT_EVERY", 3)
+    reg, plain = live.RingRegistry(spark, str(tmp_path / "log")), {}
+    sets = spark.createDataFrame([(r, a) for r, m in (("R1", "abcd"), ("R2", "pqr"), ("R3", "xyz")) for a in m], "ring_id string, account string")
+    edges = {"R1": 10, "R2": 10, "R3": 10}
+    for batch, changes in enumerate(({}, {"R1": 20}, {}, {"R2": 5, "R3": 7}, {"R1": 30})):
+        edges |= changes
+        known = spark.createDataFrame(list(edges.items()), "ring_id string, volume long")
+        reg.update(batch, sets, 100 + batch, lambda m, v=known: live.payload_digest({"members": m.select("ring_id", "account"), "volume": v}))
+        for r in edges if not batch else changes:
+            plain[r] = plain.get(r, 0) + 1
+        got = {r["ring_id"]: (r["version"], r["first_seen_us"]) for r in reg.rings().collect()}
+        assert got == {r: (v, 100) for r, v in plain.items()}
+        written = spark.read.schema("ring_id string").parquet(str(tmp_path / f"log/rings/batch={batch}"))
+        assert {r["ring_id"] for r in written.collect()} == set(edges if not batch else changes)
+        assert {(r["ring_id"], r["account"]) for r in reg.members().collect()} == {(r["ring_id"], r["account"]) for r in sets.collect()}
+    assert (tmp_path / "log/rings_merged/batch=3").exists()
+    assert spark.read.parquet(str(tmp_path / "log/members")).where("batch > 0").count() == 0
+    was = {r["ring_id"]: r["version"] for r in reg.rings(before=1).collect()}
+    assert was == {"R1": 1, "R2": 1, "R3": 1}
+
+
+def test_payload_is_members_edges_roles_and_volume(spark):
+    led = micro.ledger(spark, [("VICTIM_1", "A", 90, "09:00"), ("A", "B", 80, "09:05"), ("B", "C", 70, "09:10")])
+    more = led.unionByName(micro.ledger(spark, [("A", "B", 1, "11:00")]).withColumn("txn_id", F.lit("new")))
+    outside = led.unionByName(micro.ledger(spark, [("X", "Y", 5, "11:00")]).withColumn("txn_id", F.lit("new")))
+    accounts = spark.createDataFrame([(n, 0, 500, 18.5, 73.8) for n in "ABCXY"], "account string, opened_us bigint, opening_balance_paise bigint, home_lat double, home_lng double")
+    links = spark.createDataFrame([("D", "device", n) for n in "AB"], "identifier_id string, type string, account string")
+    members = spark.createDataFrame([("R", n) for n in "ABC"], "ring_id string, account string")
+    digest = [live.ring_payload(members, x, accounts, links).first()["digest"] for x in (led, outside, more)]
+    assert digest[0] == digest[1] != digest[2]
+
+
 def test_score_suppression(spark):
     new = spark.createDataFrame([("a", 5100, 2), ("b", 6000, 9), ("c", 3000, 9), ("d", 100, 1)], "account string, v2_bp bigint, txns bigint")
     sent = spark.createDataFrame([("a", 5000, "MEDIUM"), ("b", 5990, "MEDIUM"), ("c", 2700, "LOW")], "account string, v2_bp bigint, band string")
