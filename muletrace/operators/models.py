@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from muletrace.functions.exprs import signal_label
 from muletrace.operators import evaluate, scoring
+from muletrace.operators.attribution import attributed_signals, attributions
 from muletrace.operators.features import V1_FEATURES, V2_FEATURES, feature_matrix
 from muletrace.operators.scoring import blend, normalised_anomaly, top_signals
 from muletrace.operators.snapshots import SNAPSHOT_DAYS, snapshot_features
-from muletrace.session import cut_lineage
+from muletrace.session import cut_lineage, ensure_checkpoint_dir
 
 # Settings of the trained models.
 TREES, DEPTH, STEP = 200, 4, 0.1
@@ -230,45 +232,15 @@ def gain_signals(model: PipelineModel, columns: list[str] = V2_FEATURES) -> Colu
     return top_signals(F.array(*items))
 
 
-def tree_nodes(model: PipelineModel, spark: SparkSession, folder: str) -> list[tuple[float, dict[int, tuple]]]:
-    """Trees of a saved model: [(tree weight, {node: (prediction, feature, threshold, left, right)})]. A model has at
-    most trees x 2**(depth + 1) nodes."""
-    path = f"{folder}/gbt"
-    model.stages[-1].write().overwrite().save(path)
-    weights = model.stages[-1].treeWeights
-    trees: dict[int, dict[int, tuple]] = {}
-    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        sp = r["split"]
-        cut = sp["leftCategoriesOrThreshold"]
-        trees.setdefault(r["treeID"], {})[r["id"]] = (r["prediction"], sp["featureIndex"], cut[0] if cut else 0.0, r["leftChild"], r["rightChild"])
-    return [(weights[t], trees[t]) for t in sorted(trees)]
-
-
-def path_contributions(model: PipelineModel, df: DataFrame, folder: str, columns: list[str] = V2_FEATURES) -> DataFrame:
-    """(account, feature, contribution): change of the prediction along each row's path through every tree.
-
-    ``df`` should hold only the accounts to explain (risk of at least 0.5).
-    """
-    trees = df.sparkSession.sparkContext.broadcast(tree_nodes(model, df.sparkSession, folder))
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            out = np.zeros_like(x)
-            for weight, nodes in trees.value:
-                groups = [(0, np.arange(len(x)))]
-                while groups:
-                    node, rows = groups.pop()
-                    pred, f, cut, left, right = nodes[node]
-                    if left < 0 or not len(rows):
-                        continue
-                    goes_left = x[rows, f] <= cut
-                    for child, part in ((left, rows[goes_left]), (right, rows[~goes_left])):
-                        out[part, f] += weight * (nodes[child][0] - pred)
-                        groups.append((child, part))
-            yield pd.DataFrame({"account": np.repeat(pdf["account"].to_numpy(), len(columns)), "feature": columns * len(pdf), "contribution": out.ravel()})
-
-    return df.na.fill(0).select("account", *columns).mapInPandas(explain, "account string, feature string, contribution double")
+def explain(detector: Detector, accounts: DataFrame, ledger: DataFrame, links: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(account, risk_combined, signals): for accounts of at least ``floor`` the three features that raised the second model's
+    margin most, by exact Shapley values."""
+    ensure_checkpoint_dir(ledger.sparkSession)
+    folder = f"{ledger.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}"
+    matrix = feature_matrix(accounts, ledger, links, by_model(detector.v1), geo=False).select("account", *detector.v2_columns)
+    flagged = score_accounts(cut_lineage(matrix), detector).where(F.col("risk_combined") >= floor)
+    told = attributions(detector.v2, flagged.select("account", "risk_combined", *detector.v2_columns), folder, detector.v2_columns)
+    return told.select("account", "risk_combined", attributed_signals(detector.v2_columns).alias("signals"))
 
 
 # ---- persistence --------------------------------------------------------------------------------------------------

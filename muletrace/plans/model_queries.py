@@ -31,6 +31,16 @@ def gbt_scores(spark, d):
     return s.select("account", "risk_v1", "risk_v2", "anomaly_score", "risk_combined", models.gain_signals(det.v2).alias("signals"))
 
 
+@query("gbt_reasons")
+def gbt_reasons(spark, d):
+    """Why the detector flags an account: up to three features by exact attribution, best first."""
+    t = Tables(spark, d)
+    told = models.explain(_detector(t), t.accounts, t.ledger, t.links)
+    return told.select("account", "risk_combined", F.posexplode("signals").alias("pos", "s")).select(
+        "account", "risk_combined", (F.col("pos") + 1).cast("bigint").alias("rank"), "s.feature", "s.label", "s.weight"
+    )
+
+
 @query(
     "activity_sessions",
     """SELECT account, min(us) start_us, max(us)+600000000 end_us, count(*) events, CAST(sum(amount_paise) AS BIGINT) amount_paise FROM (
