@@ -6,24 +6,27 @@ and only where it says 0 the bucket of test strings with that suffix is looked u
 stretches of text are searched side by side, one numpy step each.
 
 Words a benchmark never uses all get number 0, which no test string has, so they end any window they stand in.
-The benchmark is packed in blocks of bounded size; every document row passes all blocks in one go, without a shuffle.
+The benchmark is packed in blocks of bounded size. Every document row passes ``LIVE_PACKS`` of them in one go, without a
+shuffle; a larger benchmark takes several passes, whose hits are merged by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muletrace.llm.base import portions
+from muletrace.llm.base import cut_lineage, free_name, portions
 
 WINDOW = 13
 BLOCK = 3
 LANE = 256
-PACK_BYTES = 16 << 20  # of benchmark text in one broadcast
+PACK_BYTES = 2 << 20  # of benchmark text in one broadcast; its search structure takes about ninety times that
+LIVE_PACKS = 2  # broadcast at a time
 _TABLE_BITS = 18
 
 #: Letters, digits and all bytes of non-ASCII characters are parts of words, A-Z in lower case.
@@ -148,6 +151,7 @@ _HITS_ARROW = pa.struct(
 
 
 def _scanner(spark, items: list[tuple[str, str]], window: int):
+    """A function of a text column, and the broadcast behind it."""
     shared = spark.sparkContext.broadcast(Benchmark(items, window))
 
     @F.arrow_udf(HITS)
@@ -156,32 +160,28 @@ def _scanner(spark, items: list[tuple[str, str]], window: int):
         for texts in portions(batches):
             yield pa.array(bench.scan(texts.to_pylist()), _HITS_ARROW)
 
-    return scan
+    return scan, shared
 
 
-def _packs(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in packs of about ``PACK_BYTES``, one after the other; one item alone may be longer."""
+def _packs(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many packs of about ``PACK_BYTES`` the benchmark is, and the packs one after the other; one item alone may be
+    longer."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packs = max(1, -(-size // PACK_BYTES))
-    for k in range(packs):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(packs)) == k) if packs > 1 else items
-        yield [(r.item, r.text) for r in part.collect()]
 
+    def each() -> Iterator[list[tuple[str, str]]]:
+        for k in range(packs):
+            part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(packs)) == k) if packs > 1 else items
+            yield [(r.item, r.text) for r in part.collect()]
 
-def benchmark_hits(text: Column, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Column:
-    """struct<n_words, n_hit, items, spans> of a text column.
+    return packs, each()
 
-    A window is ``window`` consecutive words of an item; a shorter item that has words is one window. A text's word is
-    hit if it lies in any occurrence of any window. ``items`` are the ids of items with occurring windows, as strings in
-    string order without repeats; a missing id is ''. Missing and empty texts have no words and no hits; empty items have
-    no windows; with an empty benchmark nothing is hit. Overlapping and repeated windows count words once.
-    """
-    spark = benchmark.sparkSession
-    found = [_scanner(spark, items, window)(text) for items in _packs(benchmark, item_col, text_col)]
-    hits = F.array(*found)
+
+def _union(hits: Column) -> Column:
+    """One result from those of all packs."""
     spans = F.array_sort(F.flatten(F.transform(hits, lambda h: h["spans"])))
     zero = F.lit(0).cast("long")
     union = F.aggregate(
@@ -199,6 +199,37 @@ def benchmark_hits(text: Column, benchmark: DataFrame, item_col: str = "item_id"
     )
 
 
+def with_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", doc_text: str = "text", item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the column ``out``: struct<n_words, n_hit, items, spans>, all other columns kept.
+
+    A window is ``window`` consecutive words of an item; a shorter item that has words is one window. A text's word is
+    hit if it lies in any occurrence of any window. ``items`` are the ids of items with occurring windows, as strings in
+    string order without repeats; a missing id is ''. Missing and empty texts have no words and no hits; empty items have
+    no windows; with an empty benchmark nothing is hit. Overlapping and repeated windows count words once. Repeated rows
+    get the same result each; an empty table gives an empty one. With more than ``LIVE_PACKS`` packs ``docs`` must read the
+    same rows in the same order each time, as tables in files do.
+    """
+    spark, text = benchmark.sparkSession, F.coalesce(F.col(doc_text).cast("string"), F.lit(""))
+    n, packs = _packs(benchmark, item_col, text_col)
+    if n <= LIVE_PACKS:
+        return docs.withColumn(out, _union(F.array(*[_scanner(spark, items, window)[0](text) for items in packs])))
+    row, part = free_name(docs, "row"), 0
+    found = docs.withColumn(row, F.monotonically_increasing_id())
+    names = []
+    while some := list(islice(packs, LIVE_PACKS)):
+        scans = [_scanner(spark, items, window) for items in some]
+        hits = docs.select(F.monotonically_increasing_id().alias(row), F.array(*[scan(text) for scan, _ in scans]).alias("h"))
+        if names:  # the first pass tells the words of every row
+            hits = hits.where(F.exists("h", lambda h: F.size(h["spans"]) > 0))
+        names.append(free_name(found, f"hits{part}"))
+        found = found.join(cut_lineage(hits.withColumnRenamed("h", names[-1])), row, "left")
+        for _, shared in scans:
+            shared.destroy()
+        part += 1
+    every = F.concat(*[F.coalesce(F.col(c), F.array().cast(f"array<{HITS}>")) for c in names])
+    return found.withColumn(out, _union(every)).drop(row, *names)
+
+
 def contaminated(hits: Column) -> Column:
     """At least one word in twenty is hit."""
     return (hits["n_hit"] > 0) & (20 * hits["n_hit"] >= hits["n_words"])

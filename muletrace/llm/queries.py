@@ -95,8 +95,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
-    hits = decontaminate.benchmark_hits(F.coalesce("text", F.lit("")), table(spark, sf_dir, "benchmark"))
-    found = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
+    found = decontaminate.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "hits.n_words",

@@ -35,7 +35,7 @@ def _brute(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("pack", [decontaminate.PACK_BYTES, 20])
+@pytest.mark.parametrize("pack", [decontaminate.PACK_BYTES, 100, 20])
 def test_hits(spark, tmp_path, monkeypatch, pack):
     monkeypatch.setattr(decontaminate, "PACK_BYTES", pack)
     r = random.Random(6)
@@ -44,7 +44,8 @@ def test_hits(spark, tmp_path, monkeypatch, pack):
     data += [(200 + k, " ".join(r.choice(letters) for _ in range(60))) for k in range(30)]
     data += [(240, "x " * 300 + ITEMS[0][1].upper() + ", " + ITEMS[2][1]), (241, ("A-b, c " * 3 + ITEMS[0][1] + "\n") * 40), (242, "Kurz hier")]
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
-    docs = fixtures.documents(spark, data).withColumn("hits", decontaminate.benchmark_hits(F.col("text"), bench))
+    docs = decontaminate.with_hits(fixtures.stored(spark, tmp_path / "d", data), bench)
+    assert docs.columns[:-1] == fixtures.documents(spark, []).columns
     got = sorted(((x.doc_id, x.text, x.hits.n_words, x.hits.n_hit, list(x.hits["items"])) for x in docs.collect()), key=repr)
     want = sorted(((i, t, *_brute(t, ITEMS)) for i, t in data), key=repr)
     assert got == want
@@ -54,7 +55,7 @@ def test_hits(spark, tmp_path, monkeypatch, pack):
 
 def test_an_empty_benchmark_hits_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
-    got = fixtures.documents(spark).select(decontaminate.benchmark_hits(F.col("text"), bench).alias("h")).select("h.n_hit", "h.n_words").collect()
+    got = decontaminate.with_hits(fixtures.documents(spark), bench).select("hits.n_hit", "hits.n_words").collect()
     assert {r.n_hit for r in got} == {0} and max(r.n_words for r in got) == 30_001
 
 
