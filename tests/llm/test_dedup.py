@@ -140,6 +140,63 @@ def test_chunk_dedup(spark, tmp_path):
     assert chunks.chunk_dedup(fixtures.empty(spark, tmp_path / "e")).count() == 0
 
 
+def _plain_cuts(data):
+    """Byte by byte, every hash summed anew from the last 32 bytes."""
+    gear, out, last = chunks.GEAR.tolist(), [], 0
+
+    def boundary(end):
+        h = sum(gear[data[end - 1 - k]] << k for k in range(min(32, end))) & 0xFFFFFFFF
+        return h >> 32 - chunks.BITS == 0
+
+    while last < len(data):
+        end = last + 1
+        while end < len(data) and end - last < chunks.MAX_CHUNK and not (end - last >= chunks.MIN_CHUNK and boundary(end)):
+            end += 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        out.append((last, end))
+        last = end
+    return out
+
+
+def _plain_chunk_dedup(rows):
+    """(doc_id, n_bytes, kept, n_removed, n_spans, first_docs) in plain Python."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    first, again = {}, {k: [] for k in order}
+    for k in order:
+        data = (rows[k][1] or "").encode()
+        for a, z in _plain_cuts(data):
+            owner = first.setdefault(data[a:z], (k, a))
+            if owner != (k, a):
+                again[k].append((a, z, rows[owner[0]][0]))
+    out = []
+    for k, (i, text) in enumerate(rows):
+        data, runs = (text or "").encode(), []
+        for a, z, _ in again[k]:
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = z
+            else:
+                runs.append([a, z])
+        runs = [r for r in runs if r[1] - r[0] >= chunks.MIN_SPAN]
+        gone = {b for a, z in runs for b in range(a, z)}
+        kept = bytes(c for b, c in enumerate(data) if b not in gone)
+        ids = sorted({f for *_, f in again[k] if f is not None}) if runs else []
+        out.append((i, len(data), kept, len(gone), len(runs), ids))
+    return out
+
+
+def test_chunk_dedup_equals_plain_python(spark, tmp_path):
+    r = random.Random(12)
+    data = [x for x in fixtures.rows() if x[0] not in (154, 155)]
+    passages = ["".join(r.choice("abcdefghij é漢") for _ in range(r.randint(100, 900))) for _ in range(8)]
+    for k in range(30):
+        data.append((500 + k, "".join(r.choice([*passages, *("".join(r.choice("klmno ") for _ in range(150)) for _ in range(4))]) for _ in range(4))))
+    got = chunks.chunk_dedup(fixtures.stored(spark, tmp_path / "d", data)).collect()
+    got = sorted(((x.doc_id, x.n_bytes, bytes(x.kept), x.n_removed, x.n_spans, [f for f in x.first_docs if f is not None]) for x in got), key=repr)
+    assert got == sorted(_plain_chunk_dedup(data), key=repr)
+    assert sum(x[4] > 1 for x in got) > 5
+
+
 def _removed(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[k : k + 200] for d in data for k in range(len(d) - 199))
