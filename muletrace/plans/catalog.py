@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from muletrace.plans import registry, sqlviews
-from muletrace.plans import account_queries, case_queries, geo_queries, graph_queries, model_queries, ring_queries, serve_queries, whole_queries  # noqa: F401
+from muletrace.plans import account_queries, case_queries, export_queries, geo_queries, graph_queries, model_queries, ring_queries, serve_queries, whole_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, registry.QueryFn]:
