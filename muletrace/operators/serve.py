@@ -67,11 +67,6 @@ def in_id_order(df: DataFrame, ids: list[str], id_col: str = "account") -> DataF
     return F.broadcast(wanted).join(df, id_col).orderBy("pos")
 
 
-def identifiers_of(nested: DataFrame, accounts: Column) -> DataFrame:
-    """Identifier documents that overlap an account list."""
-    return nested.where(F.arrays_overlap("account_ids", accounts))
-
-
 def cashouts_of(ledger: DataFrame, members: DataFrame) -> DataFrame:
     """Located ATM rows paid by members."""
     m = members.select(F.col("account").alias("src")).distinct()
