@@ -55,11 +55,16 @@ def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
     return done, seen.get["n"]
 
 
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for a table beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}"
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Like :func:`cut_lineage`, as a table in the same folder, whose size Spark knows from its files. For what every round of
     a loop joins anew: size estimates of checkpointed rows are handed on, so they multiply from round to round."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid4().hex}"
+    path = table_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,9 +22,10 @@ from muletrace.operators.features import transaction_features
 from muletrace.operators.matching import best_overlap
 from muletrace.schemas import ledger_rules, split_valid
 from muletrace.session import cut_lineage
-from muletrace.sources.readers import path_exists
 from muletrace.streaming.ingest import observed_lines, observed_transfers
 from muletrace.streaming.state import Counts, Queue
+from muletrace.streaming.tables import BatchTables
+from muletrace.streaming.traces import LiveTraces
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BURST_US = 600_000_000
@@ -217,32 +218,6 @@ def discovery_due(crossed: bool, last_us: int | None, now_us: int, any_ring: boo
     return last_us is not None and any_ring and now_us - last_us >= DISCOVER_EVERY_US
 
 
-class BatchTables:
-    """Tables written once per batch under its id; repeating a batch replaces its own part and nothing else."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def write(self, name: str, batch_id: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
-
-    def until(self, name: str, before: int) -> DataFrame | None:
-        """Rows of all batches before one, with their ``batch``; None before the first."""
-        root = f"{self.folder}/{name}"
-        if not path_exists(self.spark, root):
-            return None
-        return self.spark.read.parquet(root).where(F.col("batch") < before)
-
-    def latest(self, name: str, before: int) -> DataFrame | None:
-        """Rows of the newest batch before one that has any."""
-        rows = self.until(name, before)
-        newest = None if rows is None else rows.agg(F.max("batch")).first()[0]
-        return None if newest is None else rows.where(F.col("batch") == newest).drop("batch")
-
-
-COMPACT_EVERY = 50
-
-
 def payload_digest(ring_rows: dict[str, DataFrame]) -> DataFrame:
     """(ring_id, digest) of what is known about each ring: tables by name, each with ``ring_id``. Counts and sums of row
     hashes, so the order of rows does not matter and a large ring is summed in parts."""
@@ -278,24 +253,15 @@ class RingRegistry:
 
     A community continues the known ring it overlaps most (at least half of the smaller set). Members are only added. A run
     appends the members it adds and one row per ring whose payload digest is new, with the next version; readers merge
-    the log, and every ``COMPACT_EVERY`` batches a run also writes the merged tables, from which later reads start.
+    the log, and every ``tables.COMPACT_EVERY`` batches a run also writes the merged tables, from which later reads start.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.tables = BatchTables(spark, folder)
 
-    def _log(self, name: str, before: int) -> DataFrame | None:
-        """Rows of a table of the log before a batch: the newest merged form and what came after it."""
-        log, merged = self.tables.until(name, before), self.tables.until(f"{name}_merged", before)
-        newest = None if merged is None else merged.agg(F.max("batch")).first()[0]
-        if newest is None:
-            return log
-        start = merged.where(F.col("batch") == newest)
-        return start if log is None else start.unionByName(log.where(F.col("batch") > newest))
-
     def rings(self, before: int = 2**62) -> DataFrame | None:
         """(ring_id, version, first_seen_us, digest) as of a batch."""
-        log = self._log("rings", before)
+        log = self.tables.log("rings", before)
         if log is None:
             return None
         last = F.max_by(F.struct("version", "first_seen_us", "digest"), "version").alias("r")
@@ -303,14 +269,14 @@ class RingRegistry:
 
     def members(self, before: int = 2**62) -> DataFrame | None:
         """(ring_id, account, version, first_seen_us) as of a batch."""
-        log = self._log("members", before)
+        log = self.tables.log("members", before)
         return None if log is None else log.select("ring_id", "account").join(self.rings(before).drop("digest"), "ring_id")
 
     def update(self, batch_id: int, found: DataFrame, clock_us: int, payload: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Merge communities ``found(ring_id, account)``; returns the alerts of rings confirmed for the first time.
 
         ``payload(members)`` gives (ring_id, digest) of what a version stands for; by default the member set."""
-        known = self._log("members", batch_id)
+        known = self.tables.log("members", batch_id)
         added = fresh = cut_lineage(found.select("ring_id", "account").distinct())
         everyone = fresh
         if known is not None:
@@ -343,10 +309,8 @@ class RingRegistry:
         return alerts
 
     def _compact(self, batch_id: int) -> None:
-        merged = self.tables.until("rings_merged", batch_id)
-        newest = None if merged is None else merged.agg(F.max("batch")).first()[0]
-        if batch_id - (newest or 0) >= COMPACT_EVERY:
-            self.tables.write("members_merged", batch_id, self._log("members", batch_id + 1).select("ring_id", "account"))
+        if self.tables.merge_due("rings", batch_id):
+            self.tables.write("members_merged", batch_id, self.tables.log("members", batch_id + 1).select("ring_id", "account"))
             self.tables.write("rings_merged", batch_id, self.rings(batch_id + 1))
 
 
@@ -377,14 +341,16 @@ class LiveMonitor:
     and everyone who shares an identifier with them are scored anew over their and their co-users' stored transfers, so
     scores equal those of the whole ledger; scores that changed enough are sent; when an account crosses the
     threshold, or five minutes after the last time, rings are looked for around risky accounts and merged into the
-    registry; rings confirmed for the first time raise an alert with its reason, and the victims' money in known rings is
-    traced. All of it is written under the batch id and read from earlier batches only, so a batch repeated after a
+    registry; rings confirmed for the first time raise an alert with its reason. Every batch moves the victims' money on
+    (:class:`LiveTraces`) and writes a summary of the cases of known rings that changed, or of all of them after a
+    search for rings. All of it is written under the batch id and read from earlier batches only, so a batch repeated after a
     restart gives the same tables.
     """
 
     def __init__(self, spark: SparkSession, folder: str, accounts: DataFrame, links: DataFrame, score: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]):
         self.spark, self.accounts, self.links, self.score = spark, accounts, links, score
         self.tables, self.registry = BatchTables(spark, f"{folder}/live"), RingRegistry(spark, f"{folder}/registry")
+        self.traces = LiveTraces(spark, f"{folder}/traces", accounts)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         t = self.tables
@@ -420,9 +386,20 @@ class LiveMonitor:
         t.write("updates", batch_id, out)
         keep = out.select("account", "v2_bp", "band")
         t.write("sent", batch_id, keep if sent is None else keep.unionByName(sent.join(keep.select("account"), "account", "left_anti").select("account", "v2_bp", "band")))
-        self._discover(batch_id, clock, ledger, now, before)
+        moved = self.traces.update(batch_id, new, lambda: ledger)
+        searched = self._discover(batch_id, clock, ledger, now, before)
+        members = self.registry.members(batch_id + 1)
+        if members is not None:
+            t.write("traces", batch_id, self.case_summaries(members, None if searched else moved, batch_id + 1))
 
-    def _discover(self, batch_id: int, clock: int, ledger: DataFrame, scores: DataFrame, before: DataFrame | None) -> None:
+    def case_summaries(self, members: DataFrame, changed: DataFrame | None = None, before: int = 2**62) -> DataFrame:
+        """Summaries of the cases whose deposit went to a ring member; only of ``changed(case_id)``, if given."""
+        inside = self.traces.cases(before).join(members.select("account").distinct(), "account", "left_semi").select("case_id")
+        if changed is not None:
+            inside = inside.join(changed, "case_id", "left_semi")
+        return taint.case_summary(self.traces.taints(before).join(inside, "case_id", "left_semi"))
+
+    def _discover(self, batch_id: int, clock: int, ledger: DataFrame, scores: DataFrame, before: DataFrame | None) -> bool:
         t = self.tables
         risky = scores.where((F.col("v2_bp") >= 5000) & (F.col("txns") >= 2))
         was = None if before is None else before.where((F.col("v2_bp") >= 5000) & (F.col("txns") >= 2))
@@ -431,18 +408,15 @@ class LiveMonitor:
         last = None if runs is None else runs.first()["us"]
         known = self.registry.members(batch_id)
         if not discovery_due(crossed, last, clock, known is not None, not risky.isEmpty()):
-            return
+            return False
         found = discover_in_neighbourhood(ledger, self.accounts, self.links, scores)
         alerts = self.registry.update(batch_id, found, clock, lambda m: ring_payload(m, ledger, self.accounts, self.links))
         members = self.registry.members(batch_id + 1)
         t.write("runs", batch_id, self.spark.createDataFrame([(clock,)], "us long"))
-        if members is None:
-            return
-        members = cut_lineage(members.select("ring_id", "account"))
-        t.write("alerts", batch_id, alert_summary(ledger, members.join(alerts.select("ring_id"), "ring_id", "left_semi"), alerts))
-        cases = taint.victim_cases(rings.victim_deposits(ledger, members))
-        balances, _flows = taint.trace(ledger, self.accounts, cases)
-        t.write("traces", batch_id, taint.case_summary(balances))
+        if members is not None:
+            members = cut_lineage(members.select("ring_id", "account"))
+            t.write("alerts", batch_id, alert_summary(ledger, members.join(alerts.select("ring_id"), "ring_id", "left_semi"), alerts))
+        return True
 
 
 def run_monitor(lines: DataFrame, monitor: LiveMonitor, checkpoint: str, parse: Callable[[DataFrame], DataFrame] | None = None):

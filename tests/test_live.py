@@ -12,7 +12,7 @@ from muletrace.operators import events as ev
 from muletrace.operators import features, graph, scoring, timeline
 from muletrace.schemas import ledger_rules
 from muletrace.sources import derived, readers, sinks
-from muletrace.streaming import live
+from muletrace.streaming import live, tables
 from tests import micro
 
 SF = "/root/testdata/sf0.001"
@@ -93,7 +93,7 @@ def test_registry(spark, tmp_path):
 
 def test_registry_is_a_log_of_changes(spark, tmp_path, monkeypatch):
     """Versions rise when an edge or a volume changes; only changed rings are written; reads are the same after compaction."""
-    monkeypatch.setattr(live, "COMPACT_EVERY", 3)
+    monkeypatch.setattr(tables, "COMPACT_EVERY", 3)
     reg, plain = live.RingRegistry(spark, str(tmp_path / "log")), {}
     sets = spark.createDataFrame([(r, a) for r, m in (("R1", "abcd"), ("R2", "pqr"), ("R3", "xyz")) for a in m], "ring_id string, account string")
     edges = {"R1": 10, "R2": 10, "R3": 10}
